@@ -21,10 +21,15 @@ ATTEMPT_CODES = ("TIMEOUT", "HTTP_ERROR", "DOCUMENT_EMPTY_FILE", "CLIENT_ERROR",
                  "INVALID_STRUCTURED_OUTPUT", "NETWORK_ERROR", "INGEST_EXECUTION_FAILED")
 TASK_STATUSES = ("PENDING", "RUNNING", "RETRYING", "SUCCESS", "FAILED", "CANCELED")
 
+_schemas: dict = {}  # path -> schema, so that footers are read once per table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; timestamps without a zone are read as session time (UTC)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_schemas[path]).parquet(path)
     zoneless = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
@@ -125,7 +130,8 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(
         tag("b", n).alias("query_id"), "text", (n % 10).cast("int").alias("label"),
         *[c.alias(k) for k, c in principal(n).items()])
-    return asked.join(label_centroids(spark, sf_dir), "label")
+    # a left join on unique labels: plans that need no vector drop it
+    return asked.join(label_centroids(spark, sf_dir), "label", "left")
 
 
 def parents(spark: SparkSession, sf_dir: str) -> DataFrame:

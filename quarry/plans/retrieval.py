@@ -202,7 +202,7 @@ def search_vector(spark, sf_dir):
 
 @query("search_hybrid", B.with_views("text_queries live_chunks", """SELECT query_id, chunk_id,
       round(score, 9) AS score, rank::INT AS rank, true AS included,
-      'rrf score=' || printf('%.4f', score) AS debug_info FROM fused WHERE rank <= 3""", **HYBRID))
+      'rrf score=' || printf('%.4f', floor(score * 10000 + 0.5) / 10000) AS debug_info FROM fused WHERE rank <= 3""", **HYBRID))
 def search_hybrid(spark, sf_dir):
     return search(spark, sf_dir, R.HYBRID).withColumn("score", F.round("score", 9))
 
@@ -326,13 +326,13 @@ def source_summary(spark, sf_dir):
     return X.source_summary(B.text_queries(spark, sf_dir), hits(spark, sf_dir))
 
 
-@query("answerability", B.with_views("text_queries live_chunks", """SELECT query_id, hits, used, budget,
-      reason IS NULL AS answerable, reason FROM (SELECT q.query_id,
-        (SELECT count(*) FROM hits h WHERE h.query_id = q.query_id) AS hits,
-        (SELECT count(*) FROM packed p WHERE p.query_id = q.query_id) AS used,
-        least(3000, greatest(0, 400 - length(q.text) - 120))::INT AS budget,
-        CASE WHEN hits = 0 THEN 'NO_HITS' WHEN budget <= 0 THEN 'NO_BUDGET'
-          WHEN used = 0 THEN 'NOTHING_PACKED' END AS reason FROM text_queries q)""",
+@query("answerability", B.with_views("text_queries live_chunks", """SELECT *, reason IS NULL AS answerable FROM (
+    SELECT *, CASE WHEN hits = 0 THEN 'NO_HITS' WHEN budget <= 0 THEN 'NO_BUDGET'
+      WHEN used = 0 THEN 'NOTHING_PACKED' END AS reason FROM (SELECT q.query_id, coalesce(h.n, 0) AS hits,
+        coalesce(p.n, 0) AS used, least(3000, greatest(0, 400 - length(q.text) - 120))::INT AS budget
+      FROM text_queries q LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY 1) h
+        ON h.query_id = q.query_id LEFT JOIN (SELECT query_id, count(*) AS n FROM packed GROUP BY 1) p
+        ON p.query_id = q.query_id))""",
     **HYBRID, hits=HITS, packed=PACKED))
 def answerability(spark, sf_dir):
     found = hits(spark, sf_dir)

@@ -29,7 +29,7 @@ def sql_strip(text: str) -> str:
 
 
 _LABELLED = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text
-    WHEN 1 THEN '用户问题：' || text || '。退款政策！' ELSE '第一段 ' || upper(text) || ' 结束' END AS text
+    WHEN 1 THEN '用户问题：' || text || '。退款政策！' ELSE '第一段 ' || text || ' 结束' END AS text
     FROM documents"""
 
 
@@ -38,7 +38,7 @@ def labelled(spark, sf_dir):
     n = F.col("doc_id")
     text = (F.when(n % 3 == 0, F.col("text"))
             .when(n % 3 == 1, F.concat(F.lit("用户问题："), "text", F.lit("。退款政策！")))
-            .otherwise(F.concat(F.lit("第一段 "), F.upper("text"), F.lit(" 结束"))))
+            .otherwise(F.concat(F.lit("第一段 "), "text", F.lit(" 结束"))))
     return B.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 

@@ -84,8 +84,9 @@ def image_rows(images: DataFrame, index_offset: str = "text_chunks",
             .withColumn("image_ref", F.sha2("bytes", 256)))
     if data_url:
         mime = image_mime(F.col("filename"), F.col("content_type"))
+        encoded = F.regexp_replace(F.base64("bytes"), "[\\r\\n]", "")
         rows = rows.withColumn("data_url", F.concat(
-            F.lit("data:"), mime, F.lit(";base64,"), F.base64("bytes")))
+            F.lit("data:"), mime, F.lit(";base64,"), encoded))
     return rows.drop("bytes", "image_no", index_offset)
 
 

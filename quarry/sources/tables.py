@@ -33,32 +33,22 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, root: str, version: int, partition_by: str | None = None) -> str:
-    """Write a table as an immutable version ``root/v=N``; an existing version is never replaced, so
-    readers of older ones keep their files."""
-    path = f"{root.rstrip('/')}/v={version}"
+    """Write a table as an immutable version and then list it.
+
+    A version is never replaced, so readers of older ones keep their files; one whose write failed
+    is not listed.
+    """
+    path = f"{root.rstrip('/')}/data/v={version}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    listed = df.sparkSession.createDataFrame([(version,)], "version bigint").coalesce(1)
+    listed.write.mode("append").parquet(f"{root.rstrip('/')}/versions")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """A version of a table, the newest finished one by default."""
+    """A version of a table, the newest listed one by default."""
     if version is None:
-        version = max(snapshot_versions(spark, root), default=None)
-        if version is None:
-            raise FileNotFoundError(f"no snapshot below {root}")
-    return spark.read.parquet(f"{root.rstrip('/')}/v={version}")
-
-
-def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
-    """Versions whose write has finished (they carry Spark's success marker)."""
-    markers = (spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
-               .option("recursiveFileLookup", "true"))
-    try:
-        paths = markers.load(root).select("path").collect()  # one row per version
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return []
-        raise
-    found = [p["path"].rstrip("/").split("/")[-2] for p in paths]
-    return sorted(int(name[2:]) for name in found if name.startswith("v="))
+        versions = spark.read.schema("version bigint").parquet(f"{root.rstrip('/')}/versions")
+        version = versions.agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root.rstrip('/')}/data/v={version}")

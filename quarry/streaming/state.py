@@ -27,19 +27,23 @@ class _Quota(StatefulProcessor):
         self.user_quota, self.tenant_quota = user_quota, tenant_quota
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tenant = handle.getValueState("tenant", "spent bigint", ttlDurationMs=2 * _DAY_MS)
-        self.users = handle.getMapState("users", "user string", "spent bigint",
-                                        ttlDurationMs=2 * _DAY_MS)
+        self.handle = handle
+        self.tenant = handle.getValueState("tenant", "spent bigint")
+        self.users = handle.getListState("users", "user string, spent bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spent = self.tenant.get()[0] if self.tenant.exists() else 0
-        by_user: dict[str, int] = {}
+        if self.tenant.exists():
+            spent = self.tenant.get()[0]
+        else:
+            spent = 0
+            self.handle.registerTimer(int(pd.Timestamp(key[1], tz="UTC").value // 1_000_000)
+                                      + _DAY_MS)
+        # one bulk read and write; only users with admitted calls are kept, so the tenant's quota
+        # bounds them
+        by_user = {user: amount for user, amount in self.users.get()}
         out = []
         for row in _ordered(rows, "ts", "call_id").itertuples(index=False):
-            if row.user_id not in by_user:
-                known = self.users.containsKey((row.user_id,))
-                by_user[row.user_id] = self.users.getValue((row.user_id,))[0] if known else 0
-            mine = by_user[row.user_id]
+            mine = by_user.get(row.user_id, 0)
             fits = (mine + row.need <= self.user_quota
                     and spent + row.need <= self.tenant_quota)
             if fits:
@@ -47,25 +51,33 @@ class _Quota(StatefulProcessor):
                 by_user[row.user_id] = mine + row.charge
             out.append((row.call_id, key[0], row.user_id, bool(fits)))
         self.tenant.update((int(spent),))
-        for user, amount in by_user.items():
-            self.users.updateValue((user,), (int(amount),))
+        if by_user:
+            self.users.put([(user, int(amount)) for user, amount in by_user.items()])
         yield pd.DataFrame(out, columns=["call_id", "tenant_id", "user_id", "admitted"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tenant.clear()
+        self.users.clear()
+        yield pd.DataFrame({"call_id": [], "tenant_id": [], "user_id": [], "admitted": []},
+                           dtype="object")
+
     def close(self) -> None:
         pass
 
 
 def stream_quota(calls: DataFrame, user_quota: int = C.USER_DAILY_TOKENS,
-                 tenant_quota: int = C.TENANT_DAILY_TOKENS) -> DataFrame:
-    """``token_quota`` on a stream, keyed by tenant and day; a day's state expires by itself."""
-    keyed = calls.select(
+                 tenant_quota: int = C.TENANT_DAILY_TOKENS,
+                 watermark: str = "1 hour") -> DataFrame:
+    """``token_quota`` on a stream, keyed by tenant and (UTC) day, whose state goes when the
+    watermark passes its end."""
+    keyed = calls.withWatermark("ts", watermark).select(
         "call_id", F.coalesce("tenant_id", F.lit("unknown")).alias("tenant_id"),
         F.coalesce("user_id", F.lit("unknown")).alias("user_id"), "ts", "need", "charge",
         F.to_date("ts").cast("string").alias("day"))
     return keyed.groupBy("tenant_id", "day").transformWithStateInPandas(
         _Quota(user_quota, tenant_quota),
         "call_id string, tenant_id string, user_id string, admitted boolean", "Append",
-        "ProcessingTime")
+        "EventTime")
 
 
 class _Workflow(StatefulProcessor):
