@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.functions.text import keyword_terms, keyword_words, snippet, tokenize
 from quarry.operators.access import visible_classes, with_acl_class
 from quarry.operators.skew import salted_join, topk
+from quarry.session import cut
 
 VISIBLE, GLOBAL = "visible", "global"
 
@@ -31,8 +32,8 @@ def build_inverted_index(chunks: DataFrame, terms: DataFrame | None = None) -> I
     """Index of chunk_id, content and, when present, the access columns.
 
     ``terms`` (one column, term) limits the postings to those terms before they are shuffled; use it
-    for an index made for one batch of queries. A stored index leaves it out and is written bucketed
-    by term.
+    for an index made for one batch of queries. An index kept for many batches leaves it out and is
+    written bucketed by term.
     """
     if "acl_class" not in chunks.columns:
         chunks = (with_acl_class(chunks) if "visibility" in chunks.columns
@@ -61,40 +62,35 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
 
     ``queries``: query_id, text and, with ``principals``, the caller's permission signature
     (``signature``). With scope "visible" the statistics come from what the caller may see, with
-    "global" from all chunks; the results never leave what the caller may see. Postings of a very
-    common term are spread over tasks by chunk.
+    "global" from all chunks; the results never leave what the caller may see. The weights of one
+    batch of queries are small and AQE broadcasts them when measured so; otherwise it splits the
+    postings of a very common term (skew join). Salting would repeat the weights and lose the first
+    case.
     """
     if scope not in (VISIBLE, GLOBAL):
         raise ValueError(f"unknown scope {scope}")
     terms = query_terms(queries)
-    index = chunks if isinstance(chunks, InvertedIndex) else build_inverted_index(chunks, terms)
+    index = chunks if isinstance(chunks, InvertedIndex) else _stored(
+        build_inverted_index(chunks, terms))
     postings, lengths = index.postings, index.lengths
 
-    restricted = principals is not None
-    if restricted:
+    if principals is None:
+        weighted = _with_totals(terms.join(_frequency(postings), "term"), lengths)
+        matches = postings.join(weighted, "term")
+    else:
+        # per query: the classes its caller may see and in which a term occurs
         reach = visible_classes(lengths, principals)
-    if restricted and scope == VISIBLE:
-        sizes = lengths.join(reach, "acl_class").groupBy("signature").agg(
-            F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
         counts = postings.groupBy("acl_class", "term").agg(F.count(F.lit(1)).alias("df"))
-        frequency = counts.join(reach, "acl_class").groupBy("signature", "term").agg(
-            F.sum("df").alias("df"))
-        weighted = terms.join(frequency, ["signature", "term"]).join(sizes, "signature")
-    else:
-        sizes = lengths.agg(F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
-        frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        one = F.lit(1).alias("one")  # the totals are a single row
-        weighted = (terms.join(frequency, "term").withColumn("one", one)
-                    .join(F.broadcast(sizes.withColumn("one", one)), "one").drop("one"))
-
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    caller = ["signature"] if restricted else []
-    weighted = weighted.select("query_id", *caller, "term", idf.alias("idf"),
-                               (F.col("tokens") / F.col("n")).alias("avgdl"))
-
-    matches = salted_join(postings, weighted, ["term"], "chunk_id")
-    if restricted:
-        matches = matches.join(reach, ["signature", "acl_class"], "left_semi")
+        seen = terms.join(counts, "term").join(reach, ["signature", "acl_class"])
+        if scope == VISIBLE:
+            sizes = lengths.join(reach, "acl_class").groupBy("signature").agg(
+                F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
+            per_term = Window.partitionBy("query_id", "term")
+            weighted = _weights(seen.withColumn("df", F.sum("df").over(per_term))
+                                .join(sizes, "signature"))
+        else:
+            weighted = _with_totals(seen.drop("df").join(_frequency(postings), "term"), lengths)
+        matches = postings.join(weighted.drop("signature"), ["term", "acl_class"])
     length = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(0.0)
     scaled = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * length)
     part = F.col("idf") * (F.col("tf") * (C.BM25_K1 + 1)) / scaled
@@ -104,6 +100,30 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
                 spread_on="chunk_id")
 
 
+def _stored(index: InvertedIndex) -> InvertedIndex:
+    """Both tables written once, as every statistic and the scores read them."""
+    return InvertedIndex(cut(index.postings, "postings"), cut(index.lengths, "lengths"))
+
+
+def _frequency(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _with_totals(counted: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Weights from the totals of the whole corpus, which are a single row."""
+    totals = lengths.agg(F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
+    one = F.lit(1).alias("one")
+    joined = counted.withColumn("one", one).join(F.broadcast(totals.withColumn("one", one)), "one")
+    return _weights(joined.drop("one"))
+
+
+def _weights(counted: DataFrame) -> DataFrame:
+    """idf and average length from n, tokens and df."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return (counted.withColumn("idf", idf).withColumn("avgdl", F.col("tokens") / F.col("n"))
+            .drop("n", "tokens", "df"))
+
+
 def keyword_title_topk(queries: DataFrame, docs: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """Substring search: 3 for a term found in the title, 1 for the content; newest first on ties.
 
