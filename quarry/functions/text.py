@@ -55,13 +55,17 @@ def sha256_hex(text: Column | str) -> Column:
 def tokenize(text: Column | str) -> Column:
     """Lexical terms: runs of a-z0-9, and adjacent pairs inside runs of Han characters (a lone one
     stays as it is)."""
-    runs = F.regexp_extract_all(F.lower(_col(text)), F.lit("([a-z0-9]+|[\\u4e00-\\u9fff]+)"), 1)
-    return F.coalesce(F.flatten(F.transform(runs, _run_terms)), F.array().cast("array<string>"))
+    lowered = F.lower(_col(text))
+    plain = F.array_remove(F.split(lowered, "[^a-z0-9]+"), "")
+    runs = F.regexp_extract_all(lowered, F.lit("([a-z0-9]+|[\\u4e00-\\u9fff]+)"), 1)
+    mixed = F.flatten(F.transform(runs, _run_terms))
+    terms = F.when(lowered.rlike("[\\u4e00-\\u9fff]"), mixed).otherwise(plain)
+    return F.coalesce(terms, F.array().cast("array<string>"))
 
 
 def _run_terms(run: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, 2))
-    return F.when(run.rlike("^[a-z0-9]") | (F.length(run) == 1), F.array(run)).otherwise(pairs)
+    return F.when((run < "\u4e00") | (F.length(run) == 1), F.array(run)).otherwise(pairs)
 
 
 def keyword_terms(text: Column | str) -> Column:

@@ -55,12 +55,15 @@ def build_ivf(chunks: DataFrame, n_cells: int, seed: int = 7, train_rows: int =
     """(chunks with their ``cell``, cells with their centre) for ``ann_topk``.
 
     Centres are trained on about ``train_rows`` vectors and written to the work folder, so that a
-    recomputed task sees the same ones; every chunk is then assigned to its nearest centre.
+    recomputed task sees the same ones; every chunk is then assigned to its nearest centre. Vectors
+    of another than the usual dimension, or of norm 0, are left out as in the exact search.
     """
-    usable = chunks.filter("size(embedding) > 0")
-    unit = _unit(usable)
-    total = usable.count()
-    share = min(1.0, train_rows / max(total, 1))
+    sizes = chunks.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).count()
+    usual = sizes.orderBy(F.desc("count"), "dim").first()
+    if usual is None:
+        raise ValueError("no chunk has a vector")
+    unit = _unit(chunks.filter(F.size("embedding") == usual["dim"]))
+    share = min(1.0, train_rows / usual["count"])
     train = unit if share >= 1.0 else unit.sample(False, share, seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=iterations, featuresCol="__unit",
                    predictionCol="cell").fit(train)
