@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import has_text, sha256_hex, strip
+from quarry.session import cut
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Generator = Callable[[str], str | None]
@@ -22,9 +23,9 @@ def embed_incremental(texts: DataFrame, cache: DataFrame, model: str, fn: Embedd
                       text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts with ``embedding``, rows to add to the cache).
 
-    ``cache`` has model, text_hash, embedding. Each distinct text that the cache lacks is embedded
-    once. Many copies of one text meet a single row, so the copies are collapsed before the shuffle
-    and the join back is split by AQE when one hash is hot.
+    ``cache`` has model, text_hash, embedding. Each distinct text that the cache lacks goes to the
+    model once: the new vectors are written to the work folder, which both results read. Copies of a
+    text collapse before they are shuffled, and AQE splits the join back when one hash is hot.
     """
     @F.pandas_udf("array<double>")
     def embed(batch: pd.Series) -> pd.Series:
@@ -35,7 +36,8 @@ def embed_incremental(texts: DataFrame, cache: DataFrame, model: str, fn: Embedd
     hashed = texts.withColumn("text_hash", sha256_hex(text))
     distinct = hashed.groupBy("text_hash").agg(F.first(text).alias("__text"))
     missing = distinct.join(known, "text_hash", "left_anti")
-    added = missing.select("text_hash", embed(F.coalesce("__text", F.lit(""))).alias("embedding"))
+    made = missing.select("text_hash", embed(F.coalesce("__text", F.lit(""))).alias("embedding"))
+    added = cut(made, "vectors")
     table = known.unionByName(added)
     rows = added.select(F.lit(name).alias("model"), "text_hash", "embedding")
     return hashed.join(table, "text_hash"), rows

@@ -97,10 +97,10 @@ def cache_hit_ratio(cached: str = "cached_tokens", prompt: str = "prompt_tokens"
 
 def prefix_cacheability(calls: DataFrame, prefix: str = "prefix") -> DataFrame:
     """Per distinct prompt prefix: calls, token estimate and whether it is long enough to cache."""
-    counted = (calls.groupBy(sha256_hex(prefix).alias("prefix_hash"))
-               .agg(F.count(F.lit(1)).alias("calls"), F.first(prefix).alias("__prefix")))
-    return (counted.withColumn("prefix_tokens", token_estimate("__prefix")).drop("__prefix")
-            .withColumn("cacheable", F.col("prefix_tokens") >= C.CACHEABLE_PREFIX_TOKENS))
+    counted = calls.groupBy(sha256_hex(prefix).alias("prefix_hash"),
+                            token_estimate(prefix).alias("prefix_tokens")).agg(
+        F.count(F.lit(1)).alias("calls"))
+    return counted.withColumn("cacheable", F.col("prefix_tokens") >= C.CACHEABLE_PREFIX_TOKENS)
 
 
 def latency_percentiles(df: DataFrame, by: Sequence[str], value: str,

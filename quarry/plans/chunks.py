@@ -127,7 +127,18 @@ def chunk_documents(spark, sf_dir):
                            "content_hash")
 
 
-@query("embedding_text")
+_CHILDREN = f"""SELECT k.document_id, k.version, k.section_index, k.body, w.chunk_index AS i,
+      CASE WHEN k.path = '' THEN '' ELSE '标题：' || k.path || chr(10) END || w.content AS content
+    FROM ({sql_windows("(SELECT parent AS document_id, version, body AS t FROM parts)")}) w
+    JOIN parts k ON k.parent = w.document_id"""
+
+
+@query("embedding_text", B.with_views("pages_markdown", f"""SELECT {_IDENTITY} AS chunk_id,
+      sha256(content) AS content_hash,
+      {sql_strip("left(left(body, 8000) || chr(10) || content, 40)")} || chr(10) || content AS embedding_text
+    FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_index, i) - 1 AS chunk_index
+      FROM children)""", **_MARKDOWN, parts="SELECT *, document_id || ':' || section_index AS parent FROM kept",
+    children=_CHILDREN))
 def embedding_text(spark, sf_dir):
     pages = B.pages_markdown(spark, sf_dir).withColumn("strategy", F.lit("MARKDOWN"))
     children, parents = K.chunk_documents(pages)

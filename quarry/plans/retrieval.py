@@ -9,7 +9,6 @@ from quarry.operators import dense as D
 from quarry.operators import fusion as R
 from quarry.operators import lexical as L
 from quarry.operators.access import permission_signature, principal_tokens
-from quarry.operators.models import overlap_scorer
 from quarry.functions.vectors import cosine
 from quarry.plans import bindings as B
 from quarry.plans.access import sql_access
@@ -207,11 +206,6 @@ def search_hybrid(spark, sf_dir):
     return search(spark, sf_dir, R.HYBRID).withColumn("score", F.round("score", 9))
 
 
-@query("search_hybrid_rerank")
-def search_hybrid_rerank(spark, sf_dir):
-    return search(spark, sf_dir, R.HYBRID_RERANK, scorer=overlap_scorer())
-
-
 _RERANKED = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS again
     FROM (SELECT f.*, (len(q.words) - len(list_filter(q.words, lambda w: NOT list_contains(d.words, w))))
         / len(q.words)::DOUBLE AS relevance FROM fused f
@@ -232,6 +226,15 @@ def _ascii_overlap(queries, texts):
     return out
 
 
+@query("search_hybrid_rerank", B.with_views("text_queries live_chunks", """SELECT query_id, chunk_id,
+      round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, again)::INT
+        AS rank, true AS included, 'reranked' AS debug_info FROM reranked WHERE again <= 3""",
+    **HYBRID, reranked=_RERANKED))
+def search_hybrid_rerank(spark, sf_dir):
+    return search(spark, sf_dir, R.HYBRID_RERANK, scorer=_ascii_overlap).withColumn(
+        "score", F.round("score", 9))
+
+
 @query("rerank", B.with_views("text_queries live_chunks", """SELECT query_id, chunk_id,
       round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, again)::INT
         AS rank FROM reranked WHERE again <= 5""", **HYBRID, reranked=_RERANKED))

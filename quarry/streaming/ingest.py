@@ -21,15 +21,16 @@ def stream_ingest(docs: DataFrame, target: str, embed_fn: Embedder, model: str,
 
     ``docs``: document_id, version, content, strategy and metadata. A batch writes only its own rows
     to ``target/chunks/batch=N``, replacing what an earlier try of the same batch left, so nothing is
-    written twice and the cost follows the input, not the corpus. ``latest_chunks`` reads the result.
+    written twice and the cost follows the input, not the corpus. Texts that earlier batches
+    embedded are looked up in ``target/vectors``. ``latest_chunks`` reads the result.
     """
     spark = docs.sparkSession
 
     def ingest(batch: DataFrame, number: int) -> None:
         children, parents = chunk_documents(batch, size=size, overlap=overlap)
-        empty = batch.sparkSession.createDataFrame(
-            [], "model string, text_hash string, embedding array<double>")
-        embedded, _ = embed_incremental(children, empty, model, embed_fn, "content")
+        cache = _vectors(batch.sparkSession, target, number)
+        embedded, added = embed_incremental(children, cache, model, embed_fn, "content")
+        _replace(added, f"{target}/vectors/batch={number}")
         stamped = embedded.drop("text_hash").withColumn("batch", F.lit(number))
         _replace(stamped, f"{target}/chunks/batch={number}")
         _replace(parents.withColumn("batch", F.lit(number)), f"{target}/parents/batch={number}")
@@ -39,6 +40,15 @@ def stream_ingest(docs: DataFrame, target: str, embed_fn: Embedder, model: str,
             .trigger(availableNow=True).start())
 
 
+def _vectors(spark: SparkSession, target: str, before: int) -> DataFrame:
+    """Vectors made by earlier batches; a repeated batch does not see its own."""
+    schema = "model string, text_hash string, embedding array<double>"
+    if before == 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(f"{target}/vectors")
+    return rows.filter(F.col("batch") < before).drop("batch")
+
+
 def _replace(df: DataFrame, path: str) -> None:
     df.drop("batch").write.mode("overwrite").parquet(path)
 
