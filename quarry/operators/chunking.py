@@ -44,42 +44,41 @@ def chunk_fixed(df: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_
 def _sections(lines: Column) -> Column:
     """Array of (headings, body) for the sections of an array of lines, blank bodies left out.
 
-    One pass numbers the lines and keeps the open headings; each section is then a slice of lines.
+    Heading lines are picked out first; folding over them keeps the open headings and closes a
+    section at each, which is then a slice of the lines.
     """
     heading = "^(#{1,6})\\s+(.*)\\z"
     path_type = "array<struct<level:int,title:string>>"
 
-    def as_line(line):
-        return F.struct(F.length(F.regexp_extract(line, heading, 1)).alias("level"),
-                        strip(F.regexp_extract(line, heading, 2)).alias("title"))
+    def as_mark(line, index):
+        level = F.when(line.startswith("#"), F.length(F.regexp_extract(line, heading, 1)))
+        return F.struct(F.coalesce(level, F.lit(0)).alias("level"), line.alias("line"),
+                        (index + 1).alias("at"))
 
-    def section_until(acc):
+    def section(acc, last):
         return F.array(F.struct(acc["path"].alias("path"), acc["from"].alias("from"),
-                                (acc["at"] - 1).alias("to")))
+                                last.alias("to")))
 
-    def fold(acc, item):
-        is_heading = item["level"] > 0
-        parents = F.filter(acc["path"], lambda h: h["level"] < item["level"])
+    def fold(acc, mark):
+        parents = F.filter(acc["path"], lambda h: h["level"] < mark["level"])
+        title = strip(F.regexp_extract(mark["line"], heading, 2))
+        here = F.struct(mark["level"].alias("level"), title.alias("title"))
         return F.struct(
-            F.when(is_heading, F.concat(parents, F.array(item))).otherwise(acc["path"])
-            .alias("path"),
-            F.when(is_heading, acc["at"] + 1).otherwise(acc["from"]).alias("from"),
-            (acc["at"] + 1).alias("at"),
-            F.when(is_heading, F.concat(acc["done"], section_until(acc))).otherwise(acc["done"])
-            .alias("done"))
+            F.concat(parents, F.array(here)).alias("path"), (mark["at"] + 1).alias("from"),
+            F.concat(acc["done"], section(acc, mark["at"] - 1)).alias("done"))
 
     start = F.struct(
-        F.array().cast(path_type).alias("path"), F.lit(1).alias("from"), F.lit(1).alias("at"),
+        F.array().cast(path_type).alias("path"), F.lit(1).alias("from"),
         F.array().cast(f"array<struct<path:{path_type},from:int,to:int>>").alias("done"))
 
-    def with_body(section):
-        body = F.array_join(
-            F.slice(lines, section["from"], section["to"] - section["from"] + 1), "\n")
-        return F.struct(F.transform(section["path"], lambda h: h["title"]).alias("headings"),
+    def with_body(found):
+        body = F.array_join(F.slice(lines, found["from"], found["to"] - found["from"] + 1), "\n")
+        return F.struct(F.transform(found["path"], lambda h: h["title"]).alias("headings"),
                         strip(body).alias("body"))
 
-    found = F.aggregate(F.transform(lines, as_line), start, fold,
-                        lambda acc: F.concat(acc["done"], section_until(acc)))
+    marks = F.filter(F.transform(lines, as_mark), lambda m: m["level"] > 0)
+    found = F.aggregate(marks, start, fold,
+                        lambda acc: F.concat(acc["done"], section(acc, F.size(lines))))
     filled = F.filter(found, lambda s: s["to"] >= s["from"])
     return F.filter(F.transform(filled, with_body), lambda s: s["body"] != "")
 

@@ -8,8 +8,12 @@ pairs are needed to get them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +35,41 @@ class InvertedIndex:
 def build_inverted_index(chunks: DataFrame, terms: DataFrame | None = None) -> InvertedIndex:
     """Index of chunk_id, content and, when present, the access columns.
 
-    ``terms`` (one column, term) limits the postings to those terms before they are shuffled; use it
-    for an index made for one batch of queries. An index kept for many batches leaves it out and is
+    ``terms`` (one column, term) limits the postings to those terms; use it for an index made for one batch of queries. An index kept for many batches leaves it out and is
     written bucketed by term.
     """
     if "acl_class" not in chunks.columns:
         chunks = (with_acl_class(chunks) if "visibility" in chunks.columns
                   else chunks.withColumn("acl_class", F.lit("*")))
-    tokens = chunks.select("chunk_id", "acl_class", tokenize("content").alias("__tokens"))
-    sized = tokens.withColumn("dl", F.size("__tokens"))
-    lengths = sized.groupBy("acl_class").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum("dl").cast("long").alias("tokens"))
-    exploded = sized.select("chunk_id", "acl_class", "dl", F.explode("__tokens").alias("term"))
+    tokens = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
+                           tokenize("content").alias("__tokens"))
+    lengths = tokens.groupBy("acl_class").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.size("__tokens")).cast("long").alias("tokens"))
+    counted = tokens.mapInArrow(_count_terms, _POSTINGS)
     if terms is not None:
-        exploded = exploded.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = (exploded.groupBy("chunk_id", "acl_class", "dl", "term")
-                .agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    return InvertedIndex(postings.select("term", "chunk_id", "acl_class", "tf", "dl"), lengths)
+        counted = counted.join(terms.select("term").distinct(), "term", "left_semi")
+    return InvertedIndex(counted, lengths)
+
+
+_POSTINGS = "term string, chunk_id string, acl_class string, tf int, dl int"
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term counts of each row of a batch. A chunk is one row, so counting needs no shuffle."""
+    for batch in batches:
+        lists = batch.column("__tokens")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten().dictionary_encode()
+        width = max(len(flat.dictionary), 1)
+        places = np.repeat(np.arange(batch.num_rows, dtype=np.int64), sizes)
+        pairs, tf = np.unique(places * width + flat.indices.to_numpy(zero_copy_only=False),
+                              return_counts=True)
+        rows, codes = pairs // width, pairs % width
+        yield pa.RecordBatch.from_arrays(
+            [flat.dictionary.take(pa.array(codes)), batch.column("chunk_id").take(pa.array(rows)),
+             batch.column("acl_class").take(pa.array(rows)), pa.array(tf.astype(np.int32)),
+             pa.array(sizes[rows].astype(np.int32))],
+            names=["term", "chunk_id", "acl_class", "tf", "dl"])
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
