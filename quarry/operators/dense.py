@@ -9,6 +9,7 @@ further blocks, one corpus scan each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,25 +106,23 @@ def _search(queries: DataFrame, chunks: DataFrame, k: int, query_block: int) ->
     batch = queries.select(*columns)
     rows = batch.limit(query_block + 1).collect()
     if len(rows) <= query_block:
-        blocks = [rows]
-    else:
-        # about half of the limit per block, so that uneven hashing stays under it
-        count = 2 * (batch.count() // query_block + 1)
-        numbered = batch.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(count)))
-        blocks = [numbered.filter(F.col("__block") == b).drop("__block")
-                  .collect() for b in range(count)]
-    if not any(blocks):
-        return _empty(chunks)
-    scored = None
-    for block in filter(None, blocks):
-        part = _score_block(block, columns, chunks, k)
-        scored = part if scored is None else scored.unionByName(part)
-    return topk(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k,
-                spread_on="chunk_id")
-
-
-def _empty(chunks: DataFrame) -> DataFrame:
-    return chunks.sparkSession.createDataFrame([], _SCORES + ", rank int")
+        return _best_of(rows, columns, chunks, k)
+    # about half of the limit per block, so that uneven hashing stays under it; one block at a time
+    # is in the driver, its result is written before the next one is fetched
+    count = 2 * (batch.count() // query_block + 1)
+    numbered = batch.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(count)))
+    parts = []
+    for number in range(count):
+        rows = numbered.filter(F.col("__block") == number).drop("__block").collect()
+        parts.append(cut(_best_of(rows, columns, chunks, k), f"dense-block-{number}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best_of(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:
+    if not rows:
+        return chunks.sparkSession.createDataFrame([], _SCORES + ", rank int")
+    return topk(_score_block(rows, columns, chunks, k), ["query_id"],
+                [F.desc("score"), F.asc("chunk_id")], k, spread_on="chunk_id")
 
 
 def _score_block(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import has_text, limit_text, normalize_list, strip
 from quarry.operators.usage import latency_percentiles
+from quarry.session import cut
 
 
 def retrieval_metrics(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -101,8 +102,10 @@ def sources_cover_expected(cases: DataFrame, sources: DataFrame) -> DataFrame:
 def compare_modes(per_question: DataFrame) -> DataFrame:
     """Per mode: hit rate, mean relevance, phrase rate, hits, questions and latency percentiles.
 
-    ``per_question``: mode, doc_hit, relevance, phrase_hit, retrieval_ms, total_ms.
+    ``per_question``: mode, doc_hit, relevance, phrase_hit, retrieval_ms, total_ms. It is written
+    once, as the rates and each percentile read it.
     """
+    per_question = cut(per_question, "per-question")
     rates = per_question.groupBy("mode").agg(
         F.count(F.lit(1)).alias("questions"), F.count_if("doc_hit").alias("hits"),
         F.avg(F.col("doc_hit").cast("double")).alias("hit_rate"),

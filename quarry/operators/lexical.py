@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quarry import constants as C
 from quarry.functions.text import keyword_terms, keyword_words, snippet, tokenize
 from quarry.operators.access import visible_classes, with_acl_class
-from quarry.operators.skew import salted_join, topk
+from quarry.operators.skew import topk
 from quarry.session import cut
 
 VISIBLE, GLOBAL = "visible", "global"
@@ -151,25 +151,31 @@ def keyword_title_topk(queries: DataFrame, docs: DataFrame, k: int = C.TOP_K) ->
 
     ``queries``: query_id, text; ``docs``: document_id, title, content, created_at. A term can only
     occur inside one run of letters and digits, so it is matched against the distinct runs of the
-    corpus through their substrings, an equi-join; documents are then matched by run.
+    corpus through their substrings, an equi-join; documents are then matched by run. The (run,
+    term) table is written once, so that its size is known when it is joined: broadcast when small,
+    a skew-split shuffle otherwise.
     """
     terms = queries.select("query_id", F.explode(keyword_terms("text")).alias("term"))
     wanted = terms.select("term").distinct()
 
-    def runs(column, points):
-        return docs.select("document_id", F.lit(points).alias("points"),
-                           F.explode(keyword_words(column)).alias("word"))
+    def runs(column):
+        return docs.select("document_id", F.explode(keyword_words(column)).alias("word"))
 
-    words = runs("title", 3).unionByName(runs("content", 1))
     one = F.lit(1).alias("one")  # the lengths that occur are a single row
     lengths = wanted.agg(F.collect_set(F.length("term")).alias("lengths")).withColumn("one", one)
-    vocabulary = (words.select("word").distinct().withColumn("one", one)
+    titles, bodies = runs("title"), runs("content")
+    vocabulary = (titles.unionByName(bodies).select("word").distinct().withColumn("one", one)
                   .join(F.broadcast(lengths), "one"))
     inside = vocabulary.select("word", _substrings("word", "lengths").alias("term"))
-    hits = inside.join(wanted, "term")
-    scores = (salted_join(words, hits, ["word"], "document_id")
-              .select("document_id", "points", "term").distinct()
-              .join(terms, "term").groupBy("query_id", "document_id")
+    hits = cut(inside.join(wanted, "term"), "keyword-hits")
+
+    def scored(words, points):
+        """Points per (query, document): each distinct term of the document's runs counts once."""
+        found = words.join(hits, "word").select("document_id", "term").distinct()
+        return (found.join(terms, "term").groupBy("query_id", "document_id")
+                .agg((F.count(F.lit(1)) * points).alias("points")))
+
+    scores = (scored(titles, 3).unionByName(scored(bodies, 1)).groupBy("query_id", "document_id")
               .agg(F.sum("points").alias("score")))
     shown = docs.select("document_id", "title", "created_at", snippet("content").alias("snippet"))
     dated = scores.join(docs.select("document_id", "created_at"), "document_id")

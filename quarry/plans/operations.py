@@ -52,7 +52,7 @@ _RAW = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'FAST' ELSE 'EMBEDDI
 
 @query("cost_rows", f"""SELECT conv_id, turn, prompt_tokens, completion_tokens, total_tokens, cached_tokens,
       (total_tokens * 0.000001)::DECIMAL(18, 6)::DOUBLE AS estimated_cost, model FROM (
-    SELECT conv_id, turn, p AS prompt_tokens, c AS completion_tokens,
+    SELECT conv_id, turn, p::BIGINT AS prompt_tokens, c::BIGINT AS completion_tokens,
       CASE WHEN total_tokens > 0 THEN total_tokens ELSE p + c END AS total_tokens,
       greatest(0, coalesce(cached_tokens, 0)) AS cached_tokens,
       tier || ':' || coalesce(model_name, 'default') AS model FROM (SELECT *,

@@ -14,6 +14,7 @@ from quarry.plans import bindings as B
 from quarry.plans.access import sql_access
 from quarry.plans.registry import query
 from quarry.plans.text import sql_tokens
+from quarry.session import cut
 
 # ---- SQL building blocks ------------------------------------------------------------------------
 
@@ -253,11 +254,11 @@ HITS_K = 8
 
 
 def hits(spark, sf_dir):
-    """Hybrid results with their chunk's columns."""
+    """Hybrid results with their chunk's columns, k rows per query, written once for all readers."""
     best = search(spark, sf_dir, R.HYBRID, k=HITS_K, configured_k=HITS_K)
     chunks = B.live_chunks(spark, sf_dir).select(
         "chunk_id", "document_id", "filename", "content", "parent_id")
-    return best.join(chunks, "chunk_id")
+    return cut(best.join(chunks, "chunk_id"), "hits")
 
 
 HITS = f"""SELECT f.query_id, f.chunk_id, f.score, f.rank, c.document_id, c.filename, c.content, c.parent_id
