@@ -74,12 +74,6 @@ def keyword_terms(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(pattern), 1))
 
 
-def keyword_words(text: Column | str) -> Column:
-    """Distinct maximal runs in which a keyword term can occur (any length, Han one by one)."""
-    pattern = "([\\p{L}\\p{Nd}&&[^\\p{IsHan}]]+|\\p{IsHan})"
-    return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(pattern), 1))
-
-
 def sentences(text: Column | str) -> Column:
     """Sentences end after 。！？!? or at a newline; marks stay, blanks go."""
     pattern = "([^。！？!?\\n]*[。！？!?]|[^。！？!?\\n]+)"

@@ -9,7 +9,6 @@ further blocks, one corpus scan each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.access import apply_threshold, check_threshold, grants
+from quarry.operators.blocks import QUERY_BLOCK, by_blocks
 from quarry.operators.skew import topk
 from quarry.session import cut
 
-QUERY_BLOCK = 2048
 _CELLS_PER_STEP = 4_000_000  # scores held at a time by one task
 _SCORES = "query_id string, chunk_id string, score double"
 
@@ -104,18 +103,7 @@ def _search(queries: DataFrame, chunks: DataFrame, k: int, query_block: int) ->
         raise ValueError("k must be positive")
     columns = [c for c in ("query_id", "embedding", "tokens", "probes") if c in queries.columns]
     batch = queries.select(*columns)
-    rows = batch.limit(query_block + 1).collect()
-    if len(rows) <= query_block:
-        return _best_of(rows, columns, chunks, k)
-    # about half of the limit per block, so that uneven hashing stays under it; one block at a time
-    # is in the driver, its result is written before the next one is fetched
-    count = 2 * (batch.count() // query_block + 1)
-    numbered = batch.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(count)))
-    parts = []
-    for number in range(count):
-        rows = numbered.filter(F.col("__block") == number).drop("__block").collect()
-        parts.append(cut(_best_of(rows, columns, chunks, k), f"dense-block-{number}"))
-    return reduce(DataFrame.unionByName, parts)
+    return by_blocks(batch, query_block, lambda rows: _best_of(rows, columns, chunks, k), "dense")
 
 
 def _best_of(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:

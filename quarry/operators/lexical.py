@@ -12,14 +12,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import constants as C
-from quarry.functions.text import keyword_terms, keyword_words, snippet, tokenize
+from quarry.functions.text import keyword_terms, snippet, tokenize
 from quarry.operators.access import visible_classes, with_acl_class
+from quarry.operators.blocks import QUERY_BLOCK, by_blocks
 from quarry.operators.skew import topk
 from quarry.session import cut
 
@@ -146,48 +148,89 @@ def _weights(counted: DataFrame) -> DataFrame:
             .drop("n", "tokens", "df"))
 
 
-def keyword_title_topk(queries: DataFrame, docs: DataFrame, k: int = C.TOP_K) -> DataFrame:
+def keyword_title_topk(queries: DataFrame, docs: DataFrame, k: int = C.TOP_K,
+                       query_block: int = QUERY_BLOCK) -> DataFrame:
     """Substring search: 3 for a term found in the title, 1 for the content; newest first on ties.
 
-    ``queries``: query_id, text; ``docs``: document_id, title, content, created_at. A term can only
-    occur inside one run of letters and digits, so it is matched against the distinct runs of the
-    corpus through their substrings, an equi-join; documents are then matched by run. The (run,
-    term) table is written once, so that its size is known when it is joined: broadcast when small,
-    a skew-split shuffle otherwise.
+    ``queries``: query_id, text; ``docs``: document_id, title, content, created_at. Any term can
+    occur anywhere in a text, so there is no key to join on: the terms of a block of queries go to
+    the tasks, each document is searched once for all of them, and k documents per query leave an
+    Arrow batch.
     """
-    terms = queries.select("query_id", F.explode(keyword_terms("text")).alias("term"))
-    wanted = terms.select("term").distinct()
-
-    def runs(column):
-        return docs.select("document_id", F.explode(keyword_words(column)).alias("word"))
-
-    one = F.lit(1).alias("one")  # the lengths that occur are a single row
-    lengths = wanted.agg(F.collect_set(F.length("term")).alias("lengths")).withColumn("one", one)
-    titles, bodies = runs("title"), runs("content")
-    vocabulary = (titles.unionByName(bodies).select("word").distinct().withColumn("one", one)
-                  .join(F.broadcast(lengths), "one"))
-    inside = vocabulary.select("word", _substrings("word", "lengths").alias("term"))
-    hits = cut(inside.join(wanted, "term"), "keyword-hits")
-
-    def scored(words, points):
-        """Points per (query, document): each distinct term of the document's runs counts once."""
-        found = words.join(hits, "word").select("document_id", "term").distinct()
-        return (found.join(terms, "term").groupBy("query_id", "document_id")
-                .agg((F.count(F.lit(1)) * points).alias("points")))
-
-    scores = (scored(titles, 3).unionByName(scored(bodies, 1)).groupBy("query_id", "document_id")
-              .agg(F.sum("points").alias("score")))
-    shown = docs.select("document_id", "title", "created_at", snippet("content").alias("snippet"))
-    dated = scores.join(docs.select("document_id", "created_at"), "document_id")
-    order = [F.desc("score"), F.desc("created_at"), F.asc("document_id")]
-    best = topk(dated, ["query_id"], order, k, spread_on="document_id").drop("created_at")
-    return best.join(shown, "document_id")
-
-
-def _substrings(word: str, lengths: str):
-    """Rows: distinct substrings of a word that have one of the lengths."""
-    size = F.length(word)
-    fitting = F.filter(lengths, lambda n: n <= size)
-    cuts = F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda start: F.substring(F.col(word), start, n)))
-    return F.explode(F.array_distinct(F.flatten(cuts)))
+    asked = queries.select("query_id", keyword_terms("text").alias("terms"))
+    texts = docs.select(
+        F.col("document_id").cast("string").alias("document_id"),
+        F.coalesce(F.lower("title"), F.lit("")).alias("title"),
+        F.coalesce(F.lower("content"), F.lit("")).alias("content"),
+        F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("at"))
+    order = [F.desc("score"), F.desc("at"), F.asc("document_id")]
+
+    def run(rows: list) -> DataFrame:
+        search = _keyword_search([(str(r["query_id"]), r["terms"]) for r in rows], k)
+        found = texts.mapInPandas(search, _KEYWORD_HITS)
+        return topk(found, ["query_id"], order, k, spread_on="document_id").drop("at")
+
+    best = by_blocks(asked, query_block, run, "keyword")
+    return best.join(docs.select("document_id", "title", "created_at",
+                                 snippet("content").alias("snippet")), "document_id")
+
+
+_KEYWORD_HITS = "query_id string, document_id string, score bigint, at bigint"
+_CELLS_PER_STEP = 4_000_000  # scores held at a time by one task
+
+
+def _keyword_search(queries: list[tuple[str, list[str]]], k: int):
+    """Function over pandas batches: best k documents per query of each batch."""
+    ids = np.array([query_id for query_id, _ in queries], dtype=object)
+    asking: dict[str, list[int]] = {}
+    for place, (_, terms) in enumerate(queries):
+        for term in terms:
+            asking.setdefault(term, []).append(place)
+    places = {term: np.array(found) for term, found in asking.items()}
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not places:
+            return
+        terms_in = _term_finder(list(places))
+        step = max(1, _CELLS_PER_STEP // len(ids))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                yield best_of(batch.iloc[start:start + step], terms_in)
+
+    def points(text: str, terms_in) -> np.ndarray:
+        hits = [places[term] for term in terms_in(text)]
+        return np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else 0
+
+    def best_of(batch: pd.DataFrame, terms_in) -> pd.DataFrame:
+        scores = np.zeros((len(batch), len(ids)), dtype=np.int64)
+        for row, (title, content) in enumerate(zip(batch["title"], batch["content"])):
+            scores[row] = 3 * points(title, terms_in) + points(content, terms_in)
+        documents, at = batch["document_id"].to_numpy(dtype=str), batch["at"].to_numpy()
+        parts = []
+        for query in range(len(ids)):
+            column = scores[:, query]
+            rows = np.flatnonzero(column)
+            if len(rows) > k:
+                floor = np.partition(column[rows], len(rows) - k)[len(rows) - k]
+                rows = rows[column[rows] >= floor]
+            order = np.lexsort((documents[rows], -at[rows], -column[rows]))[:k]
+            kept = rows[order]
+            parts.append(pd.DataFrame({
+                "query_id": ids[query], "document_id": documents[kept].astype(object),
+                "score": column[kept], "at": at[kept]}))
+        return pd.concat(parts, ignore_index=True)
+
+    return search
+
+
+def _term_finder(terms: list[str]):
+    """Function from a text to the distinct terms it contains."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [term for term in terms if term in text]
+    automaton = ahocorasick.Automaton()
+    for term in terms:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+    return lambda text: {term for _, term in automaton.iter(text)}
