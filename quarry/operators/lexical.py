@@ -34,30 +34,38 @@ class InvertedIndex:
     lengths: DataFrame
 
 
-def build_inverted_index(chunks: DataFrame, terms: DataFrame | None = None) -> InvertedIndex:
+def build_inverted_index(chunks: DataFrame, terms: DataFrame | None = None,
+                         stored: bool = False) -> InvertedIndex:
     """Index of chunk_id, content and, when present, the access columns.
 
-    ``terms`` (one column, term) limits the postings to those terms; use it for an index made for one batch of queries. An index kept for many batches leaves it out and is
-    written bucketed by term.
+    ``terms`` (one column, term) limits the postings to those terms; use it for an index made for
+    one batch of queries. An index kept for many batches leaves it out and is written bucketed by
+    term. ``stored`` writes the counts to the work folder, so that the text is read only once for
+    both tables.
     """
     if "acl_class" not in chunks.columns:
         chunks = (with_acl_class(chunks) if "visibility" in chunks.columns
                   else chunks.withColumn("acl_class", F.lit("*")))
     tokens = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
                            tokenize("content").alias("__tokens"))
-    lengths = tokens.groupBy("acl_class").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.size("__tokens")).cast("long").alias("tokens"))
     counted = tokens.mapInArrow(_count_terms, _POSTINGS)
     if terms is not None:
-        counted = counted.join(terms.select("term").distinct(), "term", "left_semi")
-    return InvertedIndex(counted, lengths)
+        length_row = chunks.sparkSession.createDataFrame([("",)], "term string")
+        wanted = terms.select("term").distinct().unionByName(length_row)
+        counted = counted.join(wanted, "term", "left_semi")
+    if stored:
+        counted = cut(counted, "postings")
+    lengths = counted.filter("term = ''").groupBy("acl_class").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("dl").cast("long").alias("tokens"))
+    return InvertedIndex(counted.filter("term <> ''"), lengths)
 
 
 _POSTINGS = "term string, chunk_id string, acl_class string, tf int, dl int"
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Term counts of each row of a batch. A chunk is one row, so counting needs no shuffle."""
+    """Term counts of each row of a batch, and a row with an empty term that carries its length. A
+    chunk is one row, so counting needs no shuffle."""
     for batch in batches:
         lists = batch.column("__tokens")
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -67,10 +75,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, tf = np.unique(places * width + flat.indices.to_numpy(zero_copy_only=False),
                               return_counts=True)
         rows, codes = pairs // width, pairs % width
+        every = np.arange(batch.num_rows, dtype=np.int64)
+        rows = pa.array(np.concatenate((rows, every)))
+        names = pa.concat_arrays([flat.dictionary.take(pa.array(codes)), pa.array(
+            [""] * batch.num_rows, flat.dictionary.type)])
+        tf = np.concatenate((tf, np.zeros_like(every)))
         yield pa.RecordBatch.from_arrays(
-            [flat.dictionary.take(pa.array(codes)), batch.column("chunk_id").take(pa.array(rows)),
-             batch.column("acl_class").take(pa.array(rows)), pa.array(tf.astype(np.int32)),
-             pa.array(sizes[rows].astype(np.int32))],
+            [names, batch.column("chunk_id").take(rows), batch.column("acl_class").take(rows),
+             pa.array(tf.astype(np.int32)), pa.array(sizes.astype(np.int32)).take(rows)],
             names=["term", "chunk_id", "acl_class", "tf", "dl"])
 
 
@@ -94,8 +106,8 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
     if scope not in (VISIBLE, GLOBAL):
         raise ValueError(f"unknown scope {scope}")
     terms = query_terms(queries)
-    index = chunks if isinstance(chunks, InvertedIndex) else _stored(
-        build_inverted_index(chunks, terms))
+    index = chunks if isinstance(chunks, InvertedIndex) else build_inverted_index(
+        chunks, terms, stored=True)
     postings, lengths = index.postings, index.lengths
 
     if principals is None:
@@ -124,11 +136,6 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
                 spread_on="chunk_id")
 
 
-def _stored(index: InvertedIndex) -> InvertedIndex:
-    """Both tables written once, as every statistic and the scores read them."""
-    return InvertedIndex(cut(index.postings, "postings"), cut(index.lengths, "lengths"))
-
-
 def _frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
