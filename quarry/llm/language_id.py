@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 #: Training rows of a language, about; a sample by hash.
 SAMPLE_ROWS = 400
 #: Bytes of a dictionary, at most; as much from each sampled text.
-DICTIONARY = 48 << 10
-PIECE = 2048
-LEVEL = 1
+DICTIONARY = 110 << 10
+PIECE = 4096
+LEVEL = 9
+#: Shortest repetition that is looked for: endings and function words are short.
+MIN_MATCH = 3
 #: Next best size over best size, less 1.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -83,13 +85,13 @@ class Languages:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         import zstandard
 
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH)
         self.names = sorted(dictionaries)
         self.compressors = []
         for name in self.names:
             raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
+            raw.precompute_compress(compression_params=how)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=how))
 
     def sizes(self, data: bytes) -> list[int]:
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]

@@ -6,8 +6,9 @@ frequency, and finds the leading singular directions. Its labelled vectors are b
 the cosine of every document with every labelled vector and lets the nearest vote, each with its
 similarity as weight.
 
-Features are character pairs and triples of the whole text: quality here shows in how
-text is set (signs, capitals, separators), which whole words hide.
+Features are character pairs and triples of the whole text, since quality shows in how text is set
+(signs, capitals, separators) rather than in its words, and how far the text repeats itself: the
+shares of it made up by features that are once, twice, four times, ... as frequent as expected.
 
 Defined cases: a null or empty text, or one whose features no labelled text has, has no neighbours
 and gets the share of label 1 among the labelled rows. Without labelled rows every score is 0.5.
@@ -31,6 +32,8 @@ from quarry.llm.common import filled, mix, slices, text_bytes
 #: Labelled rows that are fitted on, at most: a sample by hash of the key.
 MAX_LABELLED = 4096
 FEATURES = 2048
+#: Powers of two that repetition is told apart by.
+LEVELS = 8
 DIMENSIONS = 48
 NEIGHBOURS = 15
 BLOCK = 256
@@ -40,7 +43,7 @@ _TRIPLES = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 40)) % np.u
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """Logarithmic counts of hashed byte pairs and triples, one row per text."""
+    """Counts of hashed byte pairs (first half) and triples, one row per text."""
     data, bounds = text_bytes(texts)
     out = np.zeros((len(texts), FEATURES), np.float32)
     if len(data) < 2:
@@ -56,25 +59,41 @@ def features(texts: pa.Array) -> np.ndarray:
             out[row, :FEATURES // 2] = np.bincount(first[low:high - 1], minlength=FEATURES // 2)[:FEATURES // 2]
         if high - low >= 3:
             out[row, FEATURES // 2:] = np.bincount(second[low:high - 2] - FEATURES // 2, minlength=FEATURES // 2)
-    return np.log1p(out)
+    return out
+
+
+def repetition(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of pairs and of triples at each power of two of the expected number."""
+    shares = []
+    for half in (slice(0, FEATURES // 2), slice(FEATURES // 2, FEATURES)):
+        n = np.maximum(counts[:, half].sum(1, keepdims=True), 1)
+        times = counts[:, half] / (1 + n * expected[half])
+        level = np.clip(np.log2(np.maximum(times, 1)).astype(np.int8), 0, LEVELS - 1)
+        shares.append(np.stack([np.where(level == k, counts[:, half], 0).sum(1) for k in range(LEVELS)], 1) / n)
+    return np.sqrt(np.concatenate(shares, 1))
 
 
 @dataclass
 class Model:
+    expected: np.ndarray     # mean share of a feature among those of its kind
     weights: np.ndarray      # inverse document frequency of a feature
-    directions: np.ndarray   # FEATURES x dimensions
+    directions: np.ndarray   # columns of described() x dimensions
     vectors: np.ndarray      # labelled rows x dimensions, of length 1
     labels: np.ndarray
     prior: float
 
     def state(self) -> tuple:
-        return self.weights, self.directions, self.vectors, self.labels, self.prior
+        return self.expected, self.weights, self.directions, self.vectors, self.labels, self.prior
+
+    def described(self, counts: np.ndarray) -> np.ndarray:
+        """Weighted logarithmic counts, then repetition, each of length 1."""
+        parts = [np.log1p(counts) * self.weights, repetition(counts, self.expected)]
+        return np.concatenate([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in parts],
+                              1).astype(np.float32)
 
     def place(self, counts: np.ndarray) -> np.ndarray:
-        """Latent vectors of length 1; zero for texts without a known feature."""
-        weighted = counts * self.weights
-        weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-        placed = weighted @ self.directions
+        """Latent vectors of length 1; zero for texts without a feature."""
+        placed = self.described(counts) @ self.directions
         length = np.linalg.norm(placed, axis=1, keepdims=True)
         return np.where(length > 1e-6, placed / np.maximum(length, 1e-12), 0).astype(np.float32)
 
@@ -124,13 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on at most ``most`` labelled rows. Only the rows given are looked at."""
     counts, y = labelled_sample(docs, labels, key, text, label, most)
     if not len(y):
-        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32),
-                     np.zeros((0, 1), np.float32), y, 0.5)
+        flat = np.ones(FEATURES, np.float32)
+        return Model(flat, flat, np.zeros((FEATURES + 2 * LEVELS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
+    halves = counts.reshape(len(y), 2, -1)
+    expected = (halves / np.maximum(halves.sum(2, keepdims=True), 1)).mean(0).ravel()
     weights = np.log1p(len(y) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    weighted = counts * weights
-    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-    directions = leading_directions(weighted, min(DIMENSIONS, len(y), FEATURES))
-    model = Model(weights, directions, np.zeros((0, directions.shape[1]), np.float32), y, float(y.mean()))
+    model = Model(expected, weights, np.zeros((0, 0)), np.zeros((0, 0)), y, float(y.mean()))
+    model.directions = leading_directions(model.described(counts), min(DIMENSIONS, len(y), FEATURES))
     model.vectors = model.place(counts)
     return model
 

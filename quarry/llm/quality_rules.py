@@ -48,13 +48,15 @@ def _without(data: bytes, characters: bytes) -> int:
     return len(data) - len(data.translate(None, characters))
 
 
-def _dup_lines(text: Text) -> int:
-    seen, n = set(), 0
+def _dup_lines(text: Text) -> tuple[int, int]:
+    """Lines with a word that equal an earlier one, and their bytes."""
+    seen, n, size = set(), 0, 0
     for line in text.data.split(b"\n"):
         if line.strip(WORD_BREAKS):
-            n += line in seen
+            if line in seen:
+                n, size = n + 1, size + len(line)
             seen.add(line)
-    return n
+    return n, size
 
 
 def _repeat_words(text: Text) -> int:
@@ -85,8 +87,9 @@ COUNTS: dict[str, Callable[[Text], object]] = {
     "n_words": lambda t: len(t.words),
     "word_chars": lambda t: len(t.data.translate(None, WORD_BREAKS + _CONTINUATION)),
     "n_symbols": lambda t: _without(t.data, SYMBOLS),
-    "n_lines": lambda t: sum(1 for x in t.data.split(b"\n") if x.strip(WORD_BREAKS)),
-    "n_dup_lines": _dup_lines,
+    "dup_lines": _dup_lines,
+    "n_dup_lines": lambda t: t.dup_lines[0],
+    "dup_line_bytes": lambda t: t.dup_lines[1],
     "n_repeat_words": _repeat_words,
     # a word without a letter: nothing is left of it but digits and signs
     "n_bare_words": lambda t: sum(1 for w in t.words if len(w.translate(None, _ASCII_LETTERS + _NOT_ASCII)) == len(w)),
@@ -104,7 +107,7 @@ BASE_RULES: list[Rule] = [
 #: The others, in the manner of published web-corpus filters.
 MORE_RULES: list[Rule] = [
     ("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    ("duplicate_lines", lambda t: 100 * t.n_dup_lines > 30 * t.n_lines),
+    ("duplicate_lines", lambda t: 100 * t.dup_line_bytes > 30 * len(t.data)),
     ("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 15 * t.n_words),
     ("bare_words", lambda t: 100 * t.n_bare_words > 20 * t.n_words),
     ("upper_case", lambda t: 100 * t.n_upper > 40 * t.n_letters),
