@@ -144,22 +144,30 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.slots = np.zeros(0, np.int64)  # where each key's ids are
         self.flat = np.zeros(0, np.int32)
         self.begins = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        """Ids of pieces that this task has not met."""
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Ids of pieces that this task has not met; keys are sorted."""
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        first = len(self.slots)
-        self.slots.update(zip(keys, range(first, first + len(keys))))
+        at = np.searchsorted(self.keys, keys)
+        self.slots = np.insert(self.slots, at, len(self.sizes) + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, ids])
 
+    def _met(self, keys: np.ndarray) -> np.ndarray:
+        """Which sorted keys this task has met."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
         if not self.by_pieces:
@@ -177,17 +185,18 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         keys = span_keys(mix(points + np.uint64(0x2545F4914F6CDD1D)), begins, ends, self.powers)
         codes, different = pd.factorize(keys)
-        if len(self.slots) + len(different) > KEPT_PIECES:
+        if len(self.keys) + len(different) > KEPT_PIECES:
             self._forget()
-        names = different.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.slots]
-        if new:
+        order = np.argsort(different)
+        new = order[~self._met(different[order])]
+        if len(new):
             place = np.zeros(len(different), np.int64)
             place[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = place[new]
-            self._learn([names[i] for i in new],
-                        [joined[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist())])
-        slot = np.fromiter((self.slots[k] for k in names), np.int64, len(names))[codes]
+            self._learn(different[new], [joined[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist())])
+        where = np.empty(len(different), np.int64)
+        where[order] = self.slots[np.searchsorted(self.keys, different[order])]
+        slot = where[codes]
         sizes = self.sizes[slot]
         per_text = np.bincount(home, weights=sizes, minlength=len(texts)).astype(np.int64)
         return gather(self.flat, self.begins[slot], sizes), per_text

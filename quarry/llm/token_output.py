@@ -66,16 +66,27 @@ def _fits(values: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def _chain(onward: np.ndarray) -> np.ndarray:
+    """0, onward[0], onward[onward[0]], ... below the length; 32 steps at a time."""
+    n = len(onward)
+    jumps = [np.append(np.minimum(onward, n), n)]
+    while len(jumps) < 6:
+        jumps.append(jumps[-1][jumps[-1]])
+    far, at, found = jumps.pop().tolist(), 0, []
+    while at < n:
+        found.append(at)
+        at = far[at]
+    starts = np.array(found, np.int64)
+    for jump in reversed(jumps):
+        starts = np.stack([starts, jump[starts]], 1).ravel()
+    return starts[starts < n]
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, escaped values, and the number of values before each word."""
     values = values.astype(np.uint64)
     chosen = _fits(values)
-    onward = (np.arange(len(values)) + COUNTS[chosen]).tolist()
-    starts, at = [], 0
-    while at < len(onward):
-        starts.append(at)
-        at = onward[at]
-    starts = np.array(starts, np.int64)
+    starts = _chain(np.arange(len(values)) + COUNTS[chosen])
     selectors = chosen[starts] if len(starts) else np.zeros(0, np.int8)
     padded = np.concatenate([values, np.zeros(COUNTS.max(), np.uint64)])
     words = selectors.astype(np.uint64) << np.uint64(60)
