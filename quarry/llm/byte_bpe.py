@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.common import Powers, filled, gather, mix, slices, span_keys
+from quarry.llm.common import Powers, filled, gather, map_batches, mix, slices, span_keys
 
 #: Bytes that stand for themselves (printable Latin-1); all others take the code
 #: points from 256 on, in order of the byte.
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", ids: str =
                 yield pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, *added])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in added)])
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def joined_bytes(of_id: list[bytes | None], ids: list[int | None] | None) -> bytes | None:
@@ -327,4 +327,4 @@ def decode(rows: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "d
 
     schema = T.StructType([*rows.schema.fields, T.StructField(f"{out}_bytes", T.BinaryType()),
                            T.StructField(out, T.StringType())])
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

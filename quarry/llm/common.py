@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs without these characters (space, tab, \n, \v, \f, \r).
 WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same for SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text of about this many bytes is worked on at once in a task; one longer text is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+
+#: Bytes of an Arrow batch: the default of 10,000 rows can be very large with long texts.
+BATCH_BYTES = 1 << 21
+
+
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of about ``BATCH_BYTES`` (or one row) at most."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(name))[0]) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

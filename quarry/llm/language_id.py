@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import map_batches
+
 
 #: Training rows of a language, about; a sample by hash.
 SAMPLE_ROWS = 400
@@ -129,6 +131,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                  pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
                 [*batch.schema.names, *out])
 
-    return docs.mapInArrow(run, T.StructType([
+    return map_batches(docs, run, T.StructType([
         *docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()),
         T.StructField(out[2], T.BooleanType())]))

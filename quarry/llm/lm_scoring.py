@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BEGIN, END, Powers, filled, mix, slices, token_keys
+from quarry.llm.common import BEGIN, END, Powers, filled, map_batches, mix, slices, token_keys
 from quarry.session import cut
 
 FLOOR = 1 << 21
@@ -148,7 +148,7 @@ def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
             words, n = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return texts.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select(text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_pairs(texts: DataFrame, words: object, text: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def count_pairs(texts: DataFrame, words: object, text: str = "text") -> DataFram
                 [pa.array(before[keep][at].view(np.int64)), pa.array(tokens[keep][at].view(np.int64)), pa.array(n)],
                 ["before", "word", "n"])
 
-    return (texts.select(text).mapInArrow(run, "before long, word long, n long")
+    return (map_batches(texts.select(text), run, "before long, word long, n long")
             .groupBy("before", "word").agg(F.sum("n").alias("n")))
 
 
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[Column],
                      pa.array(of_text(known).astype(np.int64)), pa.array(base), pa.array(of_text(logs)), rare],
                     [*heads.names, "n_tokens", "n_known", "base", "score", "rare"])
 
-    first = cut(rows.mapInArrow(run, schema), "lm-first")
+    first = cut(map_batches(rows, run, schema), "lm-first")
     total = model.n + 0.5 * (model.v + 1) if model.n else 1.0
     rare = first.select("__row", F.explode("rare").alias("x")).select("__row", "x.word", F.col("x.n").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))

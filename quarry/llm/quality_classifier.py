@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import filled, mix, slices, text_bytes
+from quarry.llm.common import filled, map_batches, mix, slices, text_bytes
 
 #: Labelled rows that are fitted on, at most: a sample by hash of the key.
 MAX_LABELLED = 4096
@@ -130,8 +130,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
                     [*rows.columns[:2], rows.column(3),
                      pa.array([row.tobytes() for row in counts], pa.binary())], ["k", "y", "h", "counts"])
 
-    made = texts.select("k", "y", "t", F.xxhash64("t").alias("h")).mapInArrow(
-        run, T.StructType([*texts.select("k", "y").schema.fields, T.StructField("h", T.LongType()),
+    made = map_batches(
+        texts.select("k", "y", "t", F.xxhash64("t").alias("h")), run, T.StructType([*texts.select("k", "y").schema.fields, T.StructField("h", T.LongType()),
                            T.StructField("counts", T.BinaryType())]))
     rows = made.orderBy(F.xxhash64("k"), "k", "y", "h").limit(most).select("y", "counts").collect()
     y = np.array([float(r["y"] > 0) for r in rows])
@@ -183,4 +183,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))],
                                              [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import WORD_BREAKS, filled
+from quarry.llm.common import WORD_BREAKS, filled, map_batches
 
 SYMBOLS = b"#*$%&|<>"
 #: Rows of the sample, at most about this many; only the order of the rules depends on it.
@@ -139,7 +139,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = tuple(RULES), text: str =
             [pa.array([name for name, _ in rules]), pa.array([seen] * len(rules), pa.int64()),
              pa.array(rejected, pa.int64()), pa.array(seconds)], ["rule", "n", "rejected", "seconds"])
 
-    each = sample.mapInArrow(run, "rule string, n long, rejected long, seconds double")
+    each = map_batches(sample, run, "rule string, n long, rejected long, seconds double")
     return each.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("n", "rejected", "seconds")))
 
 
@@ -172,4 +172,4 @@ def cascade(docs: DataFrame, order: Sequence[Rule], text: str = "text", kept: st
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts),
                            T.StructField(kept, T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

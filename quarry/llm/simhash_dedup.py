@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import filled, free_name
+from quarry.llm.common import filled, free_name, map_batches
 from quarry.session import cut
 
 SHINGLE = 4
@@ -81,7 +81,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
                             np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def submasks(mask: int, parts: int) -> list[int]:
@@ -236,7 +236,7 @@ def near_links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield linked(held)
 
     dealt = _bucketed(codes, max_bits).repartition("mask", "bits").sortWithinPartitions("mask", "bits")
-    return dealt.select("fp", "mask", "bits").mapInArrow(run, "a long, b long")
+    return map_batches(dealt.select("fp", "mask", "bits"), run, "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:

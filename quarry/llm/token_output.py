@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import byte_bpe
-from quarry.llm.common import filled, slices
+from quarry.llm.common import filled, map_batches, slices
 
 #: Ids in a word, and bits of each, by selector. 0 is the escape, 1 a run of zeros.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -162,7 +162,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, key:
         if held:
             yield packed()
 
-    ordered.mapInArrow(run, BLOCKS).write.mode("errorifexists").parquet(path)
+    map_batches(ordered, run, BLOCKS).write.mode("errorifexists").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, fields: str = "ids array<int>",
@@ -193,7 +193,7 @@ def read_documents(spark: SparkSession, path: str, fields: str = "ids array<int>
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return placed.mapInArrow(run, schema)
+    return map_batches(placed, run, schema)
 
 
 def ids_crc32(ids: np.ndarray) -> tuple[int]:
