@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import (byte_bpe, chat_format, decontaminate, language_id, lm_scoring, quality_classifier,
-                        quality_rules, simhash_dedup, token_output, url_filter)
+                        quality_rules, simhash_dedup, sql, token_output, url_filter)
 from quarry.llm.common import fold, read
 from quarry.session import work_path
 
@@ -106,4 +106,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_url_filter, op4_quality_rules, op5_chat_format,
                             op6_byte_bpe, op7_quality_classifier, op8_simhash_dedup, op9_language_id,
                             op10_decontaminate)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.TWINS)
