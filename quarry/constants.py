@@ -58,8 +58,9 @@ FORBIDDEN_ARGS = ("userId", "tenantId", "topK", "scoreThreshold", "role", "roleI
 FORBIDDEN_SEARCH_ARGS = ("userId", "tenantId", "role", "roleId", "roleIds", "departmentId",
                          "departmentIds", "visibility", "scoreThreshold")
 PUBLIC_ORDER_IDS = ("ORD001", "ORD002", "ORD202605220001", "123456")
-LEAK_MARKERS = ("你是一个企业客服 Agent", "工具选择规则", "当前用户可用工具", "你必须只返回 JSON",
-                "system prompt")
+LEAK_MARKERS = ("你是一个企业客服 Agent", "工具选择规则", "当前用户可用工具", "后端当前暴露给你的工具",
+                "你必须只返回 JSON", "system prompt")
+MISSING = "null"
 LEAK_REFUSAL = "抱歉，当前回答包含不可展示的内部指令内容，请换一种问法重试。"
 CANCEL_WORDS = ("取消", "不要", "算了", "no")
 CONFIRM_WORDS = ("确认", "同意", "提交", "yes", "ok")

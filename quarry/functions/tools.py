@@ -126,6 +126,20 @@ def refund_eligibility(logistics_status: Column | str) -> Column:
         F.lit("WAITING_CONFIRMATION"))
 
 
+def conversation_summary(tool: Column | str, json: Column | str) -> Column:
+    """The summary that a conversation keeps of its last tool result."""
+    name, c = _col(tool), _col(json)
+
+    def field(key, missing):
+        return F.coalesce(F.get_json_object(c, f"$.{key}"), F.lit(missing))
+
+    def state(missing):
+        return F.concat(F.lit("orderId="), field("orderId", missing), F.lit(", status="), field("status", missing))
+
+    order = F.concat(state(C.MISSING), F.lit(", amount="), field("amount", ""))
+    return F.when(name == "query_order", order).otherwise(state(""))
+
+
 def result_summary(tool: Column | str, json: Column | str) -> Column:
     """One-line summary of a tool result."""
     name, c = _col(tool), _col(json)

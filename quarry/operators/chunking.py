@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,18 +137,19 @@ def split_sentences(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 def chunk_semantic(sents: DataFrame, threshold: float = C.SEMANTIC_THRESHOLD,
-                   key: str = "document_id", vector: str = "embedding") -> DataFrame:
+                   keys: Sequence[str] | None = None, vector: str = "embedding") -> DataFrame:
     """Join neighbouring sentences of a document, starting a new chunk where the cosine to the
-    sentence before falls under the threshold. A document's sentences come from one row, which
-    bounds the windows."""
-    order = Window.partitionBy(key).orderBy("sentence_index")
+    sentence before falls under the threshold. A document is its id and, where there is one, its
+    version; its sentences come from one row, which bounds the windows."""
+    keys = keys or [k for k in ("document_id", "version") if k in sents.columns]
+    order = Window.partitionBy(*keys).orderBy("sentence_index")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     similar = cosine_or_zero(F.lag(vector).over(order), F.col(vector))
     starts = F.when((F.col("sentence_index") > 0) & (similar < threshold), 1).otherwise(0)
     parts = (sents.withColumn("__starts", starts)
              .withColumn("chunk_index", F.sum("__starts").over(so_far).cast("int")))
     ordered = F.array_sort(F.collect_list(F.struct("sentence_index", "sentence")))
-    return (parts.groupBy(key, "chunk_index")
+    return (parts.groupBy(*keys, "chunk_index")
             .agg(F.array_join(F.transform(ordered, lambda s: s["sentence"]), "").alias("content"),
                  F.count(F.lit(1)).alias("sentences")))
 
@@ -166,7 +169,9 @@ def chunk_documents(docs: DataFrame, strategy: str = "strategy", size: int = C.C
     """(children, parents) of documents with the strategy each row names; unknown means FIXED.
 
     ``docs`` has document_id, version, content and any metadata, which is copied to children and
-    parents. ``embed`` maps a sentence DataFrame to the same with an ``embedding`` column.
+    parents. ``embed`` maps a sentence DataFrame (document_id, version, sentence_index, sentence) to
+    the same with an ``embedding`` column; without it a SEMANTIC document is an error when it is read.
+    A row is identified by document_id and version.
     """
     meta = [c for c in docs.columns if c not in ("content", strategy)]
     name = F.upper(F.coalesce(F.col(strategy), F.lit(FIXED)))
@@ -180,11 +185,15 @@ def chunk_documents(docs: DataFrame, strategy: str = "strategy", size: int = C.C
     children = chunk_fixed(fixed, size, overlap).select(*out, no_parent)
     sectioned = with_parent_id(chunk_markdown(by_section, size, overlap))
     children = children.unionByName(sectioned.select(*out, "parent_id"))
-    if embed is not None:
+    if embed is None:
+        unread = F.raise_error(F.lit("SEMANTIC documents need an embedder"))
+        parted = semantic.withColumn("content", unread.cast("string")).withColumn("chunk_index", F.lit(0))
+    else:
+        keys = ["document_id", "version"]
         cut = chunk_semantic(embed(split_sentences(semantic).select(
-            "document_id", "sentence_index", "sentence")), threshold)
-        joined = semantic.drop("content").join(cut, "document_id")
-        children = children.unionByName(joined.select(*out, no_parent))
+            *keys, "sentence_index", "sentence")), threshold, keys)
+        parted = semantic.drop("content").join(cut, keys)
+    children = children.unionByName(parted.select(*out, no_parent))
 
     parents = with_parent_id(markdown_sections(by_section))
     parents = parents.select("parent_id", *meta, F.col("body").alias("content"))
@@ -195,17 +204,16 @@ def embedding_text(chunks: DataFrame, parents: DataFrame, docs: DataFrame, prefi
     """Adds ``embedding_text``: a generated context prefix, a newline and the content.
 
     The prefix is made from the parent body when there is one, else from the whole document, cut to
-    the model's limit; without a usable prefix the text is the content alone. The stored content
-    never changes.
+    the model's limit before it is joined; without a usable prefix the text is the content alone. The
+    stored content never changes. ``docs``: document_id, version, content.
     """
     from quarry.operators.models import generate_or_fallback
 
-    bodies = parents.select("parent_id", F.col("content").alias("__body"))
-    full = docs.select("document_id", F.col("content").alias("__full"))
-    source = F.coalesce("__body", "__full")
-    joined = (chunks.join(bodies, "parent_id", "left").join(full, "document_id", "left")
-              .withColumn("__source", F.substring(source, 1, C.MAX_CONTEXT_SOURCE_CHARS))
-              .drop("__body", "__full"))
+    head = F.substring("content", 1, C.MAX_CONTEXT_SOURCE_CHARS)
+    bodies = parents.select("parent_id", head.alias("__body"))
+    full = docs.select("document_id", "version", head.alias("__full"))
+    joined = (chunks.join(bodies, "parent_id", "left").join(full, ["document_id", "version"], "left")
+              .withColumn("__source", F.coalesce("__body", "__full")).drop("__body", "__full"))
     asked = has_text("content") & has_text("__source")
     prompt = F.when(asked, F.concat("__source", F.lit("\n"), "content"))
     generated = generate_or_fallback(joined.withColumn("__prompt", prompt), prefix_fn,

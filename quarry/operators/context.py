@@ -27,7 +27,9 @@ def pack_context(results: DataFrame, parents: DataFrame | None = None,
     ``parents`` (parent_id, content), parent_id: a hit then stands for its parent's body, the first
     hit per parent only. Sections are taken in order until one breaks a budget; lengths and tokens
     only add up, so that is a filter on running sums. ``section`` is the text, ``preview`` shows
-    the child.
+    the child; other columns of the results (modality, image_ref) stay with their source. A missing
+    filename or content is shown as such and keeps its place. ``truncated`` says whether a budget
+    left sections of the query out.
     """
     order = [F.desc("score"), F.asc("rank")] if order_by == "score" else [F.asc("rank")]
     body = F.col("content")
@@ -43,16 +45,18 @@ def pack_context(results: DataFrame, parents: DataFrame | None = None,
         body = F.coalesce("__parent", "content")
     place = Window.partitionBy("query_id").orderBy(*order)
     so_far = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    section = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]\n文件："), "filename",
-                       F.lit("\n内容："), body, F.lit("\n\n"))
+    section = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]\n文件："),
+                       F.coalesce("filename", F.lit(C.MISSING)), F.lit("\n内容："),
+                       F.coalesce(body, F.lit(C.MISSING)), F.lit("\n\n"))
     budget = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
     return (rows.withColumn("n", F.row_number().over(place))
             .withColumn("section", section)
             .withColumn("section_tokens", token_estimate("section"))
             .withColumn("used_chars", F.sum(utf16_length("section")).over(so_far))
             .withColumn("used_tokens", F.sum("section_tokens").over(so_far))
-            .filter((F.col("used_chars") <= budget) & (F.col("used_tokens") <= max_tokens))
-            .withColumn("preview", preview("content")).drop("__parent"))
+            .withColumn("__fits", (F.col("used_chars") <= budget) & (F.col("used_tokens") <= max_tokens))
+            .withColumn("truncated", ~F.bool_and("__fits").over(Window.partitionBy("query_id")))
+            .filter("__fits").withColumn("preview", preview("content")).drop("__parent", "__fits"))
 
 
 def assemble_context(packed: DataFrame) -> DataFrame:

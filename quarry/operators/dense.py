@@ -9,6 +9,7 @@ further blocks, one corpus scan each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,28 +46,28 @@ def dense_rejects(chunks: DataFrame, dim: int) -> DataFrame:
     squares = F.aggregate(F.col("embedding"), F.lit(0.0), lambda s, x: s + x * x)
     reason = (F.when(F.col("embedding").isNull(), F.lit("NO_VECTOR"))
               .when(F.size("embedding") != dim, F.lit("DIMENSION"))
+              .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), F.lit("NULL_VALUE"))
               .when(squares == 0, F.lit("ZERO_NORM")))
     return (chunks.select("chunk_id", reason.alias("reason"))
             .filter(F.col("reason").isNotNull()))
 
 
-def build_ivf(chunks: DataFrame, n_cells: int, seed: int = 7, train_rows: int = 200_000,
+def build_ivf(chunks: DataFrame, n_cells: int, seed: int = 7,
               iterations: int = 10) -> tuple[DataFrame, DataFrame]:
     """(chunks with their ``cell``, cells with their centre) for ``ann_topk``.
 
-    Centres are trained on about ``train_rows`` vectors and written to the work folder, so that a
-    recomputed task sees the same ones; every chunk is then assigned to its nearest centre. Vectors
-    of another than the usual dimension, or of norm 0, are left out as in the exact search.
+    Centres are trained on all usable vectors and written to the work folder, so that a recomputed
+    task sees the same ones; every chunk is then assigned to its nearest centre. Vectors of another
+    than the usual dimension, with a null in them or of norm 0 are left out as in the exact search;
+    ``dense_rejects`` has them with the reason.
     """
     sizes = chunks.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).count()
     usual = sizes.orderBy(F.desc("count"), "dim").first()
     if usual is None:
         raise ValueError("no chunk has a vector")
     unit = _unit(chunks.filter(F.size("embedding") == usual["dim"]))
-    share = min(1.0, train_rows / usual["count"])
-    train = unit if share >= 1.0 else unit.sample(False, share, seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=iterations, featuresCol="__unit",
-                   predictionCol="cell").fit(train)
+                   predictionCol="cell").fit(unit)
     spark = chunks.sparkSession
     centres = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
@@ -76,7 +77,7 @@ def build_ivf(chunks: DataFrame, n_cells: int, seed: int = 7, train_rows: int =
 
 
 def _unit(df: DataFrame) -> DataFrame:
-    squares = F.aggregate(F.col("embedding"), F.lit(0.0), lambda s, x: s + x * x)
+    squares = F.aggregate(F.col("embedding"), F.lit(0.0), lambda s, x: s + x * x)  # null with a null in it
     length = F.sqrt(squares)
     scaled = F.transform("embedding", lambda x: x.cast("double") / length)
     return df.filter(squares > 0).withColumn("__unit", array_to_vector(scaled))
@@ -106,23 +107,37 @@ def _search(queries: DataFrame, chunks: DataFrame, k: int, query_block: int) ->
     return by_blocks(batch, query_block, lambda rows: _best_of(rows, columns, chunks, k), "dense")
 
 
+def _usable(vector) -> bool:
+    return bool(vector) and all(x is not None and np.isfinite(x) for x in vector) and any(vector)
+
+
+def query_rejects(queries: DataFrame) -> DataFrame:
+    """Queries that no search can score: without a vector, with a null in it or of norm 0."""
+    fine = F.size("embedding") > 0
+    fine &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    return queries.filter(~F.coalesce(fine, F.lit(False))).select("query_id")
+
+
 def _best_of(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:
-    if not rows:
+    by_dim: dict[int, list] = {}
+    for row in rows:
+        if _usable(row["embedding"]):
+            by_dim.setdefault(len(row["embedding"]), []).append(row)
+    if not by_dim:
         return chunks.sparkSession.createDataFrame([], _SCORES + ", rank int")
+    return reduce(DataFrame.unionByName, [_best_in(x, columns, chunks, k) for x in by_dim.values()])
+
+
+def _best_in(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:
     return topk(_score_block(rows, columns, chunks, k), ["query_id"],
                 [F.desc("score"), F.asc("chunk_id")], k, spread_on="chunk_id")
 
 
 def _score_block(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:
     ids = [str(r["query_id"]) for r in rows]
-    dims = {len(r["embedding"]) for r in rows}
-    if len(dims) != 1 or 0 in dims:
-        raise ValueError(f"query vectors must have one dimension, got {sorted(dims)}")
-    dim = dims.pop()
+    dim = len(rows[0]["embedding"])
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     lengths = np.linalg.norm(matrix, axis=1)
-    if (lengths == 0).any():
-        raise ValueError("a query vector has norm 0")
     matrix = (matrix / lengths[:, None]).T.copy()
     tokens = [frozenset(r["tokens"] or ()) for r in rows] if "tokens" in columns else None
     probes = [frozenset(r["probes"] or ()) for r in rows] if "probes" in columns else None
@@ -149,9 +164,11 @@ def _score_block(rows: list, columns: list[str], chunks: DataFrame, k: int) -> D
 def _score_rows(batch, dim, matrix, tokens, probes, best) -> None:
     chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
     vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-    vectors = np.nan_to_num(vectors.reshape(-1, dim))
+    vectors = vectors.reshape(-1, dim)
+    whole = np.isfinite(vectors).all(axis=1)
+    vectors = np.where(whole[:, None], vectors, 0.0)
     lengths = np.linalg.norm(vectors, axis=1)
-    usable = lengths > 0
+    usable = whole & (lengths > 0)
     vectors = vectors / np.where(usable, lengths, 1.0)[:, None]
     scores = np.round(vectors @ matrix, 12) if probes is None else _probed(
         vectors, matrix, batch.column("cell").to_numpy(zero_copy_only=False), probes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import constants as C
@@ -40,7 +40,8 @@ def rerank(candidates: DataFrame, scorer: Scorer | None, k: int, query: str = "q
     """Reorder fused candidates by a scorer and keep ``k`` per query.
 
     Rows keep their fused score; ``rank`` is the new order. Without a scorer, or for a query whose
-    scoring failed, the fused order stays. ``order_by="score"`` re-sorts the kept rows by the fused
+    scoring failed, the fused order stays in full; a scored query keeps the rows that got a score.
+    ``order_by="score"`` re-sorts the kept rows by the fused
     score, which is how context is assembled; "rank" keeps the scorer's order.
     """
     if order_by not in ("score", "rank"):
@@ -48,8 +49,11 @@ def rerank(candidates: DataFrame, scorer: Scorer | None, k: int, query: str = "q
     fused = candidates.withColumnRenamed("rank", "fused_rank")
     if scorer is None:
         return topk(fused, ["query_id"], [F.asc("fused_rank")], k)
-    scored = score_pairs(fused, scorer, query, content).withColumn(
+    scored = score_pairs(fused, scorer, query, content, group="query_id").withColumn(
         "relevance", F.when(~F.isnan("relevance"), F.col("relevance")))
+    any_score = F.max("relevance").over(Window.partitionBy("query_id"))
+    scored = (scored.withColumn("__any", any_score)
+              .filter(F.col("relevance").isNotNull() | F.col("__any").isNull()).drop("__any"))
     order = [F.desc_nulls_last("relevance"), F.asc("fused_rank")]
     best = topk(scored, ["query_id"], order, k).withColumn(
         "debug_info", F.when(F.col("relevance").isNotNull(), F.lit("reranked"))

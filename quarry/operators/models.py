@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import has_text, sha256_hex, strip
 from quarry.session import cut
@@ -68,18 +69,38 @@ def _answer(fn: Generator, prompt: str | None) -> str | None:
 
 
 def score_pairs(pairs: DataFrame, fn: Scorer, query: str = "query", text: str = "content",
-                out_col: str = "relevance") -> DataFrame:
-    """Adds the relevance of each (query, text) pair; a failed batch gives null."""
+                out_col: str = "relevance", group: str | None = None) -> DataFrame:
+    """Adds the relevance of each (query, text) pair; null where scoring failed.
+
+    With ``group`` (a query's id, whose candidates are bounded) the scorer is called once per group
+    and fails or answers for all of it, however rows are partitioned. Without it each pair is scored
+    for itself when a whole Arrow batch fails.
+    """
+    if group is not None:
+        def score_group(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.assign(**{out_col: _scores(fn, rows[query].tolist(), rows[text].tolist()).to_numpy()})
+
+        schema = T.StructType([*pairs.schema.fields, T.StructField(out_col, T.DoubleType())])
+        return pairs.groupBy(group).applyInPandas(score_group, schema)
+
     @F.pandas_udf("double")
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series([float(x) for x in fn(queries.tolist(), texts.tolist())])
-        except Exception:  # without a scorer the caller keeps its own order
-            return pd.Series([None] * len(queries), dtype="float64")
+        found = _scores(fn, queries.tolist(), texts.tolist())
+        if found.isna().all():
+            one_by_one = [_scores(fn, [q], [t]) for q, t in zip(queries, texts)]
+            found = pd.concat(one_by_one, ignore_index=True) if one_by_one else found
+        return found
 
     return pairs.withColumn(out_col, score(F.col(query), F.col(text)))
 
 
+def _scores(fn: Scorer, queries: list, texts: list) -> pd.Series:
+    try:
+        return pd.Series([None if x is None else float(x) for x in fn(queries, texts)], dtype="float64")
+    except Exception:  # without a score the caller keeps its own order
+        return pd.Series([None] * len(queries), dtype="float64")
+
+
 def rewrite_gate(df: DataFrame, enabled: bool, conversation_enabled: bool,
                  question: str = "question", conversation_id: str = "conversation_id",
                  history: str = "history") -> DataFrame:

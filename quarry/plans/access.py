@@ -65,12 +65,12 @@ def permission_signature(spark, sf_dir):
 def _stale_results(spark, sf_dir):
     """Every chunk as a result of one principal, as an old cache would hold it."""
     chunks = B.kb_chunks(spark, sf_dir).drop("content", "embedding")
-    number = F.substring("chunk_id", 2, 20).cast("long") % 150
+    number = F.substring("chunk_id", 2, 20).cast("long") % B.users(spark, sf_dir).count()
     return chunks.withColumn("principal_id", B.tag("u", number))
 
 
 @query("recheck_access", B.with_views("kb_docs kb_chunks users", f"""SELECT c.chunk_id, u.user_id AS principal_id
-    FROM kb_chunks c JOIN users u ON u.user_id = 'u' || substring(c.chunk_id, 2)::BIGINT % 150
+    FROM kb_chunks c JOIN users u ON u.user_id = 'u' || substring(c.chunk_id, 2)::BIGINT % (SELECT count(*) FROM users)
       AND {sql_access('c', 'u')}
     JOIN kb_docs d ON d.document_id = c.document_id AND d.status = 'READY'
       AND d.current_version = c.version AND d.tenant_id = u.tenant_id

@@ -78,7 +78,7 @@ def kb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kb_docs(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_no"), "embedding", "label")
-    n = F.col("doc_no")
+    n, items = F.col("doc_no"), table(spark, sf_dir, "benchmark").count()
     return docs.join(vectors, "doc_no", "left").select(
         F.concat(F.lit("c"), "document_id").alias("chunk_id"), "document_id", "filename", "content",
         "tenant_id", "owner_id", "department_id", "visibility", "allowed_user_ids",
@@ -87,7 +87,7 @@ def kb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("version"),
         F.when(n % 23 == 0, "DELETED").otherwise("ACTIVE").alias("status"),
         F.col("status").alias("document_status"), F.lit(0).alias("chunk_index"),
-        F.when(n % 2 == 0, F.concat(F.lit("p"), (n % 40).cast("string"))).alias("parent_id"),
+        F.when(n % 2 == 0, F.concat(F.lit("p"), (F.floor(n / 2) % items).cast("string"))).alias("parent_id"),
         "embedding", "label")
 
 
@@ -385,7 +385,7 @@ SQL: dict[str, str] = {
         current_version - CASE WHEN doc_no % 19 = 0 THEN 1 ELSE 0 END AS version,
         CASE WHEN doc_no % 23 = 0 THEN 'DELETED' ELSE 'ACTIVE' END AS status,
         status AS document_status, 0 AS chunk_index,
-        CASE WHEN doc_no % 2 = 0 THEN 'p' || doc_no % 40 END AS parent_id,
+        CASE WHEN doc_no % 2 = 0 THEN 'p' || (doc_no // 2) % (SELECT count(*) FROM benchmark) END AS parent_id,
         embedding::DOUBLE[] AS embedding, label
         FROM kb_docs LEFT JOIN embeddings ON vec_id = doc_no""",
     "live_chunks": """SELECT c.* FROM kb_chunks c WHERE c.status = 'ACTIVE'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunking as K
 from quarry.operators import corpus as O
-from quarry.operators.models import embed_incremental, hash_embedder
+from quarry.operators.models import embed_incremental
 from quarry.plans import bindings as B
 from quarry.plans.registry import query
 from quarry.plans.text import sql_strip
@@ -104,46 +104,106 @@ def split_sentences(spark, sf_dir):
     return K.split_sentences(documents(spark, sf_dir)).drop("version")
 
 
-@query("chunk_semantic")
+LETTERS = "aeinrst"
+THRESHOLD = 0.93
+
+
+def letter_counts(texts):
+    """An embedder that SQL can say too."""
+    return [[float((t or "").lower().count(c)) for c in LETTERS] for t in texts]
+
+
+_LETTER_SQL = "[" + ", ".join(f"(length(s) - length(replace(lower(s), '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+
+
+def sql_semantic(docs: str) -> str:
+    """Rows (document_id, version, chunk_index, content, sentences) of the semantic chunks of ``docs``."""
+    found = _SENTENCES.replace("FROM docs", f"FROM {docs}")
+    return f"""SELECT document_id, version, part::INT AS chunk_index, string_agg(s, '' ORDER BY i) AS content,
+        count(*) AS sentences FROM (
+      SELECT *, sum(CASE WHEN i > 1 AND near < {THRESHOLD} THEN 1 ELSE 0 END) OVER w AS part FROM (
+        SELECT *, coalesce(CASE WHEN list_sum(v) > 0 AND list_sum(lag(v) OVER w) > 0
+          THEN list_cosine_similarity(v, lag(v) OVER w) END, 0) AS near FROM (
+          SELECT document_id, version, i, s, {_LETTER_SQL} AS v FROM (
+            SELECT document_id, version, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM ({found})))
+        WINDOW w AS (PARTITION BY document_id, version ORDER BY i))
+      WINDOW w AS (PARTITION BY document_id, version ORDER BY i)) GROUP BY document_id, version, part"""
+
+
+# a second version of every document, with its lines in the opposite order
+_TWO_VERSIONS = """SELECT doc_id::VARCHAR AS document_id, 1 AS version, text AS content FROM documents UNION ALL
+    SELECT doc_id::VARCHAR, 2, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) FROM documents"""
+
+
+def two_versions(docs):
+    """documents rows (a batch or a stream) as version 1 and version 2."""
+    turned = F.array_join(F.reverse(F.split("text", "\n", -1)), "\n")
+    both = F.explode(F.array(F.struct(F.lit(1).alias("version"), F.col("text").alias("content")),
+                             F.struct(F.lit(2).alias("version"), turned.alias("content"))))
+    return docs.select("doc_id", both.alias("v")).select(
+        F.col("doc_id").cast("string").alias("document_id"), "v.version", "v.content")
+
+
+@query("chunk_semantic", f"WITH docs AS ({_TWO_VERSIONS}) {sql_semantic('docs')}")
 def chunk_semantic(spark, sf_dir):
-    return K.chunk_semantic(_embedded(spark, K.split_sentences(documents(spark, sf_dir))), 0.2)
+    docs = two_versions(B.table(spark, sf_dir, "documents"))
+    return K.chunk_semantic(_embedded(spark, K.split_sentences(docs)), THRESHOLD)
 
 
 def _embedded(spark, sents):
     """Sentences with vectors; equal sentences are embedded once."""
     cache = spark.createDataFrame([], "model string, text_hash string, embedding array<double>")
-    return embed_incremental(sents, cache, "hash-64", hash_embedder(64), "sentence")[0]
+    return embed_incremental(sents, cache, "letters", letter_counts, "sentence")[0]
+
 
+def strategy_views(source: str, semantic: str) -> dict[str, str]:
+    """Views of the chunks of ``source``: semantic ones where that holds, windows for the others."""
+    return {
+        f"{source}_fixed": f"SELECT document_id, version, {sql_strip('content')} AS t FROM {source} WHERE NOT ({semantic})",
+        f"{source}_sem": f"SELECT * FROM {source} WHERE {semantic}",
+        f"{source}_chunks": f"""SELECT document_id, version, chunk_index::INT AS chunk_index, content
+            FROM ({sql_windows(source + '_fixed')}) UNION ALL
+          SELECT document_id, version, chunk_index, content FROM ({sql_semantic(source + '_sem')})"""}
 
-@query("chunk_documents")
+
+_PAGE_CHUNKS = """SELECT 'page-' || document_id AS document_id, version, (row_number() OVER (PARTITION BY document_id
+      ORDER BY section_index, i) - 1)::INT AS chunk_index, content,
+      'page-' || document_id || '-v' || version || '-p' || section_index AS parent_id FROM children"""
+_CHILDREN = f"""SELECT k.document_id, k.version, k.section_index, k.body, w.chunk_index AS i,
+      CASE WHEN k.path = '' THEN '' ELSE '标题：' || k.path || chr(10) END || w.content AS content
+    FROM ({sql_windows("(SELECT parent AS document_id, version, body AS t FROM parts)")}) w
+    JOIN parts k ON k.parent = w.document_id"""
+_PARTS = "SELECT *, document_id || ':' || section_index AS parent FROM kept"
+
+
+@query("chunk_documents", B.with_views("pages_markdown", f"""SELECT {_IDENTITY} AS chunk_id, document_id, version,
+      chunk_index, parent_id, sha256(content) AS content_hash FROM (
+      SELECT document_id, version, chunk_index, content, NULL AS parent_id FROM docs_chunks
+      UNION ALL SELECT document_id, version, chunk_index, content, parent_id FROM page_chunks)""",
+    **_MARKDOWN, parts=_PARTS, children=_CHILDREN, page_chunks=_PAGE_CHUNKS, docs=_TWO_VERSIONS,
+    **strategy_views("docs", "document_id::BIGINT % 3 = 1")))
 def chunk_documents(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn(
+    docs = two_versions(B.table(spark, sf_dir, "documents")).withColumn(
         "strategy", B.pick(("FIXED", "SEMANTIC", "other"), F.col("document_id").cast("long")))
     pages = B.pages_markdown(spark, sf_dir).select(
         F.concat(F.lit("page-"), "document_id").alias("document_id"), "version", "content",
         F.lit("markdown").alias("strategy"))
-    children, _ = K.chunk_documents(docs.unionByName(pages), embed=lambda s: _embedded(spark, s))
+    children, _ = K.chunk_documents(docs.unionByName(pages), threshold=THRESHOLD,
+                                    embed=lambda s: _embedded(spark, s))
     return children.select("chunk_id", "document_id", "version", "chunk_index", "parent_id",
                            "content_hash")
 
 
-_CHILDREN = f"""SELECT k.document_id, k.version, k.section_index, k.body, w.chunk_index AS i,
-      CASE WHEN k.path = '' THEN '' ELSE '标题：' || k.path || chr(10) END || w.content AS content
-    FROM ({sql_windows("(SELECT parent AS document_id, version, body AS t FROM parts)")}) w
-    JOIN parts k ON k.parent = w.document_id"""
-
-
 @query("embedding_text", B.with_views("pages_markdown", f"""SELECT {_IDENTITY} AS chunk_id,
       sha256(content) AS content_hash,
-      {sql_strip("left(left(body, 8000) || chr(10) || content, 40)")} || chr(10) || content AS embedding_text
+      {sql_strip("right(left(body, 8000) || chr(10) || content, 900)")} || chr(10) || content AS embedding_text
     FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_index, i) - 1 AS chunk_index
-      FROM children)""", **_MARKDOWN, parts="SELECT *, document_id || ':' || section_index AS parent FROM kept",
-    children=_CHILDREN))
+      FROM children)""", **_MARKDOWN, parts=_PARTS, children=_CHILDREN))
 def embedding_text(spark, sf_dir):
     pages = B.pages_markdown(spark, sf_dir).withColumn("strategy", F.lit("MARKDOWN"))
     children, parents = K.chunk_documents(pages)
-    docs = pages.select("document_id", "content")
-    made = K.embedding_text(children, parents, docs, lambda prompt: prompt[:40])
+    docs = pages.select("document_id", "version", "content")
+    made = K.embedding_text(children, parents, docs, lambda prompt: prompt[-900:])
     return made.select("chunk_id", "content_hash", "embedding_text")
 
 

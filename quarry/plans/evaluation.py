@@ -232,8 +232,10 @@ def latency(spark, sf_dir):
 
 
 @query("export_eval_samples", B.with_views(_LABEL_VIEWS, f"""SELECT 'hybrid' AS mode, q.query_id AS case_id,
-      count(r.chunk_id) AS contexts, coalesce(string_agg(r.chunk_id, ',' ORDER BY r.rank), '') AS retrieved
-    FROM text_queries q JOIN (SELECT f.query_id, f.chunk_id, f.rank FROM fused f JOIN live_chunks c
+      sha256(string_agg(r.content, '|' ORDER BY r.rank)) AS contexts, 'c' || substring(q.query_id, 2) AS expected,
+      coalesce(string_agg(r.chunk_id, ',' ORDER BY r.rank), '') AS retrieved,
+      bool_or(r.chunk_id = 'c' || substring(q.query_id, 2)) AS doc_hit
+    FROM text_queries q JOIN (SELECT f.query_id, f.chunk_id, f.rank, c.content FROM fused f JOIN live_chunks c
       USING (chunk_id) WHERE f.rank <= {K} AND c.content <> '') r ON r.query_id = q.query_id
     GROUP BY q.query_id""", **Q.HYBRID))
 def export_eval_samples(spark, sf_dir):
@@ -246,9 +248,11 @@ def export_eval_samples(spark, sf_dir):
     samples = rows.join(asked, "query_id").select(
         F.lit("hybrid").alias("mode"), F.col("query_id").alias("case_id"), "question", "rank",
         "content", F.col("chunk_id").alias("key"), F.lit(None).cast("string").alias("answer"),
-        F.lit(None).cast("string").alias("reference"))
+        F.lit(None).cast("string").alias("reference"),
+        F.array(F.concat(F.lit("c"), F.substring("query_id", 2, 20))).alias("expected_keys"))
     path = work_path(spark, "samples")
     export_samples(samples, path)
     return read_samples(spark, path).select(
-        "mode", "case_id", F.size("contexts").cast("long").alias("contexts"),
-        F.array_join("retrieved_keys", ",").alias("retrieved"))
+        "mode", "case_id", F.sha2(F.array_join("contexts", "|"), 256).alias("contexts"),
+        F.array_join("expected_keys", ",").alias("expected"),
+        F.array_join("retrieved_keys", ",").alias("retrieved"), "doc_hit")

@@ -65,10 +65,11 @@ def rewrite_gate(spark, sf_dir):
       list_contains(d.words, w)))) / len(b.words)::DOUBLE, 6) AS relevance
     FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM documents) d
     JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM benchmark) b
-      ON b.item_id = d.doc_id % 40""")
+      ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def score_pairs(spark, sf_dir):
     """Every document scored against one benchmark text."""
-    docs = B.table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40)
+    n = B.table(spark, sf_dir, "benchmark").count()
+    docs = B.table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % n)
     asked = B.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     pairs = docs.join(asked, "item_id").select("doc_id", "query", F.col("text").alias("content"))
     return M.score_pairs(pairs, _letters_overlap).select(

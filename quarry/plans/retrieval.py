@@ -85,6 +85,36 @@ def cosine_to_centroid(spark, sf_dir):
         "vec_id", "label", F.round(cosine("mean", "embedding"), 6).alias("similarity"))
 
 
+_BAD = """SELECT vec_id, CASE vec_id % 8 WHEN 0 THEN NULL WHEN 1 THEN embedding[1:60]::DOUBLE[]
+      WHEN 2 THEN list_transform(embedding, lambda x: 0.0) WHEN 3 THEN list_concat(embedding[1:63]::DOUBLE[], [NULL])
+      ELSE embedding::DOUBLE[] END AS e FROM embeddings"""
+
+
+@query("dense_rejects", f"""SELECT 'c' || vec_id AS chunk_id, CASE WHEN e IS NULL THEN 'NO_VECTOR' WHEN len(e) <> 64
+      THEN 'DIMENSION' WHEN len(list_filter(e, lambda x: x IS NULL)) > 0 THEN 'NULL_VALUE' ELSE 'ZERO_NORM' END AS reason
+    FROM ({_BAD}) WHERE vec_id % 8 < 4""")
+def dense_rejects(spark, sf_dir):
+    """All vectors, half of them spoilt in four ways."""
+    n, e = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    bad = (F.when(n % 8 == 1, F.slice(e, 1, 60)).when(n % 8 == 2, F.transform(e, lambda x: F.lit(0.0)))
+           .when(n % 8 == 3, F.concat(F.slice(e, 1, 63), F.array(F.lit(None).cast("double"))))
+           .when(n % 8 > 3, e))
+    chunks = B.table(spark, sf_dir, "embeddings").select(B.tag("c", n).alias("chunk_id"), bad.alias("embedding"))
+    return D.dense_rejects(chunks, 64)
+
+
+@query("ann_topk_all_cells", B.with_views("dense_queries live_chunks", """SELECT query_id, chunk_id,
+      round(score, 6) AS score, rank::INT AS rank FROM best WHERE rank <= 10""", best=_DENSE_ACL))
+def ann_topk_all_cells(spark, sf_dir):
+    """With every cell probed the index gives what the exact search gives."""
+    chunks = B.live_chunks(spark, sf_dir).select(
+        "chunk_id", "embedding", "tenant_id", "owner_id", "department_id", "visibility",
+        "allowed_user_ids", "allowed_role_ids")
+    assigned, centres = D.build_ivf(chunks, n_cells=16)
+    best = D.ann_topk(dense_inputs(spark, sf_dir), assigned, centres, 10, nprobe=16)
+    return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("ann_topk")
 def ann_topk(spark, sf_dir):
     chunks = B.live_chunks(spark, sf_dir).select(

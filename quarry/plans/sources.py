@@ -101,11 +101,11 @@ def append_ledger(spark, sf_dir):
         F.round(F.sum("estimated_cost").cast("double"), 6).alias("estimated_cost"))
 
 
-@query("snapshots", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 1")
+@query("snapshots", "SELECT doc_id, n_chars + doc_id AS n_chars FROM documents")
 def snapshots(spark, sf_dir):
     """Two versions of a table; the newest is read."""
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     root = work_path(spark, "snapshots")
     write_snapshot(docs, root, 1)
-    write_snapshot(read_snapshot(spark, root).filter("doc_id % 2 = 1"), root, 2)
+    write_snapshot(read_snapshot(spark, root).withColumn("n_chars", F.col("n_chars") + F.col("doc_id")), root, 2)
     return read_snapshot(spark, root)

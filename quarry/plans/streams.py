@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.models import hash_embedder
 from quarry.plans import bindings as B
-from quarry.plans.chunks import _IDENTITY, sql_windows
+from quarry.plans.chunks import (_IDENTITY, _TWO_VERSIONS, LETTERS, THRESHOLD, letter_counts,
+                                 strategy_views, two_versions)
 from quarry.plans.operations import _COUNTERS, _RATES, _TRANSITIONS, SQL_ALERTS
 from quarry.plans.registry import query
-from quarry.plans.text import sql_strip
 from quarry.session import work_path
 from quarry.streaming import state as T
 from quarry.streaming import windows as W
@@ -152,17 +151,18 @@ def stream_history(spark, sf_dir):
     return done.select("conversation_id", "seq", "retained", "compressed")
 
 
-@query("stream_ingest", f"""WITH docs AS (SELECT doc_id::VARCHAR AS document_id, 1 AS version,
-      text AS content FROM documents), texts AS (SELECT document_id, version, {sql_strip('content')} AS t
-      FROM docs), cut AS ({sql_windows('texts')})
-    SELECT {_IDENTITY} AS chunk_id, document_id, chunk_index::INT AS chunk_index,
-      sha256(content) AS content_hash, 16 AS dim FROM cut""")
+@query("stream_ingest", B.with_views("", f"""SELECT {_IDENTITY} AS chunk_id, document_id, version, chunk_index,
+      sha256(content) AS content_hash, array_to_string([(length(content) - length(replace(lower(content), x, '')))
+        FOR x IN [{", ".join(f"'{c}'" for c in LETTERS)}]], ',') AS vector FROM docs_chunks""",
+    docs=_TWO_VERSIONS, **strategy_views("docs", "document_id::BIGINT % 3 = 1")))
 def stream_ingest_documents(spark, sf_dir):
-    rows = read_parquet_stream(spark, sf_dir, "documents.parquet")
-    docs = rows.select(F.col("doc_id").cast("string").alias("document_id"),
-                       F.lit(1).alias("version"), F.col("text").alias("content"),
-                       F.lit("FIXED").alias("strategy"))
+    """Two versions of every document through all three strategies (documents have no headings, so a
+    MARKDOWN one is a single section)."""
+    docs = two_versions(read_parquet_stream(spark, sf_dir, "documents.parquet")).withColumn(
+        "strategy", B.pick(("FIXED", "SEMANTIC", "MARKDOWN"), F.col("document_id").cast("long")))
     target = work_path(spark, "corpus")
-    stream_ingest(docs, target, hash_embedder(16), "hash-16").awaitTermination()
-    return latest_chunks(spark, target).select("chunk_id", "document_id", "chunk_index",
-                                               "content_hash", F.size("embedding").alias("dim"))
+    stream_ingest(docs, target, letter_counts, "letters", threshold=THRESHOLD).awaitTermination()
+    numbers = F.transform("embedding", lambda x: x.cast("long").cast("string"))
+    return latest_chunks(spark, target).select(
+        "chunk_id", "document_id", "version", "chunk_index", "content_hash",
+        F.array_join(numbers, ",").alias("vector"))

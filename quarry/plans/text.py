@@ -202,11 +202,17 @@ def check_tool_permission(spark, sf_dir):
         risk, confirmed, "permission_code", "permissions").alias("error_code"))
 
 
-@query("prompt_leak", f"""SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN '{C.LEAK_REFUSAL}'
-    WHEN text LIKE '%system prompt%' THEN '{C.LEAK_REFUSAL}' ELSE text END AS answer FROM documents""")
+# each phrase that must not be shown, and one that may
+_SHOWN = ("你是一个企业客服 Agent", "工具选择规则", "当前用户可用工具", "后端当前暴露给你的工具", "你必须只返回 JSON",
+          "system prompt", "系统提示")
+
+
+@query("prompt_leak", f"""SELECT doc_id, CASE WHEN doc_id % 14 < 6 OR text LIKE '%system prompt%'
+      THEN '抱歉，当前回答包含不可展示的内部指令内容，请换一种问法重试。'
+    WHEN doc_id % 14 = 6 THEN text || ' {_SHOWN[6]} ' || text ELSE text END AS answer FROM documents""")
 def prompt_leak(spark, sf_dir):
     n = F.col("doc_id")
-    answer = F.when(n % 10 == 3, F.concat("text", F.lit(" 工具选择规则 "), "text")).otherwise(
+    answer = F.when(n % 14 < 7, F.concat("text", F.lit(" "), B.pick(_SHOWN, n % 14), F.lit(" "), "text")).otherwise(
         F.col("text"))
     return B.table(spark, sf_dir, "documents").select("doc_id", U.prompt_leak(answer)
                                                       .alias("answer"))
@@ -273,6 +279,22 @@ def result_summary(spark, sf_dir):
                                            .alias("summary"))
 
 
+@query("conversation_summary", B.with_views("ev", """SELECT event_id, CASE event_type
+      WHEN 'click' THEN 'orderId=ORD' || k || ', status=PAID, amount=199.9'
+      WHEN 'error' THEN 'orderId=null, status=null, amount='
+      ELSE 'orderId=' || coalesce(json_extract_string(json, '$.orderId'), '') || ', status=' ||
+        coalesce(json_extract_string(json, '$.status'), '') END AS summary
+    FROM (SELECT r.*, k FROM results r JOIN ev USING (event_id))""", results=_RESULTS))
+def conversation_summary(spark, sf_dir):
+    """The summary a conversation keeps; errors are order queries without a result."""
+    kind, k = F.col("event_type"), F.col("k").cast("string")
+    json = (F.when(kind == "click", F.concat(F.lit('{"orderId":"ORD'), k, F.lit('","status":"PAID","amount":199.9}')))
+            .when(kind == "view", F.concat(F.lit('{"answerable":true,"retrievedCount":'), k, F.lit(',"sources":[1,2]}')))
+            .when(kind != "error", F.col("props")))
+    tool = F.when(kind.isin("click", "error"), "query_order").otherwise("other")
+    return B._events(spark, sf_dir).select("event_id", U.conversation_summary(tool, json).alias("summary"))
+
+
 @query("file_names_and_types", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'unknown'
       ELSE source || '.MD' END AS filename, CASE WHEN doc_id % 4 = 0 THEN 'application/octet-stream'
       ELSE 'text/' || lower(lang) END AS content_type FROM documents""")

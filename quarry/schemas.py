@@ -24,7 +24,8 @@ EVAL_CASE = ("caseId string, question string, expectedAnswer string, "
 QUESTION = "question string, expectedKeys array<string>, expectedPhrase string"
 FOLLOW_UP = "turn1 string, turn2 string, expectedKeys array<string>"
 EVAL_SAMPLE = ("mode string, case_id string, question string, contexts array<string>, "
-               "answer string, reference string, retrieved_keys array<string>")
+               "answer string, reference string, expected_keys array<string>, "
+               "retrieved_keys array<string>, doc_hit boolean")
 TOOL_POLICY = ("tool_name string, enabled boolean, shadow_only boolean, auto_execute boolean, "
                "requires_confirmation boolean, max_calls_per_request int, "
                "allowed_tenant_ids array<string>, allowed_role_ids array<string>")

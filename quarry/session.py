@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_chosen: dict[str, str] = {}
 
 
 def get_session(app_name: str = "quarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,20 +33,23 @@ def get_session(app_name: str = "quarry", master: str | None = None, **conf: str
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor, so there it is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    """The shared folder named by ``spark.checkpoint.dir``, or by ``use_work_dir`` where that is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _chosen.get(spark.conf.get("spark.app.id", ""))
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app_id = spark.conf.get("spark.app.id", "local")
-    if app_id not in _local_dirs:
-        _local_dirs[app_id] = tempfile.mkdtemp(prefix="quarry-")
-    return _local_dirs[app_id]
+    return configured
+
+
+def use_work_dir(spark: SparkSession, path: str) -> None:
+    """Name the shared folder of a session that was started without ``spark.checkpoint.dir``."""
+    _chosen[spark.conf.get("spark.app.id", "")] = path
+
+
+def use_own_dir(spark: SparkSession) -> None:
+    """A new temporary folder, for a session of one machine that names none; others stay as they are."""
+    own = spark.conf.get("spark.app.id", "") in _chosen or spark.conf.get("spark.checkpoint.dir", None)
+    if not own and spark.conf.get("spark.master", "").split("[")[0] == "local":
+        use_work_dir(spark, tempfile.mkdtemp(prefix="quarry-"))
 
 
 def work_path(spark: SparkSession, name: str) -> str:

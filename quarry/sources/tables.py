@@ -17,14 +17,18 @@ def append_usage(usage: DataFrame, path: str) -> None:
 def export_samples(rows: DataFrame, path: str) -> None:
     """Write one JSON line per (mode, case) for an outside judge.
 
-    ``rows``: mode, case_id, question, rank, content, key, answer, reference; a case's rows are its
-    top-k results. Empty contexts are dropped.
+    ``rows``: mode, case_id, question, rank, content, key, answer, reference and expected_keys; a
+    case's rows are its top-k results. Empty contexts are dropped. ``doc_hit`` says whether any
+    expected key was retrieved.
     """
     ordered = F.array_sort(F.collect_list(F.struct("rank", "content", "key")))
     filled = F.filter(ordered, lambda r: F.coalesce(r["content"], F.lit("")) != "")
     samples = rows.groupBy("mode", "case_id", "question", "answer", "reference").agg(
         F.transform(filled, lambda r: r["content"]).alias("contexts"),
+        F.first("expected_keys").alias("expected_keys"),
         F.transform(ordered, lambda r: r["key"]).alias("retrieved_keys"))
+    hit = F.arrays_overlap(F.coalesce("expected_keys", F.array().cast("array<string>")), "retrieved_keys")
+    samples = samples.withColumn("doc_hit", F.coalesce(hit, F.lit(False)))
     samples.write.mode("errorifexists").partitionBy("mode").json(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,33 +12,41 @@ from quarry import constants as C
 from quarry.operators.access import keep_current
 from quarry.operators.chunking import chunk_documents
 from quarry.operators.models import Embedder, embed_incremental
-from quarry.operators.skew import topk
-from quarry.session import work_path
 
 
 def stream_ingest(docs: DataFrame, target: str, embed_fn: Embedder, model: str,
                   checkpoint: str | None = None, size: int = C.CHUNK_SIZE,
-                  overlap: int = C.CHUNK_OVERLAP) -> StreamingQuery:
+                  overlap: int = C.CHUNK_OVERLAP,
+                  threshold: float = C.SEMANTIC_THRESHOLD) -> StreamingQuery:
     """Chunk, identify and embed each micro-batch of documents into ``target``.
 
     ``docs``: document_id, version, content, strategy and metadata. A batch writes only its own rows
     to ``target/chunks/batch=N``, replacing what an earlier try of the same batch left, so nothing is
-    written twice and the cost follows the input, not the corpus. Texts that earlier batches
-    embedded are looked up in ``target/vectors``. ``latest_chunks`` reads the result.
+    written twice and the cost follows the input, not the corpus. Texts and, for the SEMANTIC
+    strategy, sentences that earlier batches embedded are looked up in ``target/vectors``. The
+    checkpoint belongs to the target unless one is given, so a second run goes on where the first
+    ended. ``latest_chunks`` reads the result.
     """
-    spark = docs.sparkSession
-
     def ingest(batch: DataFrame, number: int) -> None:
-        children, parents = chunk_documents(batch, size=size, overlap=overlap)
         cache = _vectors(batch.sparkSession, target, number)
-        embedded, added = embed_incremental(children, cache, model, embed_fn, "content")
-        _replace(added, f"{target}/vectors/batch={number}")
+        made = [cache]
+
+        def embed(sentences: DataFrame) -> DataFrame:
+            vectors, new = embed_incremental(sentences, cache, model, embed_fn, "sentence")
+            made.append(new)
+            return vectors
+
+        children, parents = chunk_documents(batch, size=size, overlap=overlap, threshold=threshold,
+                                            embed=embed)
+        known = reduce(DataFrame.unionByName, made)
+        embedded, added = embed_incremental(children, known, model, embed_fn, "content")
+        _replace(reduce(DataFrame.unionByName, [*made[1:], added]), f"{target}/vectors/batch={number}")
         stamped = embedded.drop("text_hash").withColumn("batch", F.lit(number))
         _replace(stamped, f"{target}/chunks/batch={number}")
         _replace(parents.withColumn("batch", F.lit(number)), f"{target}/parents/batch={number}")
 
     return (docs.writeStream.foreachBatch(ingest)
-            .option("checkpointLocation", checkpoint or work_path(spark, "ingest"))
+            .option("checkpointLocation", checkpoint or f"{target}/_checkpoint")
             .trigger(availableNow=True).start())
 
 
@@ -55,7 +65,9 @@ def _replace(df: DataFrame, path: str) -> None:
 
 def latest_chunks(spark: SparkSession, target: str,
                   registry: DataFrame | None = None) -> DataFrame:
-    """Newest row of each chunk id; with a registry (document_id, version) only current versions."""
+    """Chunks of each document version as its newest batch left them: what an earlier one made of the
+    same version is gone. With a registry (document_id, version) only current versions."""
     rows = spark.read.parquet(f"{target}/chunks")
-    newest = topk(rows, ["chunk_id"], [F.desc("batch")], 1, "__rank").drop("__rank")
+    last = rows.groupBy("document_id", "version").agg(F.max("batch").alias("batch"))
+    newest = rows.join(last, ["document_id", "version", "batch"], "left_semi")
     return newest if registry is None else keep_current(newest, registry)

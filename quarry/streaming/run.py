@@ -22,9 +22,9 @@ def read_parquet_stream(spark: SparkSession, folder: str, name: str,
 
 
 def start_parquet(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Append to parquet until the available input is used up; exactly once per checkpoint."""
-    spark = df.sparkSession
-    location = checkpoint or work_path(spark, "stream")
+    """Append to parquet until the available input is used up; exactly once per checkpoint, which
+    belongs to the path unless one is given."""
+    location = checkpoint or f"{path.rstrip('/')}.checkpoint"
     return (df.writeStream.format("parquet").outputMode("append")
             .option("checkpointLocation", location).trigger(availableNow=True).start(path))
 

@@ -9,10 +9,11 @@ from quarry.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("shared")
     session = get_session("quarry-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": "6g", "spark.checkpoint.dir": f"file://{folder}", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -101,6 +101,27 @@ def test_embedding_text_falls_back(spark):
             raise ValueError("down")
         return " ctx "
 
-    made = K.embedding_text(children, parents, pages.select("document_id", "content"), prefix)
+    made = K.embedding_text(children, parents, pages.select("document_id", "version", "content"), prefix)
     assert sorted(r["embedding_text"] for r in made.collect()) == [
         "ctx\n标题：h\nbody one", "标题：h\nfail"]
+
+
+def test_versions_stay_apart(spark):
+    rows = spark.createDataFrame(
+        [("d", 1, "one?red?", "SEMANTIC"), ("d", 2, "blue!two!", "SEMANTIC"), ("e", 1, "plain", "FIXED")],
+        "document_id string, version int, content string, strategy string")
+    embed = lambda s: s.withColumn("embedding", F.array(F.lit(1.0)))
+    children, _ = K.chunk_documents(rows, embed=embed)
+    got = {(r["document_id"], r["version"], r["content"]) for r in children.collect()}
+    assert got == {("d", 1, "one?red?"), ("d", 2, "blue!two!"), ("e", 1, "plain")}
+    pages = children.withColumn("parent_id", F.lit(None).cast("string"))
+    made = K.embedding_text(pages, rows.limit(0).select(F.lit("p").alias("parent_id"), "content"),
+                            rows.select("document_id", "version", "content"), lambda p: "ctx")
+    assert made.count() == 3
+
+
+def test_semantic_documents_need_an_embedder(spark):
+    rows = spark.createDataFrame([("d", 1, "a b", "SEMANTIC")],
+                                 "document_id string, version int, content string, strategy string")
+    with pytest.raises(Exception, match="embedder"):
+        K.chunk_documents(rows)[0].collect()

@@ -272,3 +272,42 @@ def test_plans_trim_before_the_shuffle(spark):
 
     plan = topk(rows, ["query_id"], [F.desc("score")], 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_rerank_fails_per_query(spark, parts):
+    rows = [(q, q, f"{q}{i}", "bad" if q == "x" and i == 2 else str(i), 1.0 - i / 10, i + 1, "rrf")
+            for q in "wxyz" for i in range(4)]
+    candidates = spark.createDataFrame(rows, "query_id string, query string, chunk_id string, content string, "
+                                       "score double, rank int, debug_info string").repartition(parts)
+
+    def score(queries, texts):
+        if "bad" in texts:
+            raise RuntimeError("no scorer")
+        return [None if t == "0" and q == "y" else float(t) for q, t in zip(queries, texts)]
+
+    got = {}
+    for r in R.rerank(candidates, score, 4, order_by="rank").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == {"w": ["w3", "w2", "w1", "w0"], "x": ["x0", "x1", "x2", "x3"], "y": ["y3", "y2", "y1"],
+                   "z": ["z3", "z2", "z1", "z0"]}
+
+
+def test_missing_names_keep_their_place(spark):
+    hits = spark.createDataFrame(
+        [("q", "c1", "d", None, "a", 0.9, 1, "p9"), ("q", "c2", "d", "f", None, 0.8, 2, None),
+         ("q", "c3", "d", "f", "x" * 500, 0.7, 3, None)], HITS)
+    parents = spark.createDataFrame([("p1", "body")], "parent_id string, content string")
+    packed = X.pack_context(hits, parents, max_chars=200).orderBy("n").collect()
+    assert [r["section"] for r in packed] == ["[1]\n文件：null\n内容：a\n\n", "[2]\n文件：f\n内容：null\n\n"]
+    assert all(r["truncated"] for r in packed)
+
+
+def test_odd_queries_do_not_stop_the_batch(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0, 0.0]), ("n", [None, 1.0])],
+                                   "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [1.0, 0.0, 0.0]), ("zero", [0.0, 0.0]), ("none", None)],
+                                    "query_id string, embedding array<double>")
+    got = {(r["query_id"], r["chunk_id"]) for r in D.dense_topk(queries, chunks, 1).collect()}
+    assert got == {("q", "a"), ("r", "c")}
+    assert {r["query_id"] for r in D.query_rejects(queries).collect()} == {"zero", "none"}

@@ -111,3 +111,15 @@ def test_files_are_read_and_routed(spark, tmp_path):
 
     assert S.read_eval_cases(spark, str(tmp_path / "cases.json"), QUESTION).first()[
         "expectedKeys"] == ["a", "b"]
+
+
+def test_ingest_again_clears_a_version_and_goes_on(spark):
+    ddl = "document_id string, version int, content string, strategy string"
+    first = [("d", 1, "One is here. Two is here.", "SEMANTIC"), ("e", 1, "kept", "FIXED")]
+    second = [("d", 1, "changed", "FIXED")]
+    docs = stream_of(spark, first, second, ddl=ddl)
+    target = work_path(spark, "corpus")
+    for _ in range(2):  # the second run finds its checkpoint and adds nothing
+        stream_ingest(docs, target, hash_embedder(8), "m").awaitTermination()
+    got = latest_chunks(spark, target).collect()
+    assert sorted((r["document_id"], r["content"]) for r in got) == [("d", "changed"), ("e", "kept")]
