@@ -29,8 +29,10 @@ from quarry.llm.common import map_batches
 
 #: Training rows of a language, about; a sample by hash.
 SAMPLE_ROWS = 400
-#: Bytes of a dictionary, at most; as much from each sampled text.
+#: Bytes of a dictionary, at most.
 DICTIONARY = 110 << 10
+#: Characters of a sampled training text that are carried to the driver; predictions use whole texts.
+SAMPLE_CHARS = 8 << 10
 PIECE = 4096
 LEVEL = 9
 #: Shortest repetition that is looked for: endings and function words are short.
@@ -57,8 +59,7 @@ def training_sample(training: DataFrame, text: str, lang: str, rows: int) -> lis
     # a hash as a number from 0 to 1
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     most = 2 * rows * len(counts)
-    # no more of a text than a dictionary could take is carried
-    taken = known.filter(place < share[F.col("lang")]).limit(most).select("lang", F.substring("text", 1, DICTIONARY).alias("text"))
+    taken = known.filter(place < share[F.col("lang")]).limit(most).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     return sorted((r["lang"], r["text"]) for r in taken.collect())
 
 
