@@ -57,7 +57,6 @@ FORBIDDEN_ARGS = ("userId", "tenantId", "topK", "scoreThreshold", "role", "roleI
                   "departmentId", "departmentIds", "visibility")
 FORBIDDEN_SEARCH_ARGS = ("userId", "tenantId", "role", "roleId", "roleIds", "departmentId",
                          "departmentIds", "visibility", "scoreThreshold")
-PUBLIC_ORDER_IDS = ("ORD001", "ORD002", "ORD202605220001", "123456")
 LEAK_MARKERS = ("你是一个企业客服 Agent", "工具选择规则", "当前用户可用工具", "后端当前暴露给你的工具",
                 "你必须只返回 JSON", "system prompt")
 MISSING = "null"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,14 +234,14 @@ def recent_decisions(decisions: DataFrame, n: int = 0) -> DataFrame:
     return decisions.orderBy(F.desc("created_at"), F.desc("decision_id")).limit(wanted)
 
 
-def owned_orders(requests: DataFrame, orders: DataFrame) -> DataFrame:
+def owned_orders(requests: DataFrame, orders: DataFrame, public: Sequence[str] = ()) -> DataFrame:
     """Access verdict per order request: OK, PERMISSION_DENIED or BUSINESS_REJECTED (unknown id).
 
-    ``requests``: request_id, user_id, order_id; ``orders``: order_id, owner_id, status. A public
-    order is anyone's.
+    ``requests``: request_id, user_id, order_id; ``orders``: order_id, owner_id, status. An order
+    in ``public`` is anyone's.
     """
     known = orders.select("order_id", F.col("owner_id").alias("__owner"), "status")
-    mine = (F.col("__owner") == F.col("user_id")) | F.col("order_id").isin(*C.PUBLIC_ORDER_IDS)
+    mine = (F.col("__owner") == F.col("user_id")) | F.col("order_id").isin(*public)
     verdict = (F.when(~has_text("user_id"), F.lit("PERMISSION_DENIED"))
                .when(F.col("__owner").isNull(), F.lit("BUSINESS_REJECTED"))
                .when(mine, F.lit("OK")).otherwise(F.lit("PERMISSION_DENIED")))

@@ -15,16 +15,14 @@ QUERY_BLOCK = 2048
 
 def by_blocks(batch: DataFrame, limit: int, run: Callable[[list], DataFrame],
               name: str) -> DataFrame:
-    """``run`` on the rows of a query batch, at most ``limit`` of them at a time.
+    """``run`` on the rows of a query batch, about half of ``limit`` at a time.
 
-    A larger batch is cut by query_id into blocks of about half the limit, so that uneven hashing
-    stays under it. One block at a time is in the driver, and its result is written before the next
-    one is fetched.
+    A batch of any size takes the same way: blocks by hash of the query_id, so that uneven hashing
+    stays under the limit and rows of one id stay together. One block at a time is in the driver, and
+    its result is written before the next one is fetched.
     """
-    rows = batch.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return run(rows)
-    count = 2 * (batch.count() // limit + 1)
+    batch = cut(batch, f"{name}-queries")
+    count = max(1, -(-2 * batch.count() // limit))
     numbered = batch.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(count)))
     parts = []
     for number in range(count):
