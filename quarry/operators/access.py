@@ -68,13 +68,23 @@ def with_acl_class(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("acl_class", F.array_join(grants(), _SEPARATOR))
 
 
+def class_tokens(acl_class: str) -> list[str]:
+    """The grant tokens of an access class."""
+    return acl_class.split(_SEPARATOR) if acl_class else []
+
+
 def visible_classes(classes: DataFrame, principals: DataFrame) -> DataFrame:
     """(signature, acl_class) pairs that match; ``classes`` has acl_class in any multiplicity."""
-    opened = (classes.select("acl_class").distinct().filter(F.col("acl_class") != "")
-              .withColumn("token", F.explode(F.split("acl_class", _SEPARATOR))))
     held = (principals.select(permission_signature().alias("signature"),
                               principal_tokens().alias("__tokens")).distinct()
             .select("signature", F.explode("__tokens").alias("token")))
+    return opened_classes(classes, held)
+
+
+def opened_classes(classes: DataFrame, held: DataFrame) -> DataFrame:
+    """(signature, acl_class) pairs that share a token; ``held``: signature, token."""
+    opened = (classes.select("acl_class").distinct().filter(F.col("acl_class") != "")
+              .withColumn("token", F.explode(F.split("acl_class", _SEPARATOR))))
     return opened.join(held, "token").select("signature", "acl_class").distinct()
 
 

@@ -251,21 +251,26 @@ def owned_orders(requests: DataFrame, orders: DataFrame, public: Sequence[str] =
 
 
 def confirmations(created: DataFrame, confirmed: DataFrame,
-                  ttl_seconds: int = C.CONFIRMATION_TTL_SECONDS) -> DataFrame:
-    """Outcome of each confirmation: EXECUTED, EXPIRED, USER_MISMATCH or PENDING.
+                  ttl_seconds: int = C.CONFIRMATION_TTL_SECONDS,
+                  as_of: Column | None = None) -> DataFrame:
+    """Outcome of each request: EXECUTED when its owner answered in time, else USER_MISMATCH when only
+    others did, else EXPIRED, or PENDING while its lifetime has not passed at ``as_of`` (None: the log
+    is finished).
 
     ``created``: confirmation_id, user_id, created_at; ``confirmed``: confirmation_id, user_id,
-    confirmed_at. The first confirmation by the owner decides.
+    confirmed_at. Answers after the lifetime change nothing. ``first_own`` is the owner's first answer.
     """
     asked = created.select("confirmation_id", F.col("user_id").alias("owner_id"), "created_at")
-    answers = asked.join(confirmed, "confirmation_id", "left")
-    own = F.col("user_id") == F.col("owner_id")
-    outcome = (F.when(F.col("first_own").isNull() & F.col("any_answer"), F.lit("USER_MISMATCH"))
-               .when(F.col("first_own").isNull(), F.lit("PENDING"))
-               .when(F.unix_micros("first_own") - F.unix_micros("created_at")
-                     > ttl_seconds * 1_000_000, F.lit("EXPIRED"))
-               .otherwise(F.lit("EXECUTED")))
-    return (answers.groupBy("confirmation_id", "owner_id", "created_at").agg(
+    after = F.unix_micros("confirmed_at") - F.unix_micros("created_at")
+    in_time = (after >= 0) & (after <= ttl_seconds * 1_000_000)
+    own = in_time & (F.col("user_id") == F.col("owner_id"))
+    decided = asked.join(confirmed, "confirmation_id", "left").groupBy(
+        "confirmation_id", "owner_id", "created_at").agg(
         F.min(F.when(own, F.col("confirmed_at"))).alias("first_own"),
-        F.coalesce(F.bool_or(F.col("user_id").isNotNull()), F.lit(False)).alias("any_answer"))
-        .withColumn("outcome", outcome).drop("any_answer"))
+        F.coalesce(F.bool_or(in_time & F.col("user_id").isNotNull()), F.lit(False)).alias("answered"))
+    outcome = F.when(F.col("first_own").isNotNull(), F.lit("EXECUTED"))
+    if as_of is not None:
+        open_ = F.unix_micros(as_of) - F.unix_micros("created_at") <= ttl_seconds * 1_000_000
+        outcome = outcome.when(open_, F.lit("PENDING"))
+    outcome = outcome.when(F.col("answered"), F.lit("USER_MISMATCH")).otherwise(F.lit("EXPIRED"))
+    return decided.withColumn("outcome", outcome).drop("answered")

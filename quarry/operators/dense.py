@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.access import apply_threshold, check_threshold, grants
-from quarry.operators.blocks import QUERY_BLOCK, by_blocks
+from quarry.operators.blocks import CELLS_PER_STEP, QUERY_BLOCK, Best, by_blocks
 from quarry.operators.skew import topk
 from quarry.session import cut
 
-_CELLS_PER_STEP = 4_000_000  # scores held at a time by one task
 _SCORES = "query_id string, chunk_id string, score double"
 
 
@@ -151,9 +150,9 @@ def _score_block(rows: list, columns: list[str], chunks: DataFrame, k: int) -> D
         picked.append("cell")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(ids), k)
+        best = Best(len(ids), k)
         for batch in batches:
-            step = max(1, _CELLS_PER_STEP // len(ids))
+            step = max(1, CELLS_PER_STEP // len(ids))
             for start in range(0, batch.num_rows, step):
                 _score_rows(batch.slice(start, step), dim, matrix, tokens, probes, best)
         yield best.to_batch(ids)
@@ -204,40 +203,6 @@ def _visible(grant_lists, tokens) -> np.ndarray:
     return np.stack([by_set[held] for held in tokens], axis=1)
 
 
-class _Best:
-    """Best k (score, chunk id) per query seen by one task."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = [np.empty(0) for _ in range(queries)]
-        self.ids = [np.empty(0, dtype=object) for _ in range(queries)]
-
-    def offer(self, scores: np.ndarray, chunk_ids: np.ndarray) -> None:
-        for q in range(scores.shape[1]):
-            column = scores[:, q]
-            full = len(self.scores[q]) == self.k
-            floor = self.scores[q][-1] if full else -np.inf
-            rows = np.flatnonzero((column >= floor) & (column > -np.inf))
-            if len(rows) > self.k:
-                kth = np.partition(column[rows], len(rows) - self.k)[len(rows) - self.k]
-                rows = rows[column[rows] >= kth]
-            if not len(rows):
-                continue
-            merged = np.concatenate((self.scores[q], column[rows]))
-            ids = np.concatenate((self.ids[q], chunk_ids[rows]))
-            order = np.lexsort((ids.astype(str), -merged))[:self.k]
-            self.scores[q], self.ids[q] = merged[order], ids[order]
-
-    def to_batch(self, query_ids: list[str]) -> pa.RecordBatch:
-        sizes = [len(s) for s in self.scores]
-        names = np.repeat(np.array(query_ids, dtype=object), sizes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(names), pa.string()),
-             pa.array([i for ids in self.ids for i in ids], pa.string()),
-             pa.array(np.concatenate(self.scores), pa.float64())],
-            names=["query_id", "chunk_id", "score"])
-
-
 def centroids(vectors: DataFrame, key: str, digits: int = 6) -> DataFrame:
     """Mean vector per key, each coordinate rounded: (key, embedding).
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import constants as C
-from quarry.operators.access import permission_signature, principal_tokens
+from quarry.operators.access import (current_versions, filter_live, keep_current,
+                                     permission_signature, principal_tokens, visible_classes,
+                                     with_acl_class)
 from quarry.operators.dense import dense_topk
-from quarry.operators.lexical import bm25_topk
+from quarry.operators.lexical import InvertedIndex, bm25_topk
 from quarry.operators.models import Scorer, score_pairs
 from quarry.operators.skew import topk
 
@@ -67,18 +69,25 @@ def rerank(candidates: DataFrame, scorer: Scorer | None, k: int, query: str = "q
 def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C.TOP_K,
            configured_k: int = C.TOP_K, recall_k: int = C.RECALL_TOP_K,
            threshold: float = C.SCORE_THRESHOLD, include_below: bool = False,
-           scorer: Scorer | None = None, scope: str = "visible") -> DataFrame:
+           scorer: Scorer | None = None, scope: str = "visible",
+           index: InvertedIndex | None = None, documents: DataFrame | None = None) -> DataFrame:
     """Permission-aware search for a batch of queries.
 
     ``queries``: query_id, text, embedding and the principal's columns (tenant_id, user_id,
-    department_ids, role_ids). ``chunks``: live, current chunks with access columns, content and
-    embedding. k is the smaller of the asked and the configured one. VECTOR applies the threshold;
+    department_ids, role_ids). ``chunks``: chunks with access columns, content and embedding; rows
+    that carry states must be live. With ``documents`` (document_id, status, current_version) they must
+    also be of the current version. ``index``, a kept index, saves reading the content; its hits are
+    checked against the chunks as they are now, before they take a place. k is the smaller of the asked and the configured one. VECTOR applies the threshold;
     the hybrid modes ignore it, recall ``max(recall_k, k)`` per list, and fuse. Returns query_id,
     chunk_id, score, rank, included, debug_info.
     """
     if mode not in (VECTOR, HYBRID, HYBRID_RERANK):
         raise ValueError(f"unknown mode {mode}")
     k = min(k, configured_k)
+    states = {c: None for c in ("status", "document_status") if c not in chunks.columns}
+    chunks = filter_live(chunks, **states)
+    if documents is not None:
+        chunks = keep_current(chunks, current_versions(documents))
     vectors = queries.select("query_id", "embedding", principal_tokens().alias("tokens"))
     if mode == VECTOR:
         return dense_topk(vectors, chunks, k, threshold, include_below)
@@ -86,7 +95,11 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
     reranking = mode == HYBRID_RERANK and scorer is not None
     dense = dense_topk(vectors, chunks, recall, threshold, include_below=True)
     asked = queries.select("query_id", "text", permission_signature().alias("signature"))
-    lexical = bm25_topk(asked, chunks, recall, principals=queries, scope=scope)
+    if index is None:
+        lexical = bm25_topk(asked, chunks, recall, principals=queries, scope=scope)
+    else:
+        lexical = _still_allowed(bm25_topk(asked, index, recall, principals=queries, scope=scope),
+                                 asked, chunks, queries)
     fused = rrf_fuse([dense, lexical], limit=recall if reranking else k)
     if not reranking:
         return fused
@@ -96,3 +109,15 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
              .join(queries.select("query_id", F.col("text").alias("query")), "query_id"))
     return rerank(pairs, scorer, k).select(
         "query_id", "chunk_id", "score", "rank", "included", "debug_info")
+
+
+def _still_allowed(hits: DataFrame, asked: DataFrame, chunks: DataFrame,
+                   principals: DataFrame) -> DataFrame:
+    """Hits whose chunk is among ``chunks`` and whose caller may see it now, ranked again."""
+    now = with_acl_class(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class")
+    found = (hits.drop("rank").join(now, "chunk_id")
+             .join(asked.select("query_id", "signature"), "query_id"))
+    allowed = visible_classes(found, principals)
+    best = found.join(allowed, ["signature", "acl_class"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return best.select("query_id", "chunk_id", "score", rank.alias("rank"))

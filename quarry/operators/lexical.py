@@ -1,9 +1,13 @@
 """BM25 and keyword search.
 
-An inverted index is two tables: ``postings`` (term, chunk_id, acl_class, tf, dl) and ``lengths``
-(acl_class, chunks, tokens). Statistics are kept per access class, so N, average length and document
-frequency of the corpus one caller can see are sums over that caller's classes; no (caller, chunk)
-pairs are needed to get them.
+An inverted index is three tables: ``postings`` (term, chunk_id, acl_class, tf, dl), ``frequency``
+(term, acl_class, df) and ``lengths`` (acl_class, chunks, tokens). Statistics are kept per access
+class, so N, average length and document frequency of the corpus one caller can see are sums over
+that caller's classes; no (caller, chunk) pairs are needed to get them.
+
+A kept index (``write_index``, ``read_index``) is read by the buckets of a batch's terms. Without one
+the chunks are scored where they are: a chunk's counts are complete in its row, so the weights of a
+block of queries go to the tasks, and k rows per query and task are all that is shuffled.
 """
 
 from __future__ import annotations
@@ -15,49 +19,97 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.functions.text import keyword_terms, snippet, tokenize
-from quarry.operators.access import visible_classes, with_acl_class
-from quarry.operators.blocks import QUERY_BLOCK, by_blocks
-from quarry.operators.skew import topk
+from quarry.operators.access import (class_tokens, opened_classes, permission_signature, principal_tokens,
+                                     visible_classes, with_acl_class)
+from quarry.operators.blocks import CELLS_PER_STEP, QUERY_BLOCK, Best, by_blocks
+from quarry.operators.skew import SALTS, topk
 from quarry.session import cut
 
 VISIBLE, GLOBAL = "visible", "global"
 
 
+INDEX_BUCKETS = 256
+
+
 @dataclass(frozen=True)
 class InvertedIndex:
+    """``buckets`` is the number of term buckets of a kept index, 0 for one that is not stored."""
+
     postings: DataFrame
+    frequency: DataFrame
     lengths: DataFrame
+    buckets: int = 0
+
+    def of_terms(self, terms: DataFrame) -> InvertedIndex:
+        """The part of a kept index that holds ``terms`` (a column, term). The driver sees bucket
+        numbers only, at most ``buckets`` of them."""
+        if not self.buckets:
+            return self
+        numbers = terms.select(_bucket(self.buckets).alias("bucket")).distinct().collect()
+        mine = F.col("bucket").isin([r["bucket"] for r in numbers])
+        return InvertedIndex(self.postings.filter(mine).drop("bucket"),
+                             self.frequency.filter(mine).drop("bucket"), self.lengths)
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def _classed(chunks: DataFrame) -> DataFrame:
+    if "acl_class" in chunks.columns:
+        return chunks
+    return (with_acl_class(chunks) if "visibility" in chunks.columns
+            else chunks.withColumn("acl_class", F.lit("*")))
 
 
-def build_inverted_index(chunks: DataFrame, terms: DataFrame | None = None,
-                         stored: bool = False) -> InvertedIndex:
+def build_inverted_index(chunks: DataFrame, stored: bool = False) -> InvertedIndex:
     """Index of chunk_id, content and, when present, the access columns.
 
-    ``terms`` (one column, term) limits the postings to those terms; use it for an index made for
-    one batch of queries. An index kept for many batches leaves it out and is written bucketed by
-    term. ``stored`` writes the counts to the work folder, so that the text is read only once for
-    both tables.
+    ``stored`` writes the counts to the work folder, so that the text is read only once for all
+    tables.
     """
-    if "acl_class" not in chunks.columns:
-        chunks = (with_acl_class(chunks) if "visibility" in chunks.columns
-                  else chunks.withColumn("acl_class", F.lit("*")))
-    tokens = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
-                           tokenize("content").alias("__tokens"))
+    tokens = _classed(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
+                                     tokenize("content").alias("__tokens"))
     counted = tokens.mapInArrow(_count_terms, _POSTINGS)
-    if terms is not None:
-        length_row = chunks.sparkSession.createDataFrame([("",)], "term string")
-        wanted = terms.select("term").distinct().unionByName(length_row)
-        counted = counted.join(wanted, "term", "left_semi")
     if stored:
         counted = cut(counted, "postings")
     lengths = counted.filter("term = ''").groupBy("acl_class").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("dl").cast("long").alias("tokens"))
-    return InvertedIndex(counted.filter("term <> ''"), lengths)
+    postings = counted.filter("term <> ''")
+    return InvertedIndex(postings, _frequency(postings, "term", "acl_class"), lengths)
+
+
+def write_index(chunks: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Keep the index of ``chunks`` below ``path``, which must be new: postings and frequencies in one
+    folder per term bucket, sorted by term.
+
+    A very common term is in a large part of all chunks, so the postings of a bucket are written by
+    several tasks, dealt out by chunk.
+    """
+    index = build_inverted_index(chunks, stored=True)
+    postings = (index.postings.withColumn("bucket", _bucket(buckets))
+                .repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
+                .sortWithinPartitions("bucket", "term"))
+    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
+    (index.frequency.withColumn("bucket", _bucket(buckets)).repartition("bucket")
+     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/frequency"))
+    index.lengths.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> InvertedIndex:
+    """A kept index. One of no chunks has no folders of buckets, so the columns are named here."""
+    postings = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{path}/postings")
+    frequency = spark.read.schema("term string, acl_class string, df long, bucket int").parquet(
+        f"{path}/frequency")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    first = lengths.select("buckets").first()
+    return InvertedIndex(postings, frequency, lengths.drop("buckets"),
+                         first["buckets"] if first else INDEX_BUCKETS)
 
 
 _POSTINGS = "term string, chunk_id string, acl_class string, tf int, dl int"
@@ -99,33 +151,32 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
     ``queries``: query_id, text and, with ``principals``, the caller's permission signature
     (``signature``). With scope "visible" the statistics come from what the caller may see, with
     "global" from all chunks; the results never leave what the caller may see. The weights of one
-    batch of queries are small and AQE broadcasts them when measured so; otherwise it splits the
-    postings of a very common term (skew join). Salting would repeat the weights and lose the first
-    case.
+    batch of queries against an index are small and AQE broadcasts them when measured so; otherwise it
+    splits the postings of a very common term (skew join). Salting would repeat the weights and lose
+    the first case.
     """
     if scope not in (VISIBLE, GLOBAL):
         raise ValueError(f"unknown scope {scope}")
+    if not isinstance(chunks, InvertedIndex):
+        return _score_in_place(queries, _classed(chunks), max(k, 1), principals, scope)
     terms = query_terms(queries)
-    index = chunks if isinstance(chunks, InvertedIndex) else build_inverted_index(
-        chunks, terms, stored=True)
+    index = chunks.of_terms(terms)
     postings, lengths = index.postings, index.lengths
 
     if principals is None:
-        weighted = _with_totals(terms.join(_frequency(postings), "term"), lengths)
+        weighted = _with_totals(terms.join(_total(index.frequency), "term"), lengths)
         matches = postings.join(weighted, "term")
     else:
         # per query: the classes its caller may see and in which a term occurs
         reach = visible_classes(lengths, principals)
-        counts = postings.groupBy("acl_class", "term").agg(F.count(F.lit(1)).alias("df"))
-        seen = terms.join(counts, "term").join(reach, ["signature", "acl_class"])
+        seen = terms.join(index.frequency, "term").join(reach, ["signature", "acl_class"])
         if scope == VISIBLE:
-            sizes = lengths.join(reach, "acl_class").groupBy("signature").agg(
-                F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
+            sizes = _reached(lengths, reach)
             per_term = Window.partitionBy("query_id", "term")
             weighted = _weights(seen.withColumn("df", F.sum("df").over(per_term))
                                 .join(sizes, "signature"))
         else:
-            weighted = _with_totals(seen.drop("df").join(_frequency(postings), "term"), lengths)
+            weighted = _with_totals(seen.drop("df").join(_total(index.frequency), "term"), lengths)
         matches = postings.join(weighted.drop("signature"), ["term", "acl_class"])
     length = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(0.0)
     scaled = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * length)
@@ -136,8 +187,156 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
                 spread_on="chunk_id")
 
 
-def _frequency(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def _frequency(postings: DataFrame, *keys: str) -> DataFrame:
+    return postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
+
+
+def _total(frequency: DataFrame, term: str = "term") -> DataFrame:
+    return frequency.groupBy(term).agg(F.sum("df").alias("df"))
+
+
+def _reached(lengths: DataFrame, reach: DataFrame) -> DataFrame:
+    """Number of chunks and tokens each caller may see."""
+    return lengths.join(reach, "acl_class").groupBy("signature").agg(
+        F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+_FORWARD = "chunk_id string, acl_class string, dl int, codes array<int>, tfs array<int>"
+_HITS = "query_id string, chunk_id string, score double"
+_CHUNK = -1  # the code that every chunk has: its frequency is the number of chunks
+
+
+def _score_in_place(queries: DataFrame, chunks: DataFrame, k: int, principals: DataFrame | None,
+                    scope: str) -> DataFrame:
+    """BM25 without an index. Per block of queries the text is read once, into counts of the block's
+    terms, which are stored; frequencies, lengths and scores come from those."""
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), *(
+        ["signature"] if principals is not None else []),
+        F.array_distinct(tokenize("text")).alias("terms"))
+    if principals is not None:
+        held = principals.select(permission_signature().alias("signature"),
+                                 principal_tokens().alias("tokens")).dropDuplicates(["signature"])
+        asked = asked.join(held, "signature")
+    tokens = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
+                           tokenize("content").alias("__tokens"))
+
+    def run(rows: list) -> DataFrame:
+        vocabulary = sorted({term for r in rows for term in r["terms"] or ()})
+        known = cut(tokens.mapInArrow(_count_known(vocabulary), _FORWARD), "counts")
+        every = F.explode(F.concat("codes", F.array(F.lit(_CHUNK)))).alias("code")
+        counts = known.select("acl_class", "dl", every).groupBy("acl_class", "code").agg(
+            F.count(F.lit(1)).alias("df"), F.sum("dl").cast("long").alias("tokens"))
+        place = {term: code for code, term in enumerate(vocabulary)}
+        codes = [np.array(sorted(place[t] for t in r["terms"] or ()), dtype=np.int32) for r in rows]
+        weights = _block_weights(rows, codes, counts, principals is not None, scope)
+        seen = [frozenset(r["tokens"]) for r in rows] if principals is not None else None
+        found = known.filter(F.size("codes") > 0).mapInArrow(
+            _score_counts([r["query_id"] for r in rows], weights, seen, k), _HITS)
+        return topk(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k,
+                    spread_on="chunk_id")
+
+    return by_blocks(asked, QUERY_BLOCK, run, "bm25")
+
+
+def _count_known(vocabulary: list[str]):
+    """Function over Arrow batches: length of each row and counts of the known terms in it."""
+    known = pa.array(vocabulary, pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("__tokens")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().dictionary_encode()
+            code_of = pc.fill_null(pc.index_in(flat.dictionary, value_set=known), -1)
+            codes = code_of.to_numpy(zero_copy_only=False).astype(np.int64)[
+                flat.indices.to_numpy(zero_copy_only=False)]
+            places = np.repeat(np.arange(batch.num_rows, dtype=np.int64), sizes)
+            width = max(len(known), 1)
+            pairs, tf = np.unique((places * width + codes)[codes >= 0], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) * width)
+            offsets = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk_id"), batch.column("acl_class"),
+                 pa.array(sizes.astype(np.int32)),
+                 pa.ListArray.from_arrays(offsets, pa.array((pairs % width).astype(np.int32))),
+                 pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))],
+                names=["chunk_id", "acl_class", "dl", "codes", "tfs"])
+
+    return count
+
+
+def _block_weights(rows: list, codes: list[np.ndarray], counts: DataFrame, restricted: bool,
+                   scope: str) -> list[tuple]:
+    """(codes, idf, average length) per query of a block: as many numbers as the block has terms."""
+    callers = [r["signature"] if restricted and scope == VISIBLE else None for r in rows]
+    sums = [F.sum("df").alias("df"), F.sum("tokens").alias("tokens")]
+    if restricted and scope == VISIBLE:
+        spark = counts.sparkSession
+        asked = {(s, int(c)) for s, own in zip(callers, codes) for c in (*own, _CHUNK)}
+        held = {(r["signature"], token) for r in rows for token in r["tokens"]}
+        wanted = spark.createDataFrame(sorted(asked), "signature string, code int")
+        tokens = spark.createDataFrame(sorted(held), "signature string, token string")
+        reach = opened_classes(counts.filter(F.col("code") == _CHUNK), tokens)
+        found = (counts.join(wanted, "code").join(reach, ["signature", "acl_class"])
+                 .groupBy("signature", "code").agg(*sums))
+    else:
+        found = counts.groupBy("code").agg(*sums).withColumn("signature", F.lit(None).cast("string"))
+    of = {(r["signature"], r["code"]): r for r in found.collect()}
+    weights = []
+    for caller, own in zip(callers, codes):
+        total = of.get((caller, _CHUNK))
+        own = np.array([c for c in own if (caller, int(c)) in of], dtype=np.int32)
+        df = np.array([of[caller, int(c)]["df"] for c in own], dtype=np.float64)
+        n, tokens = (total["df"], total["tokens"]) if total else (0, 0)
+        weights.append((own, np.log(1 + (n - df + 0.5) / (df + 0.5)), tokens / n if n else 0.0))
+    return weights
+
+
+def _score_counts(ids: list[str], weights: list[tuple], tokens: list[frozenset] | None, k: int):
+    """Function over Arrow batches of counts: best k chunks per query of one task."""
+    step = max(1, CELLS_PER_STEP // max(len(ids), 1))
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column("codes")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        codes = lists.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        places = np.repeat(np.arange(batch.num_rows), sizes)[order]
+        tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)[order].astype(np.float64)
+        dl = batch.column("dl").to_numpy(zero_copy_only=False)[places]
+        scores = np.zeros((batch.num_rows, len(ids)))
+        for query, (own, idf, average) in enumerate(weights):
+            starts, ends = np.searchsorted(codes, own), np.searchsorted(codes, own, side="right")
+            at = [np.arange(a, b) for a, b in zip(starts, ends)]
+            at = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
+            length = dl[at] / average if average > 0 else np.zeros(len(at))
+            scaled = tf[at] + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * length)
+            worth = np.repeat(idf, ends - starts) * (tf[at] * (C.BM25_K1 + 1)) / scaled
+            scores[:, query] = np.bincount(places[at], worth, minlength=batch.num_rows)
+        scores = np.round(scores, 9)
+        scores[scores <= 0] = -np.inf
+        return scores
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not ids:
+            return
+        best = Best(len(ids), k)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                rows = batch.slice(start, step)
+                scores = part(rows)
+                if tokens is not None:
+                    classes = rows.column("acl_class").dictionary_encode()
+                    opened = [class_tokens(c) for c in classes.dictionary.to_pylist()]
+                    of_set = {held: np.array([not held.isdisjoint(c) for c in opened], dtype=bool)[
+                        classes.indices.to_numpy(zero_copy_only=False)] for held in set(tokens)}
+                    for query, held in enumerate(tokens):
+                        scores[~of_set[held], query] = -np.inf
+                best.offer(scores, np.array(rows.column("chunk_id").to_pylist(), dtype=object))
+        yield best.to_batch(ids)
+
+    return score
 
 
 def _with_totals(counted: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -183,7 +382,6 @@ def keyword_title_topk(queries: DataFrame, docs: DataFrame, k: int = C.TOP_K,
 
 
 _KEYWORD_HITS = "query_id string, document_id string, score bigint, at bigint"
-_CELLS_PER_STEP = 4_000_000  # scores held at a time by one task
 
 
 def _keyword_search(queries: list[tuple[str, list[str]]], k: int):
@@ -199,7 +397,7 @@ def _keyword_search(queries: list[tuple[str, list[str]]], k: int):
         if not places:
             return
         terms_in = _term_finder(list(places))
-        step = max(1, _CELLS_PER_STEP // len(ids))
+        step = max(1, CELLS_PER_STEP // len(ids))
         for batch in batches:
             for start in range(0, len(batch), step):
                 yield best_of(batch.iloc[start:start + step], terms_in)

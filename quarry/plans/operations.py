@@ -139,7 +139,24 @@ def input_budget(spark, sf_dir):
     return S.input_budget(calls, messages, 250)
 
 
-@query("token_quota")
+#: The calls of each tenant-day one after the other, with what the tenant and each user have spent.
+SQL_QUOTA = B.with_views("calls", """SELECT call_id, tenant_id, user_id, need, charge, admitted
+    FROM walk WHERE n > 0""", numbered="""SELECT *, ts::DATE AS day,
+      row_number() OVER (PARTITION BY tenant_id, ts::DATE ORDER BY ts, call_id) AS n FROM calls""",
+    walk="""SELECT DISTINCT tenant_id, day, 0::BIGINT AS n, 0::BIGINT AS spent, MAP {}::MAP(VARCHAR, BIGINT) AS users,
+      ''::VARCHAR AS call_id, ''::VARCHAR AS user_id, 0::BIGINT AS need, 0::BIGINT AS charge, false AS admitted
+      FROM numbered
+    UNION ALL SELECT tenant_id, day, n, spent + CASE WHEN admitted THEN charge ELSE 0 END, CASE WHEN admitted
+        THEN map_from_entries(list_concat(list_filter(map_entries(users), lambda x: x.key <> user_id),
+          [{'key': user_id, 'value': mine + charge}])) ELSE users END, call_id, user_id, need, charge, admitted
+      FROM (SELECT *, mine + need <= 2500 AND spent + need <= 8000 AS admitted FROM (
+        SELECT c.tenant_id, c.day, c.n, w.spent, w.users, c.call_id, c.user_id, c.need, c.charge,
+          coalesce(list_extract(map_extract(w.users, c.user_id), 1), 0) AS mine
+        FROM walk w JOIN numbered c ON c.tenant_id = w.tenant_id AND c.day = w.day AND c.n = w.n + 1))"""
+    ).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("token_quota", SQL_QUOTA)
 def token_quota(spark, sf_dir):
     rows = S.token_quota(B.calls(spark, sf_dir), 2500, 8000)
     return rows.select("call_id", "tenant_id", "user_id", "need", "charge", "admitted")
@@ -331,12 +348,14 @@ def owned_orders(spark, sf_dir):
         "request_id", "verdict", "status")
 
 
-@query("confirmations", B.with_views("created confirmed", """SELECT confirmation_id, owner_id,
-      CASE WHEN first_own IS NULL AND answers > 0 THEN 'USER_MISMATCH' WHEN first_own IS NULL THEN 'PENDING'
-        WHEN first_own - created_at > INTERVAL 300 SECONDS THEN 'EXPIRED' ELSE 'EXECUTED' END AS outcome
-    FROM (SELECT c.confirmation_id, c.user_id AS owner_id, c.created_at, count(f.user_id) AS answers,
-      min(f.confirmed_at) FILTER (f.user_id = c.user_id) AS first_own FROM created c LEFT JOIN confirmed f
-      ON f.confirmation_id = c.confirmation_id GROUP BY ALL)"""))
+SQL_OUTCOMES = """SELECT c.confirmation_id, c.user_id AS owner_id, CASE
+      WHEN bool_or(f.user_id = c.user_id) THEN 'EXECUTED' WHEN count(f.user_id) > 0 THEN 'USER_MISMATCH'
+      ELSE 'EXPIRED' END AS outcome
+    FROM created c LEFT JOIN confirmed f ON f.confirmation_id = c.confirmation_id
+      AND f.confirmed_at BETWEEN c.created_at AND c.created_at + INTERVAL 300 SECONDS GROUP BY ALL"""
+
+
+@query("confirmations", B.with_views("created confirmed", SQL_OUTCOMES))
 def confirmations(spark, sf_dir):
     return G.confirmations(*B.confirmation_events(spark, sf_dir)).select(
         "confirmation_id", "owner_id", "outcome")

@@ -12,9 +12,9 @@ from quarry.operators.access import permission_signature, principal_tokens
 from quarry.functions.vectors import cosine
 from quarry.plans import bindings as B
 from quarry.plans.access import sql_access
-from quarry.plans.registry import query
+from quarry.plans.registry import SQL, query
 from quarry.plans.text import sql_tokens
-from quarry.session import cut
+from quarry.session import cut, work_path
 
 # ---- SQL building blocks ------------------------------------------------------------------------
 
@@ -237,6 +237,17 @@ def search_hybrid(spark, sf_dir):
     return search(spark, sf_dir, R.HYBRID).withColumn("score", F.round("score", 9))
 
 
+@query("search_kept_index", SQL["search_hybrid"])
+def search_kept_index(spark, sf_dir):
+    """The hybrid search over raw chunks, deleted ones and old versions among them, and a kept index
+    of the live ones."""
+    chunks, path = B.kb_chunks(spark, sf_dir), work_path(spark, "index")
+    L.write_index(B.live_chunks(spark, sf_dir), path)
+    found = R.search(B.text_queries(spark, sf_dir), chunks, R.HYBRID, index=L.read_index(spark, path),
+                     documents=B.kb_docs(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 9))
+
+
 _RERANKED = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS again
     FROM (SELECT f.*, (len(q.words) - len(list_filter(q.words, lambda w: NOT list_contains(d.words, w))))
         / len(q.words)::DOUBLE AS relevance FROM fused f

@@ -7,28 +7,48 @@ from pyspark.sql import functions as F
 from quarry.plans import bindings as B
 from quarry.plans.chunks import (_IDENTITY, _TWO_VERSIONS, LETTERS, THRESHOLD, letter_counts,
                                  strategy_views, two_versions)
-from quarry.plans.operations import _COUNTERS, _RATES, _TRANSITIONS, SQL_ALERTS
+from quarry.plans.operations import (_COUNTERS, _RATES, _TRANSITIONS, SQL_ALERTS,
+                                     SQL_OUTCOMES)
 from quarry.plans.registry import query
 from quarry.session import work_path
 from quarry.streaming import state as T
 from quarry.streaming import windows as W
 from quarry.streaming.ingest import latest_chunks, stream_ingest
-from quarry.streaming.run import read_parquet_stream, run_available, state_settings
+from quarry.streaming.run import read_parquet_stream, run_available, run_closed, state_settings
 
 
-def event_stream(spark, sf_dir):
-    rows = read_parquet_stream(spark, sf_dir, "events.parquet")
+def _typed(rows):
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def usage_stream(spark, sf_dir):
+def event_stream(spark, sf_dir):
+    return _typed(read_parquet_stream(spark, sf_dir, "events.parquet"))
+
+
+def _closed(spark, sf_dir, build, name):
+    """All that ``build`` makes of the event stream, windows that are open at its end included: a
+    purchase in the far future, which closes them, arrives after the other rows."""
+    folder = work_path(spark, "closing")
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").limit(0)
+    last.write.parquet(folder)
+    far = spark.range(1).select(*[
+        {"ts": F.lit("2999-01-01 00:00:00"), "event_type": F.lit("purchase"), "event_id": F.lit(-1),
+         "user_id": F.lit(-1), "value": F.lit(0), "props": F.lit('{"k": 2}')}
+        .get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in last.schema])
+    rows = read_parquet_stream(spark, sf_dir, "events.parquet").unionByName(
+        read_parquet_stream(spark, folder, "*.parquet"))
+    with state_settings(spark):
+        return run_closed(build(_typed(rows)), name, lambda: far.write.mode("append").parquet(folder))
+
+
+def usage_of(events):
     prompt, k = F.floor("value").cast("int"), F.col("k")
-    return B.usage_of(event_stream(spark, sf_dir), prompt, k, prompt + k)
+    return B.usage_of(events, prompt, k, prompt + k)
 
 
-def call_stream(spark, sf_dir):
-    return event_stream(spark, sf_dir).select(
+def calls_of(events):
+    return events.select(
         B.tag("e", F.col("event_id")).alias("call_id"), B.tag("t", F.col("user_id") % 5)
         .alias("tenant_id"), B.tag("u", F.col("user_id")).alias("user_id"),
         F.col("event_type").alias("interface_name"), "ts",
@@ -41,18 +61,13 @@ def _finish(df, name):
         return run_available(df, name)
 
 
-def sql_closed(end: str, delay: str) -> str:
-    """True for windows the watermark has passed when the input ends."""
-    return (f"{end} <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL {delay}")
-
-
 @query("stream_usage", B.with_views("usage", f"""SELECT epoch(w)::BIGINT AS window_start, tenant_id, model,
       interface_name, count(*) AS calls, sum(total_tokens)::BIGINT AS total_tokens,
       sum(cached_tokens)::BIGINT AS cached_tokens, round(sum(estimated_cost)::DOUBLE, 6) AS estimated_cost
     FROM (SELECT *, date_trunc('hour', created_at) AS w FROM usage)
-    WHERE {sql_closed("w + INTERVAL 1 HOUR", "10 MINUTES")} GROUP BY ALL"""))
+    GROUP BY ALL"""))
 def stream_usage(spark, sf_dir):
-    rows = _finish(W.stream_usage(usage_stream(spark, sf_dir)), "usage")
+    rows = _closed(spark, sf_dir, lambda events: W.stream_usage(usage_of(events)), "usage")
     return rows.select(F.unix_seconds("window_start").alias("window_start"), "tenant_id", "model",
                        "interface_name", "calls", "total_tokens", "cached_tokens",
                        F.round("estimated_cost", 6).alias("estimated_cost"))
@@ -60,11 +75,10 @@ def stream_usage(spark, sf_dir):
 
 @query("stream_alerts", B.with_views("metric_events", SQL_ALERTS.replace("KEY", "hour"),
     rated=f"""SELECT *, {_RATES} FROM (SELECT floor(epoch(ts) / 3600)::BIGINT AS hour, {_COUNTERS}
-      FROM metric_events WHERE {sql_closed("date_trunc('hour', ts) + INTERVAL 1 HOUR", "10 MINUTES")}
-      GROUP BY 1)"""))
+      FROM metric_events GROUP BY 1)"""))
 def stream_alerts(spark, sf_dir):
-    events = B.metric_events_of(event_stream(spark, sf_dir))
-    rows = _finish(W.stream_alerts(events, max_tokens=1000), "alerts")
+    rows = _closed(spark, sf_dir, lambda events: W.stream_alerts(
+        B.metric_events_of(events), max_tokens=1000), "alerts")
     return rows.select(F.floor(F.unix_seconds("window_start") / 3600).alias("hour"), "alert",
                        F.round("value", 6).alias("value"))
 
@@ -72,10 +86,10 @@ def stream_alerts(spark, sf_dir):
 @query("stream_rate_limit", B.with_views("calls", f"""SELECT epoch(w)::BIGINT AS window_start, tenant_id AS user_id,
       interface_name, count(*) AS calls, greatest(0, count(*) - 1)::BIGINT AS overflow
     FROM (SELECT *, date_trunc('minute', ts) AS w FROM calls)
-    WHERE {sql_closed("w + INTERVAL 1 MINUTE", "1 MINUTE")} GROUP BY ALL"""))
+    GROUP BY ALL"""))
 def stream_rate_limit(spark, sf_dir):
-    calls = call_stream(spark, sf_dir).withColumn("user_id", F.col("tenant_id"))
-    rows = _finish(W.stream_rate_limit(calls, 1), "rate-limit")
+    rows = _closed(spark, sf_dir, lambda events: W.stream_rate_limit(
+        calls_of(events).withColumn("user_id", F.col("tenant_id")), 1), "rate-limit")
     return rows.withColumn("window_start", F.unix_seconds("window_start")).drop("window_end")
 
 
@@ -87,28 +101,27 @@ def stream_dedup(spark, sf_dir):
     return _finish(once, "dedup").select("event_id", "user_id")
 
 
-@query("stream_sessions", f"""SELECT user_id, epoch_us(min(ts)) AS session_start,
+@query("stream_sessions", """SELECT user_id, epoch_us(min(ts)) AS session_start,
       epoch_us(max(ts) + INTERVAL 30 MINUTES) AS session_end, count(*) AS events FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (
       SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTES
-        THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session
-    HAVING {sql_closed("max(ts) + INTERVAL 30 MINUTES", "10 MINUTES")}""")
+        THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
 def stream_sessions(spark, sf_dir):
-    rows = _finish(W.stream_sessions(event_stream(spark, sf_dir).select("ts", "user_id")),
+    rows = _closed(spark, sf_dir, lambda events: W.stream_sessions(events.select("ts", "user_id")),
                    "sessions")
     return rows.withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
 
 
-@query("stream_confirmations")
+@query("stream_confirmations", B.with_views("created confirmed", SQL_OUTCOMES))
 def stream_confirmations(spark, sf_dir):
-    created, _ = B.confirmation_events_of(event_stream(spark, sf_dir))
-    _, confirmed = B.confirmation_events_of(event_stream(spark, sf_dir))
-    return _finish(W.stream_confirmations(created, confirmed), "confirmations")
+    rows = _closed(spark, sf_dir, lambda events: W.stream_confirmations(
+        *B.confirmation_events_of(events)), "confirmations")
+    return rows.select("confirmation_id", "owner_id", "outcome")
 
 
 @query("stream_quota")
 def stream_quota(spark, sf_dir):
-    return _finish(T.stream_quota(call_stream(spark, sf_dir), 2500, 8000), "quota")
+    return _finish(T.stream_quota(calls_of(event_stream(spark, sf_dir)), 2500, 8000), "quota")
 
 
 @query("stream_workflow", B.with_views("workflow_states", """SELECT workflow_id, event_id, from_state,

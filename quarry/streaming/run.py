@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,17 @@ def run_available(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_closed(df: DataFrame, name: str, close: Callable[[], None]) -> DataFrame:
+    """Like ``run_available``; then ``close`` adds rows far ahead in time to the input, and a second run
+    from the same checkpoint delivers what waited for the watermark."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    start_parquet(df, path).awaitTermination()
+    close()
+    start_parquet(df, path).awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def state_settings(spark: SparkSession) -> Iterator[None]:
     """RocksDB state, and in a local session no more state partitions than its threads can use."""

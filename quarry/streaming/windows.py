@@ -69,25 +69,27 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes",
 def stream_confirmations(created: DataFrame, confirmed: DataFrame,
                          ttl_seconds: int = C.CONFIRMATION_TTL_SECONDS,
                          watermark: str = "10 minutes") -> DataFrame:
-    """Outcome per (confirmation, answer): EXECUTED, EXPIRED or USER_MISMATCH; a request nobody
-    answers becomes EXPIRED once the watermark is past twice its lifetime.
+    """One outcome per request, once the watermark is past its lifetime: EXECUTED when the owner
+    answered in time, however often, else USER_MISMATCH when only others did, else EXPIRED.
 
     ``created``: confirmation_id, user_id, created_at; ``confirmed``: confirmation_id, user_id,
-    confirmed_at.
+    confirmed_at. Later answers change nothing. ``confirmations`` says the same of finished logs.
     """
     asked = created.select("confirmation_id", F.col("user_id").alias("owner_id"),
                            "created_at").withWatermark("created_at", watermark)
     answers = confirmed.select(F.col("confirmation_id").alias("answered_id"),
                                F.col("user_id").alias("answered_by"),
                                "confirmed_at").withWatermark("confirmed_at", watermark)
-    keep = F.expr(f"INTERVAL {2 * ttl_seconds} SECONDS")
     same = ((F.col("confirmation_id") == F.col("answered_id"))
             & (F.col("confirmed_at") >= F.col("created_at"))
-            & (F.col("confirmed_at") <= F.col("created_at") + keep))
-    in_time = (F.unix_micros("confirmed_at") - F.unix_micros("created_at")
-               <= ttl_seconds * 1_000_000)
-    outcome = (F.when(F.col("answered_id").isNull(), F.lit("EXPIRED"))
-               .when(F.col("answered_by") != F.col("owner_id"), F.lit("USER_MISMATCH"))
-               .when(in_time, F.lit("EXECUTED")).otherwise(F.lit("EXPIRED")))
-    return (asked.join(answers, same, "leftOuter").withColumn("outcome", outcome)
-            .select("confirmation_id", "owner_id", "created_at", "answered_by", "outcome"))
+            & (F.col("confirmed_at") <= F.col("created_at")
+               + F.expr(f"INTERVAL {ttl_seconds} SECONDS")))
+    own = F.coalesce(F.col("answered_by") == F.col("owner_id"), F.lit(False))
+    asked_at = ["confirmation_id", "owner_id", "created_at"]
+    decided = (asked.join(answers, same, "leftOuter")
+               .select(*asked_at, own.alias("own"), F.col("answered_by").isNotNull().alias("answered"))
+               .groupBy(*asked_at).agg(F.bool_or("own").alias("own"),
+                                       F.bool_or("answered").alias("answered")))
+    outcome = (F.when(F.col("own"), F.lit("EXECUTED"))
+               .when(F.col("answered"), F.lit("USER_MISMATCH")).otherwise(F.lit("EXPIRED")))
+    return decided.select(*asked_at, outcome.alias("outcome"))

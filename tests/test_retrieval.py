@@ -13,6 +13,7 @@ from quarry.operators import context as X
 from quarry.operators import dense as D
 from quarry.operators import fusion as R
 from quarry.operators import lexical as L
+from quarry.session import work_path
 
 ACL = ("tenant_id string, owner_id string, department_id string, visibility string, "
        "allowed_user_ids array<string>, allowed_role_ids array<string>")
@@ -183,6 +184,63 @@ def test_bm25_statistics_follow_the_caller(spark):
         for r in L.bm25_topk(queries, chunks, 500, principals=people).collect()}
 
 
+def test_a_kept_index_scores_as_the_chunks_do(spark):
+    rng = random.Random(11)
+    rows, who = world(4, chunks=90, people=5)
+    words = ["the"] * 20 + [f"w{i}" for i in range(30)]
+    texts = {r[0]: " ".join(rng.choices(words, k=rng.randrange(0, 20))) for r in rows}
+    chunks = spark.createDataFrame([(r[0], texts[r[0]], *r[1:]) for r in rows],
+                                   f"chunk_id string, content string, {ACL}")
+    path = work_path(spark, "index")
+    L.write_index(chunks, path, buckets=7)
+    index = L.read_index(spark, path)
+    people = spark.createDataFrame(who, PRINCIPAL)
+    queries = spark.createDataFrame(
+        [(f"q{i}", "the w1 w2 missing", *w) for i, w in enumerate(who)],
+        f"query_id string, text string, {PRINCIPAL}").select(
+        "query_id", "text", A.permission_signature().alias("signature"))
+    for options in ({"principals": people}, {"principals": people, "scope": "global"}, {}):
+        asked = queries if options else queries.drop("signature")
+        here, kept = (sorted(L.bm25_topk(asked, x, 8, **options).select(
+            "query_id", "rank", "chunk_id", F.round("score", 8)).collect()) for x in (chunks, index))
+        assert here == kept and here
+    few = index.of_terms(spark.createDataFrame([("w1",)], "term string"))
+    assert few.postings.select("term").distinct().count() < index.postings.select(
+        "term").distinct().count()
+    assert len(few.postings.inputFiles()) < len(index.postings.inputFiles())
+
+
+def test_an_index_of_nothing_and_queries_of_nothing(spark):
+    ddl = f"chunk_id string, content string, {ACL}"
+    path = work_path(spark, "index")
+    L.write_index(spark.createDataFrame([], ddl), path)
+    asked = spark.createDataFrame([("q", "a b"), ("null", None)], "query_id string, text string")
+    some = spark.createDataFrame([("c", None), ("d", "")], "chunk_id string, content string")
+    for chunks in (L.read_index(spark, path), spark.createDataFrame([], ddl), some):
+        assert L.bm25_topk(asked, chunks, 3).count() == 0
+        assert L.bm25_topk(asked.limit(0), chunks, 3).count() == 0
+
+
+def test_search_checks_a_kept_index_against_the_chunks_of_today(spark):
+    acl = ("t", "u", None, "TENANT", None, None)
+    rows = [("a", "x", "d1", 1, "ACTIVE", "red fox", [1.0, 0.0], *acl),
+            ("b", "x", "d2", 1, "ACTIVE", "red red fox", [0.9, 0.1], *acl),
+            ("c", "x", "d3", 1, "ACTIVE", "red", [0.8, 0.2], *acl)]
+    ddl = ("chunk_id string, filename string, document_id string, version int, status string, "
+           f"content string, embedding array<double>, {ACL}")
+    path = work_path(spark, "index")
+    L.write_index(spark.createDataFrame(rows, ddl), path)
+    now = [rows[0], (*rows[1][:4], "DELETED", *rows[1][5:]), rows[2]]
+    documents = spark.createDataFrame([("d1", "READY", 1), ("d2", "READY", 1), ("d3", "READY", 2)],
+                                      "document_id string, status string, current_version int")
+    queries = spark.createDataFrame([("q", "red fox", [1.0, 0.0], "t", "u", [], [])],
+                                    f"query_id string, text string, embedding array<double>, {PRINCIPAL}")
+    for index in (None, L.read_index(spark, path)):
+        found = R.search(queries, spark.createDataFrame(now, ddl), R.HYBRID, index=index,
+                         documents=documents).collect()
+        assert [(r["chunk_id"], r["rank"]) for r in found] == [("a", 1)]
+
+
 def test_bm25_exact_code(spark):
     chunks = spark.createDataFrame([("c1", "设备 A12345 退款"), ("c2", "设备 A12346 退款")],
                                    "chunk_id string, content string")

@@ -2,8 +2,10 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
 from test_operations import CALLS, quota_loop, quota_rows
 
+from quarry.operators import agents as G
 from quarry.operators.models import hash_embedder
 from quarry.session import work_path
 from quarry.sources import files as S
@@ -71,14 +73,24 @@ def test_history_keeps_turns_when_a_summary_fails(spark):
 def test_confirmations_stream(spark):
     at = lambda s: START + timedelta(seconds=s)
     asked = [("ok", "u", at(0)), ("late", "u", at(0)), ("other", "u", at(0)), ("none", "u", at(0)),
-             ("far", "u", at(9000))]
+             ("far", "u", at(9000)), ("end", "u", at(99000))]
     answered = [("ok", "u", at(300)), ("late", "u", at(301)), ("other", "v", at(5)),
-                ("far", "u", at(9001))]
+                ("ok", "v", at(1)), ("ok", "u", at(2)), ("late", "v", at(400)),
+                ("far", "u", at(9001)), ("end", "u", at(99000))]
     with state_settings(spark):
         created = stream_of(spark, asked, ddl="confirmation_id string, user_id string, created_at timestamp")
         confirmed = stream_of(spark, answered,
                               ddl="confirmation_id string, user_id string, confirmed_at timestamp")
         rows = run_available(W.stream_confirmations(created, confirmed), "out").collect()
+    assert len(rows) == 5  # one outcome each; "end" is still open
+    logs = (spark.createDataFrame(asked, "confirmation_id string, user_id string, created_at timestamp"),
+            spark.createDataFrame(answered, "confirmation_id string, user_id string, confirmed_at timestamp"))
+    now = G.confirmations(*logs, as_of=F.lit(at(99001)))
+    assert {(r["confirmation_id"], r["outcome"]) for r in now.collect()} == {
+        *((r["confirmation_id"], r["outcome"]) for r in rows), ("end", "EXECUTED")}
+    early = G.confirmations(*logs, as_of=F.lit(at(200)))
+    assert {r["confirmation_id"] for r in early.filter("outcome = 'PENDING'").collect()} == {
+        "late", "other", "none"}
     assert {r["confirmation_id"]: r["outcome"] for r in rows} == {
         "ok": "EXECUTED", "late": "EXPIRED", "other": "USER_MISMATCH", "none": "EXPIRED",
         "far": "EXECUTED"}
