@@ -8,7 +8,7 @@ from quarry.plans import bindings as B
 from quarry.plans.chunks import (_IDENTITY, _TWO_VERSIONS, LETTERS, THRESHOLD, letter_counts,
                                  strategy_views, two_versions)
 from quarry.plans.operations import (_COUNTERS, _RATES, _TRANSITIONS, SQL_ALERTS,
-                                     SQL_OUTCOMES)
+                                     SQL_OUTCOMES, SQL_QUOTA)
 from quarry.plans.registry import query
 from quarry.session import work_path
 from quarry.streaming import state as T
@@ -119,7 +119,7 @@ def stream_confirmations(spark, sf_dir):
     return rows.select("confirmation_id", "owner_id", "outcome")
 
 
-@query("stream_quota")
+@query("stream_quota", f"SELECT call_id, tenant_id, user_id, admitted FROM ({SQL_QUOTA})")
 def stream_quota(spark, sf_dir):
     return _finish(T.stream_quota(calls_of(event_stream(spark, sf_dir)), 2500, 8000), "quota")
 
