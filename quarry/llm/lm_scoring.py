@@ -1,22 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 ``learn`` counts words and word pairs of the training texts with Spark, quantises the logarithm of
-their relative frequency and puts one entry per n-gram and level into a Bloom filter. An n-gram's
-level is found by asking for level 1, 2, ... until an answer is no. ``score`` broadcasts the filter
-and reads smoothed probabilities from such probes.
+their counts and puts one entry per n-gram and level into a Bloom filter. An n-gram's level is found
+by asking for level 1, 2, ... until an answer is no. ``score`` reads smoothed probabilities from such
+probes.
 
-Size of what is broadcast. Level 1 begins at a relative frequency of 1 / ``FLOOR``, so at most
-``FLOOR`` different words and as many pairs can have one, whatever the corpus: their frequencies add
-up to one. With levels ``RATIO`` apart there are at most FLOOR * RATIO / (RATIO - 1) entries of each
-kind, 10 bits each. All words and pairs of all training texts are counted; those below level 1 share,
-equally, exactly the probability that is left.
+Size. Every word and every pair that occurs is held, at any size of the corpus (``FLOOR`` is unset),
+10 bits for each of its levels, so the filter grows with the number of different n-grams. It consists of one part per
+bucket of n-grams, made in tasks; parts are broadcast in shards of about ``SHARD_BYTES``. The driver
+holds one shard at a time, and so does a task, which asks each shard in turn for the tokens of about
+``GROUP_TOKENS``. Pairs are dealt to buckets by their first word, save those of the ``HOT`` most
+frequent words, which are dealt by the pair.
 
 Model: P(w | v) = MIX * (max(c(vw) - D, 0) / c(v) + left(v) * P(w)) + (1 - MIX) * P(w), with counts
 from levels, left(v) the share of v's occurrences not held by its counted pairs, stored as levels of
 its own, and P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)).
 
-``base`` counts are exact: words above level 1 are looked up in a table of at most ``FLOOR`` rows,
-the others (none of them frequent, so no hot key) are joined.
+``base`` counts are exact: words with a relative frequency of 1 / ``EXACT`` or more are looked up in a
+table of at most ``EXACT`` rows, the others (none of them frequent, so no hot key) are joined.
 
 Defined cases: a null or empty text is one end mark. Without training texts N = V = 0, every token
 has the probability 1 and scores are 0. Repeated rows are scored each; rows may share a doc_id or
@@ -27,7 +28,7 @@ and text are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,17 @@ from pyspark.sql import functions as F
 from quarry.llm.common import BEGIN, END, Powers, filled, map_batches, mix, slices, token_keys
 from quarry.session import cut
 
-FLOOR = 1 << 21
+#: If set, n-grams with a relative frequency under 1 / FLOOR are left out of the filter, and words
+#: among them share what probability is left.
+FLOOR: int | None = None
+#: Words whose exact counts go to all tasks, at most; those of the others are joined.
+EXACT = 1 << 21
+#: Words whose pairs are dealt one by one, at most.
+HOT = 1 << 12
+#: Bytes of the filter that are broadcast, and loaded by a task, together.
+SHARD_BYTES = 8 << 20
+#: Tokens that a task looks up together in each shard.
+GROUP_TOKENS = 1 << 21
 RATIO = 1.3
 BITS_PER_ENTRY = 10
 PROBES = 5
@@ -55,6 +66,15 @@ def entry_keys(kind: np.uint64, word: np.ndarray, before: np.ndarray | None = No
     return mix(keys if before is None else keys ^ mix(before.astype(np.uint64) + kind))
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys + np.uint64(0xB0C4E7)) % np.uint64(buckets)).astype(np.int32)
+
+
+def pair_buckets(pairs: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of pairs (entry keys): by the word before, or by the pair where that word is hot."""
+    return bucket_of(np.where(held(hot, before)[0], pairs, before), buckets)
+
+
 def levels(counts: np.ndarray, floor: float) -> np.ndarray:
     """Quantised logarithm of a count; 0 below the floor."""
     with np.errstate(divide="ignore"):
@@ -89,14 +109,19 @@ class Filter:
         first = mix(keys + mix(np.array([step], np.uint64)))
         return first, mix(first) | np.uint64(1)
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """The last level before the first that is not there."""
+    def level(self, keys: np.ndarray, begins: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+        """The last level before the first that is not there; with ``begins`` and ``sizes`` (bytes),
+        each key is looked for in a part of its own."""
         found = np.zeros(len(keys), np.int64)
-        alive, step, n_bits = np.arange(len(keys)), 1, len(self.bits) * 8
+        if begins is None:
+            begins, sizes = np.zeros(len(keys), np.uint64), np.full(len(keys), len(self.bits))
+        low, n_bits = begins.astype(np.uint64) << np.uint64(3), sizes.astype(np.uint64) << np.uint64(3)
+        # a bucket without n-grams has no part
+        alive, step = np.flatnonzero(n_bits), 1
         while len(alive):
             first, stride = self._hashes(keys[alive], step)
             for i in range(PROBES):
-                at = (first + np.uint64(i) * stride) % np.uint64(n_bits)
+                at = low[alive] + (first + np.uint64(i) * stride) % n_bits[alive]
                 hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 alive, first, stride = alive[hit], first[hit], stride[hit]
             found[alive] = step
@@ -106,23 +131,34 @@ class Filter:
 
 @dataclass
 class Model:
-    """What workers get: the filter, totals, and the exact counts of words above level 1."""
+    """Totals, the exact counts of frequent words, the hot words, and the shards of the filter."""
 
-    filter: Filter
     n: int
     v: int
     floor: float
-    rare: float  # probability of a word below level 1
+    rare: float  # probability of a word that is not held
     words: np.ndarray
     counts: np.ndarray
+    buckets: int
+    hot: np.ndarray
+    hot_taken: np.ndarray
+    shards: list  # broadcasts of (first bucket, where each bucket's part begins, bytes), by bucket
 
-    def state(self) -> tuple:
-        """Plain values, for a broadcast."""
-        return self.filter.bits, self.n, self.v, self.floor, self.rare, self.words, self.counts
-
-    @classmethod
-    def of_state(cls, state: tuple) -> Model:
-        return cls(Filter(state[0]), *state[1:])
+    def level(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Levels of entries; one shard is loaded at a time."""
+        found = np.zeros(len(keys), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, at = bucket[order], 0
+        for shard in self.shards:
+            first, starts, bits = shard.value
+            end = int(np.searchsorted(bucket, first + len(starts) - 1))
+            part = bucket[at:end] - first
+            found[order[at:end]] = Filter(bits).level(keys[order[at:end]], starts[part], starts[part + 1] - starts[part])
+            at = end
+            if len(self.shards) > 1:
+                del bits
+                vars(shard).pop("_value", None)  # it is read from its file again
+        return found
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,23 +187,100 @@ def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(texts.select(text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(texts: DataFrame, words: object, text: str = "text") -> DataFrame:
-    """before, word (keys), n: pairs of two tokens that both are in ``words`` (a broadcast sorted array).
-
-    A pair is no more frequent than either token, so no pair above level 1 is missed.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
+_DEALT = "bucket int, befores binary, runs binary, words binary, times binary"
+_PARTS = "bucket int, bits binary, hot array<struct<word: long, taken: double>>"
+
+
+def _dealt(bucket: np.ndarray, before: np.ndarray | None, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: the words before, how many entries each has, words and counts. Words by
+    themselves have no word before."""
+    order = np.argsort(bucket, kind="stable") if before is None else np.lexsort((before, bucket))
+    bucket, word, n = bucket[order], word[order], n[order].astype(np.uint32)
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    befores = runs = [b""] * (len(edges) - 1)
+    if before is not None:
+        before = before[order]
+        new = np.ones(len(before), bool)
+        new[1:] = (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(before))).astype(np.uint32)
+        cuts = np.searchsorted(first, edges)
+        befores = [before[first[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])]
+        runs = [size[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[edges[:-1]], pa.int32()), pa.array(befores, pa.binary()), pa.array(runs, pa.binary()),
+         *(pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x in (word, n))],
+        ["bucket", "befores", "runs", "words", "times"])
+
+
+def count_parts(texts: DataFrame, counts: DataFrame, hot: np.ndarray, buckets: int, floor: float,
+                text: str = "text") -> DataFrame:
+    """bucket, bits, hot (word, taken): the filter's part for each bucket, of all its words and pairs
+    from ``floor`` on, and what the bucket's pairs take up of the hot words."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, before in _chunks(batches, 0):
-            keep = held(known, tokens)[0] & ((before == BEGIN) | held(known, before)[0])
-            pair = entry_keys(PAIR, tokens[keep], before[keep])
-            different, at, n = np.unique(pair, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(before[keep][at].view(np.int64)), pa.array(tokens[keep][at].view(np.int64)), pa.array(n)],
-                ["before", "word", "n"])
+            different, at, n = np.unique(entry_keys(PAIR, tokens, before), return_index=True, return_counts=True)
+            yield _dealt(pair_buckets(different, before[at], shared.value, buckets), before[at], tokens[at], n)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            # a level tells as much of a count above this
+            yield _dealt(bucket_of(word.view(np.uint64), buckets), None, word, np.minimum(n, (1 << 32) - 1))
 
-    return (map_batches(texts.select(text), run, "before long, word long, n long")
-            .groupBy("before", "word").agg(F.sum("n").alias("n")))
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows, of = [], None
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != of and held_rows:
+                    yield _part(of, held_rows, shared.value, floor)
+                    held_rows = []
+                of = bucket
+                held_rows.append(row)
+        if held_rows:
+            yield _part(of, held_rows, shared.value, floor)
+
+    dealt = map_batches(texts.select(text), pairs, _DEALT).unionByName(
+        map_batches(counts.select("word", "n"), words, _DEALT))
+    return map_batches(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket"), parts, _PARTS)
+
+
+def _part(bucket: int, rows: list[list[bytes]], hot: np.ndarray, floor: float) -> pa.RecordBatch:
+    def joined(column: int, kind: type, of_pairs: bool) -> np.ndarray:
+        return np.frombuffer(b"".join([r[column] for r in rows if bool(r[0]) == of_pairs]), kind)
+
+    word, n_word = joined(2, np.uint64, False), joined(3, np.uint32, False)
+    before = np.repeat(joined(0, np.uint64, True), joined(1, np.uint32, True))
+    pair, at, to = np.unique(entry_keys(PAIR, joined(2, np.uint64, True), before), return_index=True, return_inverse=True)
+    n_pair = np.bincount(to, weights=joined(3, np.uint32, True), minlength=len(pair))
+    context, home = np.unique(before[at], return_inverse=True)
+    taken = np.bincount(home, weights=np.where(n_pair >= floor, n_pair - DISCOUNT, 0), minlength=len(context))
+    is_hot = held(hot, context)[0]
+    keys = np.concatenate([entry_keys(WORD, word), pair, entry_keys(TAKEN, context[~is_hot])])
+    level = np.concatenate([levels(n_word, floor), levels(n_pair, floor), levels(taken[~is_hot], floor)])
+    sums = [{"word": w, "taken": t} for w, t in zip(context[is_hot].view(np.int64).tolist(), taken[is_hot].tolist())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([Filter.of(keys, level).bits.tobytes()], pa.binary()),
+         pa.array([sums], pa.list_(pa.struct([("word", pa.int64()), ("taken", pa.float64())])))],
+        ["bucket", "bits", "hot"])
+
+
+def share_parts(parts: DataFrame, buckets: int) -> list:
+    """The filter as broadcasts of about ``SHARD_BYTES``; the driver holds one at a time."""
+    sizes = np.zeros(buckets, np.int64)
+    for r in parts.select("bucket", F.octet_length("bits").alias("size")).collect():
+        sizes[r["bucket"]] = r["size"]
+    upto, shards, first = np.concatenate([[0], np.cumsum(sizes)]), [], 0
+    while first < buckets:
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + SHARD_BYTES, "right")) - 1)
+        rows = parts.filter(F.col("bucket").between(first, end - 1)).select("bucket", "bits").collect()
+        bits = np.frombuffer(b"".join([bytes(r["bits"]) for r in sorted(rows, key=lambda r: r["bucket"])]), np.uint8)
+        shards.append(parts.sparkSession.sparkContext.broadcast((first, upto[first:end + 1] - upto[first], bits)))
+        vars(shards[-1]).pop("_value", None)  # the driver doesn't ask it
+        first = end
+    return shards
 
 
 def held(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,24 +296,25 @@ def learn(training: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     spark = training.sparkSession
     counts = cut(count_words(training, text), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    floor = max(n / FLOOR, 1.0)
-    # at most FLOOR rows: their frequencies are over 1 / FLOOR each and add up to one
-    frequent = counts.filter(F.col("n") >= floor).toArrow()
+    floor = max(n / FLOOR, 1.0) if FLOOR else 1.0
+    # at most EXACT rows: their frequencies are over 1 / EXACT each and add up to one
+    frequent = counts.filter(F.col("n") >= max(n / EXACT, floor)).toArrow()
     words = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
     words, known = words[order], frequent["n"].to_numpy()[order].astype(np.int64)
+    n_held, v_held = counts.filter(F.col("n") >= floor).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    rest = v - v_held + 1
+    rare = (n - n_held + 0.5 * rest) / (n + 0.5 * (v + 1)) / rest if n else 1.0
 
-    shared = spark.sparkContext.broadcast(words)
-    pairs = count_pairs(training, shared, text).filter(F.col("n") >= floor).toArrow()
-    before, word, n_pair = pairs["before"].to_numpy().view(np.uint64), pairs["word"].to_numpy().view(np.uint64), pairs["n"].to_numpy()
-    context, home = np.unique(before, return_inverse=True)
-    taken = np.bincount(home, weights=np.maximum(n_pair - DISCOUNT, 0), minlength=len(context))
-
-    keys = np.concatenate([entry_keys(WORD, words), entry_keys(PAIR, word, before), entry_keys(TAKEN, context)])
-    level = np.concatenate([levels(known, floor), levels(n_pair, floor), levels(taken, floor)])
-    rest = v - len(words) + 1
-    rare = (n - int(known.sum()) + 0.5 * rest) / max(n + 0.5 * (v + 1), 1e-300) / rest if n else 1.0
-    return Model(Filter.of(keys, level), n, v, floor, rare, words, known), counts
+    # the mark before a text stands once in each text, and is no word
+    often = counts.filter(F.col("n") >= max(n / HOT, 1.0)).select("word").toArrow()["word"].to_numpy().view(np.uint64)
+    hot = np.unique(np.append(often, BEGIN))
+    buckets = max(8, min(512, n >> 15), n >> 21)
+    parts = cut(count_parts(training, counts, hot, buckets, floor, text), "lm-parts")
+    hot_taken = np.zeros(len(hot))
+    for r in parts.select(F.explode("hot").alias("x")).groupBy("x.word").agg(F.sum("x.taken").alias("taken")).collect():
+        hot_taken[held(hot, np.array([r["word"]], np.int64).view(np.uint64))[1]] = r["taken"]
+    return Model(n, v, floor, rare, words, known, buckets, hot, hot_taken, share_parts(parts, buckets)), counts
 
 
 def log_probability(model: Model, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -209,17 +323,20 @@ def log_probability(model: Model, tokens: np.ndarray, before: np.ndarray) -> np.
         return np.zeros(len(tokens))
     total = model.n + 0.5 * (model.v + 1)
     words, at = np.unique(tokens, return_inverse=True)
-    level = model.filter.level(entry_keys(WORD, words))
-    single = np.where(level > 0, (count_of(level, model.floor) + 0.5) / total, model.rare)[at]
-
     context, of = np.unique(before, return_inverse=True)
-    n_texts = count_of(model.filter.level(entry_keys(WORD, context)), model.floor)
-    taken = count_of(model.filter.level(entry_keys(TAKEN, context)), model.floor)
     pairs, spot, to = np.unique(entry_keys(PAIR, tokens, before), return_index=True, return_inverse=True)
-    found = model.filter.level(pairs)
     # the mark before a text stands once in each text, as the end mark does
-    ends = count_of(model.filter.level(entry_keys(WORD, np.array([END]))), model.floor)[0]
-    n_before = np.where(context == BEGIN, ends, n_texts)[of]
+    singles = np.concatenate([words, np.where(context == BEGIN, END, context)])
+    found = model.level(
+        np.concatenate([entry_keys(WORD, singles), entry_keys(TAKEN, context), pairs]),
+        np.concatenate([bucket_of(singles, model.buckets), bucket_of(context, model.buckets),
+                        pair_buckets(pairs, before[spot], model.hot, model.buckets)]))
+    level, in_texts, in_pairs, found = np.split(found, np.cumsum([len(words), len(context), len(context)]))
+    single = np.where(level > 0, (count_of(level, model.floor) + 0.5) / total, model.rare)[at]
+    n_before = count_of(in_texts, model.floor)[of]
+    is_hot, place = held(model.hot, context)
+    in_pairs = np.where(is_hot, levels(model.hot_taken, model.floor)[place], in_pairs)
+    taken = count_of(in_pairs, model.floor)
     share = np.where(n_before > 0, np.minimum(taken[of] / np.maximum(n_before, 1e-300), 0.98), 0.0)
     n_pair = np.minimum(count_of(found, model.floor)[to], n_before)
     direct = np.where(n_before > 0, np.maximum(n_pair - DISCOUNT, 0) / np.maximum(n_before, 1e-300), 0.0)
@@ -233,7 +350,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[Column],
     ``counts`` are the exact word counts that ``learn`` gave.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.state())
+    plain, shards = replace(model, shards=[]), model.shards
+    shared = spark.sparkContext.broadcast(vars(plain))
     names = [f"__carry{i}" for i in range(len(carry))]
     rows = docs.select(*(c.alias(n) for c, n in zip(carry, names)), F.monotonically_increasing_id().alias("__row"),
                        F.col(text).alias("__text"))
@@ -243,17 +361,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[Column],
                         "n_tokens long, n_known long, base double, score double, rare array<struct<word: long, n: long>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, powers = Model.of_state(shared.value), Powers()
+        model, powers = Model(**shared.value | {"shards": shards}), Powers()
         total = model.n + 0.5 * (model.v + 1)
         base_of = np.log10((model.counts + 0.5) / total) if model.n else np.zeros(0)
-        for batch in batches:
-            texts = filled(batch.column(n_head))
-            for low, high in slices(texts):
-                tokens, before, sizes = token_keys(texts.slice(low, high - low), powers)
-                home = np.repeat(np.arange(high - low), sizes)
-                logs = log_probability(model, tokens, before)
+
+        def scored(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            every = log_probability(model, *(np.concatenate([g[k] for g in group]) for k in (1, 2)))
+            upto = 0
+            for head, tokens, _, sizes in group:
+                logs, upto = every[upto:upto + len(tokens)], upto + len(tokens)
+                n_rows = len(sizes)
+                home = np.repeat(np.arange(n_rows), sizes)
                 known, place = held(model.words, tokens)
-                of_text = lambda w: np.bincount(home, weights=w, minlength=high - low)
+                of_text = lambda w: np.bincount(home, weights=w, minlength=n_rows)
                 base = of_text(np.where(known, base_of[place], 0.0) if len(base_of) else np.zeros(len(tokens)))
                 # the others, counted per text
                 rest = ~known
@@ -264,15 +384,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[Column],
                 new[1:] = (pair[1:] != pair[:-1]).any(1)
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(pair)))
-                edges = np.searchsorted(pair[first, 0], np.arange(high - low + 1).astype(np.uint64))
+                edges = np.searchsorted(pair[first, 0], np.arange(n_rows + 1).astype(np.uint64))
                 rare = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(
                     [pa.array(pair[first, 1].view(np.int64)), pa.array(n, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(low, high - low).columns[:n_head], pa.array(sizes, pa.int64()),
+                    [*head, pa.array(sizes, pa.int64()),
                      pa.array(of_text(known).astype(np.int64)), pa.array(base), pa.array(of_text(logs)), rare],
                     [*heads.names, "n_tokens", "n_known", "base", "score", "rare"])
 
+        group, n_held = [], 0
+        for batch in batches:
+            texts = filled(batch.column(n_head))
+            for low, high in slices(texts):
+                group.append((batch.slice(low, high - low).columns[:n_head],
+                              *token_keys(texts.slice(low, high - low), powers)))
+                n_held += len(group[-1][1])
+                if n_held >= GROUP_TOKENS:
+                    yield from scored(group)
+                    group, n_held = [], 0
+        if group:
+            yield from scored(group)
+
     first = cut(map_batches(rows, run, schema), "lm-first")
+    for shard in shards:
+        shard.unpersist()  # executors fetch it again if the model is used again
     total = model.n + 0.5 * (model.v + 1) if model.n else 1.0
     rare = first.select("__row", F.explode("rare").alias("x")).select("__row", "x.word", F.col("x.n").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))

@@ -131,6 +131,23 @@ def test_filter_gives_levels():
     assert (np.abs(np.log(back / counts)) < np.log(lm_scoring.RATIO)).all()
 
 
+def test_lm_holds_rare_words_and_pairs_in_shards(spark, monkeypatch):
+    texts = ["the end " * 300] * 10 + ["seldom met words stand here once"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole, counts = lm_scoring.learn(rows)
+    want = {r.c0: r.score for r in lm_scoring.score(rows, whole, counts, [rows.doc_id]).collect()}
+    for name, value in (("EXACT", 4), ("HOT", 4), ("SHARD_BYTES", 16), ("GROUP_TOKENS", 8)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    model, counts = lm_scoring.learn(rows)
+    assert len(model.shards) > 1
+    got = {r.c0: r.score for r in lm_scoring.score(rows, model, counts, [rows.doc_id]).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    # met words after met words are far likelier than unmet ones
+    unmet = spark.createDataFrame([(99, "never seen terms stay away forever")], rows.schema)
+    other = lm_scoring.score(unmet, model, counts, [unmet.doc_id]).first().score
+    assert got[10] > other + 6
+
+
 def test_lm_without_training_texts(docs, empty):
     model, counts = lm_scoring.learn(empty)
     got = lm_scoring.score(docs, model, counts, [docs.doc_id]).collect()
