@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -129,16 +130,24 @@ def _pieces_only(spec: dict) -> dict | None:
 
 
 class Encoder:
-    """A tokenizer (its JSON) over lists of whole texts. Strings of special tokens are ordinary text."""
+    """A tokenizer (its JSON) over lists of whole texts. Strings of special tokens are ordinary text;
+    with ``added``, strings of added tokens are those tokens, as in a plain call of the library."""
 
-    def __init__(self, tokenizer_json: str, classes: bytes) -> None:
+    def __init__(self, tokenizer_json: str, classes: bytes, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        single = _pieces_only(json.loads(tokenizer_json))
+        spec = json.loads(tokenizer_json)
+        single, marks = _pieces_only(spec), (spec.get("added_tokens") or []) if added else []
+        if (any(m.get(x) for m in marks for x in ("single_word", "lstrip", "rstrip"))
+                or len({m.get("normalized") for m in marks}) > 1):
+            single = None  # these depend on what stands around them: whole texts go through the library
         self.by_pieces = single is not None
         self.tokenizer = Tokenizer.from_str(json.dumps(single) if single else tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.marks = {m["content"]: m["id"] for m in marks if m["content"]} if single else {}
+        longest_first = sorted(self.marks, key=len, reverse=True)
+        self.at_marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.classes = np.frombuffer(classes, np.uint8)
         self.powers = Powers()
         self._forget()
@@ -174,6 +183,22 @@ class Encoder:
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+        marked = [any(m in t for m in self.marks) for t in texts] if self.marks else [False]
+        if not any(marked):
+            return self._by_pieces(texts)
+        # what stands between added tokens is a text of its own
+        split = [self.at_marks.split(t) if m else [t] for t, m in zip(texts, marked)]
+        parts = [p for s in split for p in s[::2]]
+        flat, sizes = self._by_pieces(parts)
+        last = np.cumsum([len(s) // 2 + 1 for s in split]) - 1  # the part that ends each text
+        before_mark = np.ones(len(parts), bool)
+        before_mark[last] = False
+        ids = [self.marks[m] for s in split for m in s[1::2]]
+        flat = np.insert(flat, np.cumsum(sizes)[before_mark], ids)
+        upto = np.cumsum(sizes + before_mark)[last]
+        return flat, np.diff(upto, prepend=0)
+
+    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         import pandas as pd
 
         joined = "\0".join(texts) + "\0"

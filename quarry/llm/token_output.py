@@ -15,7 +15,7 @@ Rows are stored as Parquet: Spark commits them, and a lost executor's part is wr
 
 Order: ascending doc_id, null first; rows of one doc_id by a hash of their text. A document is never
 split, so a task holds one block, which is as large as its longest document or ``BLOCK_IDS``. A null
-or empty text has the end id alone. Repeated rows are written each time. An empty table gives no
+or empty text has the end id alone. Strings of added tokens are those tokens, as in the library. Repeated rows are written each time. An empty table gives no
 blocks and no documents. Other columns of the input are not stored.
 """
 
@@ -130,7 +130,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, key:
     shared = spark.sparkContext.broadcast((tokenizer_json, byte_bpe.character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe.Encoder(*shared.value)
+        encoder = byte_bpe.Encoder(*shared.value, added=True)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         held, names, n_held = [], [], 0
 

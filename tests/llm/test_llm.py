@@ -4,6 +4,7 @@ texts, repeated rows, empty tables and clashing column names."""
 import collections
 import glob
 import hashlib
+import json
 import math
 import os
 import random
@@ -190,6 +191,28 @@ def test_written_ids_come_back(spark, docs, shard):
         at += r.n_tokens
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary(queries.TOKENIZER), encoding="utf-8") as f:
+        spec = f.read()
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end} x{end}", f" {end}  \n{end} ", "<|endof text|>", f"a<|{end}|>", "", PROSE]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    path = work_path(spark, "test-added")
+    token_output.write(rows, spec, path)
+    tokenizer = Tokenizer.from_str(spec)
+    got = token_output.read_documents(spark, path).orderBy("start").collect()
+    assert [list(r.ids) for r in got] == [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    # texts with stripping tokens go through the library whole
+    stripping = json.loads(spec)
+    stripping["added_tokens"][0]["lstrip"] = True
+    stripping = json.dumps(stripping)
+    flat, sizes = byte_bpe.Encoder(stripping, byte_bpe.character_classes(), added=True)(texts)
+    want = [Tokenizer.from_str(stripping).encode(t, add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def test_no_documents_no_blocks(spark, empty):
     with open(queries.vocabulary(queries.TOKENIZER), encoding="utf-8") as f:
         spec = f.read()
