@@ -76,8 +76,9 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
     ``queries``: query_id, text, embedding and the principal's columns (tenant_id, user_id,
     department_ids, role_ids). ``chunks``: chunks with access columns, content and embedding; rows
     that carry states must be live. With ``documents`` (document_id, status, current_version) they must
-    also be of the current version. ``index``, a kept index, saves reading the content; its hits are
-    checked against the chunks as they are now, before they take a place. k is the smaller of the asked and the configured one. VECTOR applies the threshold;
+    also be of the current version. ``index``, a kept index, saves reading the content; all rows
+    it scores are checked against the chunks as they are now, before the best of them are taken; its
+    statistics are those of the chunks it was made of. k is the smaller of the asked and the configured one. VECTOR applies the threshold;
     the hybrid modes ignore it, recall ``max(recall_k, k)`` per list, and fuse. Returns query_id,
     chunk_id, score, rank, included, debug_info.
     """
@@ -98,8 +99,8 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
     if index is None:
         lexical = bm25_topk(asked, chunks, recall, principals=queries, scope=scope)
     else:
-        lexical = _still_allowed(bm25_topk(asked, index, recall, principals=queries, scope=scope),
-                                 asked, chunks, queries)
+        lexical = bm25_topk(asked, index, recall, principals=queries, scope=scope,
+                            allowed=lambda scored: _still_allowed(scored, asked, chunks, queries))
     fused = rrf_fuse([dense, lexical], limit=recall if reranking else k)
     if not reranking:
         return fused
@@ -111,13 +112,10 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
         "query_id", "chunk_id", "score", "rank", "included", "debug_info")
 
 
-def _still_allowed(hits: DataFrame, asked: DataFrame, chunks: DataFrame,
+def _still_allowed(scored: DataFrame, asked: DataFrame, chunks: DataFrame,
                    principals: DataFrame) -> DataFrame:
-    """Hits whose chunk is among ``chunks`` and whose caller may see it now, ranked again."""
+    """Scored rows whose chunk is among ``chunks`` and whose caller may see it now."""
     now = with_acl_class(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class")
-    found = (hits.drop("rank").join(now, "chunk_id")
-             .join(asked.select("query_id", "signature"), "query_id"))
-    allowed = visible_classes(found, principals)
-    best = found.join(allowed, ["signature", "acl_class"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return best.select("query_id", "chunk_id", "score", rank.alias("rank"))
+    found = scored.join(now, "chunk_id").join(asked.select("query_id", "signature"), "query_id")
+    allowed = visible_classes(now, principals)
+    return found.join(allowed, ["signature", "acl_class"], "left_semi").select("query_id", "chunk_id", "score")

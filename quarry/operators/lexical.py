@@ -12,7 +12,7 @@ block of queries go to the tasks, and k rows per query and task are all that is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,9 +145,13 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
-              principals: DataFrame | None = None, scope: str = VISIBLE) -> DataFrame:
+              principals: DataFrame | None = None, scope: str = VISIBLE,
+              allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Best ``max(k, 1)`` chunks per query: query_id, chunk_id, score, rank.
 
+    ``allowed`` takes all scored rows (query_id, chunk_id, score) of an index and gives those that may
+    take a place.
+
     ``queries``: query_id, text and, with ``principals``, the caller's permission signature
     (``signature``). With scope "visible" the statistics come from what the caller may see, with
     "global" from all chunks; the results never leave what the caller may see. The weights of one
@@ -183,6 +187,8 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
     part = F.col("idf") * (F.col("tf") * (C.BM25_K1 + 1)) / scaled
     scores = (matches.groupBy("query_id", "chunk_id")
               .agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0"))
+    if allowed is not None:
+        scores = allowed(scores)
     return topk(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], max(k, 1),
                 spread_on="chunk_id")
 

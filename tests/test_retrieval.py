@@ -242,6 +242,30 @@ def test_search_checks_a_kept_index_against_the_chunks_of_today(spark):
         assert [(r["chunk_id"], r["rank"]) for r in found] == [("a", 1)]
 
 
+def test_stale_chunks_of_a_kept_index_take_no_places(spark):
+    acl, hidden = ("t", "u", None, "TENANT", None, None), ("t2", "u", None, "TENANT", None, None)
+    ddl = ("chunk_id string, filename string, document_id string, version int, status string, "
+           f"content string, embedding array<double>, {ACL}")
+    row = lambda name, doc, text, status="ACTIVE", who=acl: (
+        name, "x", doc, 1, status, text, [1.0, 0.0], *who)
+    stale = [(f"s{i}", ("old", "gone", "moved")[i % 3]) for i in range(30)]
+    then = [row(n, n if kind == "old" else "d", "red red red fox") for n, kind in stale] + [
+        row("a", "d", "red fox stands by the long green river"), row("b", "d", "a red hen stands by the river")]
+    now = [row(n, n if kind == "old" else "d", "red red red fox", "DELETED" if kind == "gone" else "ACTIVE",
+               hidden if kind == "moved" else acl) for n, kind in stale] + then[-2:]
+    path = work_path(spark, "index")
+    L.write_index(spark.createDataFrame(then, ddl), path)
+    documents = spark.createDataFrame([("d", "READY", 1), *((n, "READY", 2) for n, kind in stale if kind == "old")],
+                                      "document_id string, status string, current_version int")
+    queries = spark.createDataFrame([("q", "red fox", [1.0, 0.0], "t", "u", [], [])],
+                                    f"query_id string, text string, embedding array<double>, {PRINCIPAL}")
+    for index in (None, L.read_index(spark, path)):
+        found = R.search(queries, spark.createDataFrame(now, ddl), R.HYBRID, k=3, configured_k=3, recall_k=3,
+                         index=index, documents=documents).orderBy("rank").collect()
+        # in both lists, at the same places: 2 / 61 and 2 / 62
+        assert [(r["chunk_id"], round(r["score"], 6)) for r in found] == [("a", 0.032787), ("b", 0.032258)]
+
+
 def test_bm25_exact_code(spark):
     chunks = spark.createDataFrame([("c1", "设备 A12345 退款"), ("c2", "设备 A12346 退款")],
                                    "chunk_id string, content string")
