@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import map_batches
+from quarry.operators.skew import topk
 
 
-#: Training rows of a language, about; a sample by hash.
+#: Different training texts of a language, at most; the first by hash.
 SAMPLE_ROWS = 400
 #: Bytes of a dictionary, at most.
 DICTIONARY = 110 << 10
@@ -50,16 +51,15 @@ def plain(text: str) -> bytes:
 
 
 def training_sample(training: DataFrame, text: str, lang: str, rows: int) -> list[tuple[str, str]]:
-    """About ``rows`` texts of each language, by hash. Languages are counted over all rows first."""
-    known = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))))
-    # a hash as a number from 0 to 1
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    most = 2 * rows * len(counts)
-    taken = known.filter(place < share[F.col("lang")]).limit(most).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    """The first ``rows`` different texts of each language, by hash."""
+    known = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna().withColumn(
+        "place", F.xxhash64("text"))
+    # copies are one text; at most ``rows`` a language are left
+    chosen = topk(known.select("lang", "place").distinct(), ["lang"], [F.asc("place")], rows,
+                  spread_on="place").drop("rank")
+    head = F.substring("text", 1, SAMPLE_CHARS)
+    # small beside the texts, which stay where they are
+    taken = known.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "place").agg(F.min(head).alias("text"))
     return sorted((r["lang"], r["text"]) for r in taken.collect())
 
 

@@ -462,6 +462,17 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.95
 
 
+def test_copies_teach_once_and_crowd_nobody_out(spark):
+    copies = [("en", "one text that is there very often indeed")] * 600
+    others = [(lang, f"{lang} text number {i}") for lang in ("de", "en", "fr") for i in range(30)]
+    rows = spark.createDataFrame(copies + others, "lang string, text string").repartition(4)
+    got = language_id.training_sample(rows, "text", "lang", 20)
+    per_lang = collections.Counter(lang for lang, _ in got)
+    assert per_lang == {"de": 20, "en": 20, "fr": 20} and len(set(got)) == 60
+    assert got == language_id.training_sample(rows.repartition(7), "text", "lang", 20)
+    assert set(language_id.training_sample(rows, "text", "lang", 400)) == set(copies + others)
+
+
 def test_no_letters_no_language(docs, empty):
     dictionaries = language_id.fit(docs)
     got = {r.text: r for r in language_id.predict(docs.withColumnRenamed("lang", "known"), dictionaries).collect()}
