@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (byte_bpe, chat_format, decontaminate, language_id, lm_scoring, quality_classifier,
-                        quality_rules, simhash_dedup, sql, token_output, url_filter)
+from quarry.llm import (byte_bpe, chat_format, decontaminate, exact_dedup, fill_in_middle, language_id, lm_scoring,
+                        quality_classifier, quality_rules, simhash_dedup, spelling, sql, token_output, url_filter)
 from quarry.llm.common import fold, read
 from quarry.session import work_path
 
@@ -102,8 +102,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: One word of a text in so many loses a letter, see ``spelling.word_counts``.
+SLIP = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(read(spark, sf_dir, "documents"), slip=SLIP)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its text that stays."""
+    return exact_dedup.mark(read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut by lines and put back together, as digests."""
+    made = fill_in_middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    whole = fill_in_middle.restore(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(whole, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_url_filter, op4_quality_rules, op5_chat_format,
                             op6_byte_bpe, op7_quality_classifier, op8_simhash_dedup, op9_language_id,
-                            op10_decontaminate)}
+                            op10_decontaminate, op11_spelling_variants, op12_exact_dedup, op13_fill_in_middle)}
 SQL: dict[str, str] = dict(sql.TWINS)

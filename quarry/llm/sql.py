@@ -3,6 +3,8 @@ turns are compared, all shingles are joined, the model's sums are unrolled."""
 
 from __future__ import annotations
 
+import string
+
 from quarry.llm import chat_format, decontaminate, url_filter
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -118,4 +120,33 @@ FROM rows_ LEFT JOIN score USING (text)
 """
 
 
-TWINS = {"op3_url_filter": _url_sql(), "op4_quality_rules": OP4, "op5_chat_format": OP5, "op10_decontaminate": OP10}
+OP12 = f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS text_sha256
+           FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts,
+                  sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
+u AS (SELECT doc_id, text, list_transform(parts[1:len(parts) - 1], lambda x: x || chr(10))
+             || CASE WHEN parts[len(parts)] = '' THEN [] ELSE [parts[len(parts)]] END AS units,
+             list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(code, i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, text, units, len(units) AS n, h[1] % (len(units) + 1) AS x, h[2] % (len(units) + 1) AS y,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                  WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:least(x, y)], '') AS a,
+             array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS m,
+             array_to_string(units[greatest(x, y) + 1:], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m
+                        ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(a || m || z) AS restored_sha256
+FROM p
+"""
+
+TWINS = {"op3_url_filter": _url_sql(), "op4_quality_rules": OP4, "op5_chat_format": OP5, "op10_decontaminate": OP10,
+         "op12_exact_dedup": OP12, "op13_fill_in_middle": OP13}

@@ -95,7 +95,11 @@ def test_queries_carry_their_columns(spark, name):
         "op7_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
         "op8_simhash_dedup": ["doc_id", "fingerprint", "component_id"],
         "op9_language_id": ["doc_id", "held_out", "lang_pred", "score"],
-        "op10_decontaminate": ["doc_id", "item_id"]}[name]
+        "op10_decontaminate": ["doc_id", "item_id"],
+        "op11_spelling_variants": ["word", "n", "n_near", "form", "form_n", "root"],
+        "op12_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+        "op13_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+                                "restored_sha256"]}[name]
     assert queries.QUERIES[name](spark, SF).columns[:len(wanted)] == wanted
 
 
