@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.common import Powers, filled, gather, map_batches, mix, slices, span_keys
+from quarry.llm.common import filled, gather, map_batches, slices
 
 #: Bytes that stand for themselves (printable Latin-1); all others take the code
 #: points from 256 on, in order of the byte.
@@ -149,34 +149,25 @@ class Encoder:
         longest_first = sorted(self.marks, key=len, reverse=True)
         self.at_marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.classes = np.frombuffer(classes, np.uint8)
-        self.powers = Powers()
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.slots = np.zeros(0, np.int64)  # where each key's ids are
+        self.slots: dict[bytes, int] = {}  # pieces (UTF-32) and where their ids are
         self.flat = np.zeros(0, np.int32)
         self.begins = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Ids of pieces that this task has not met; keys are sorted."""
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of pieces that this task has not met."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [p.decode("utf-32-le") for p in pieces], add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        at = np.searchsorted(self.keys, keys)
-        self.slots = np.insert(self.slots, at, len(self.sizes) + np.arange(len(keys)))
-        self.keys = np.insert(self.keys, at, keys)
+        self.slots.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, ids])
 
-    def _met(self, keys: np.ndarray) -> np.ndarray:
-        """Which sorted keys this task has met."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
-
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
         if not self.by_pieces:
@@ -199,36 +190,29 @@ class Encoder:
         return flat, np.diff(upto, prepend=0)
 
     def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        import pandas as pd
-
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         stops = np.cumsum([len(t) + 1 for t in texts]) - 1
-        begins, ends = piece_spans(points, stops, self.classes)
-        home = np.searchsorted(stops, begins)
-        if not len(begins):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        keys = span_keys(mix(points + np.uint64(0x2545F4914F6CDD1D)), begins, ends, self.powers)
-        codes, different = pd.factorize(keys)
-        if len(self.keys) + len(different) > KEPT_PIECES:
+        edges, is_stop = piece_edges(points, stops, self.classes)
+        # the spans between edges as an Arrow array over the same bytes, numbered by their content
+        spans = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(is_stop), [None, pa.py_buffer(edges * 4), pa.py_buffer(points)]).dictionary_encode()
+        pieces = spans.dictionary.to_pylist()
+        if len(self.slots) + len(pieces) > KEPT_PIECES:
             self._forget()
-        order = np.argsort(different)
-        new = order[~self._met(different[order])]
-        if len(new):
-            place = np.zeros(len(different), np.int64)
-            place[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at = place[new]
-            self._learn(different[new], [joined[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist())])
-        where = np.empty(len(different), np.int64)
-        where[order] = self.slots[np.searchsorted(self.keys, different[order])]
-        slot = where[codes]
-        sizes = self.sizes[slot]
-        per_text = np.bincount(home, weights=sizes, minlength=len(texts)).astype(np.int64)
-        return gather(self.flat, self.begins[slot], sizes), per_text
-
-
-def piece_spans(points: np.ndarray, stops: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every match of ``SPLIT`` in texts laid end to end, each closed by one stop.
+        new = [p for p in pieces if p not in self.slots]
+        if new:
+            self._learn(new)
+        of = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        slot = of[spans.indices.to_numpy()]
+        sizes = np.where(is_stop, 0, self.sizes[slot])
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.flatnonzero(is_stop)]
+        return gather(self.flat, self.begins[slot], sizes), np.diff(upto, prepend=0)
+
+
+def piece_edges(points: np.ndarray, stops: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where matches of ``SPLIT`` begin in texts laid end to end, each closed by one stop, and the end;
+    and which of these spans are stops.
 
     Runs of one class are pieces. Of white space before something else the last character stands
     apart; a space there opens the next piece. An apostrophe that opens a piece takes s, t, m, d, re,
@@ -255,8 +239,7 @@ def piece_spans(points: np.ndarray, stops: np.ndarray, classes: np.ndarray) -> t
         opens[quote[short] + 2] = True
         opens[quote[long] + 3] = True
     edges = np.flatnonzero(opens)
-    begins = edges[kind[edges] != STOP]
-    return begins, edges[np.searchsorted(edges, begins) + 1]
+    return np.append(edges, len(points)), kind[edges] == STOP
 
 
 def token_bytes(tokenizer_json: str) -> list[bytes | None]:

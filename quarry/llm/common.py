@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,10 @@ BATCH_BYTES = 1 << 21
 
 def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over batches of about ``BATCH_BYTES`` (or one row) at most."""
+    """``mapInArrow`` over batches of about ``BATCH_BYTES`` (or one row) at most.
+
+    The session's bound is read when the rows are, so it is lowered for good, and said here.
+    """
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.match(r"\d+", conf.get(name))[0]) > BATCH_BYTES:
         conf.set(name, BATCH_BYTES)
@@ -112,17 +116,26 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+#: Spans of more symbols are hashed one by one: modulo 2**64 the polynomial below takes some regular
+#: long spans for one another, whatever its base.
+LONG_SPAN = 24
+
+
 def span_keys(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     """A 64-bit key for each span of ``values`` (random 64-bit numbers, one per symbol).
 
-    Prefix sums of a polynomial give every span's hash without a loop over spans: equal spans have
-    equal keys wherever they stand.
+    Prefix sums of a polynomial give every short span's hash without a loop over spans: equal spans
+    have equal keys wherever they stand. The few long spans are hashed whole.
     """
     up, down = powers.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=sums[1:])
     keys = (sums[ends] - sums[begins]) * down[begins]
-    return mix(keys + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    keys = mix(keys + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(ends - begins > LONG_SPAN)
+    if len(long):
+        keys[long] = [xxhash.xxh3_64_intdigest(values[b:e]) for b, e in zip(begins[long].tolist(), ends[long].tolist())]
+    return keys
 
 
 _LOWERED = np.arange(256, dtype=np.uint64)

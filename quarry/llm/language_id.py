@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,9 @@ from quarry.operators.skew import topk
 SAMPLE_ROWS = 400
 #: Bytes of a dictionary, at most.
 DICTIONARY = 110 << 10
-#: Characters of a sampled training text that are carried to the driver; predictions use whole texts.
-SAMPLE_CHARS = 8 << 10
+#: A sampled training text is carried to the driver as this many windows of so many characters, spread
+#: evenly over all of it; shorter texts are carried whole. Predictions use whole texts.
+WINDOWS, WINDOW_CHARS = 16, 512
 PIECE = 4096
 LEVEL = 9
 #: Shortest repetition that is looked for: endings and function words are short.
@@ -50,6 +51,25 @@ def plain(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
+def windows(text: Column, n: int = WINDOWS, chars: int = WINDOW_CHARS) -> Column:
+    """The text, or, of a longer one, ``n`` windows from its begin to its end."""
+    rest = F.char_length(text) - chars
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(
+        text, F.floor(rest * i / (n - 1)).cast("int") + 1, F.lit(chars)))
+    return F.when(F.char_length(text) > n * chars, F.array_join(places, " ")).otherwise(text)
+
+
+def spread(data: bytes, size: int) -> bytes:
+    """``size`` bytes of ``data`` at most: whole words from places spread evenly over it."""
+    if len(data) <= size:
+        return data
+    n = max(1, size // WINDOW_CHARS)
+    step, width = len(data) / n, size // n
+    parts = [data[int(i * step):int(i * step) + width] for i in range(n)]
+    # the words that a window cuts go
+    return b" ".join(p.partition(b" ")[2].rpartition(b" ")[0] or p for p in parts)[:size]
+
+
 def training_sample(training: DataFrame, text: str, lang: str, rows: int) -> list[tuple[str, str]]:
     """The first ``rows`` different texts of each language, by hash."""
     known = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna().withColumn(
@@ -57,9 +77,9 @@ def training_sample(training: DataFrame, text: str, lang: str, rows: int) -> lis
     # copies are one text; at most ``rows`` a language are left
     chosen = topk(known.select("lang", "place").distinct(), ["lang"], [F.asc("place")], rows,
                   spread_on="place").drop("rank")
-    head = F.substring("text", 1, SAMPLE_CHARS)
     # small beside the texts, which stay where they are
-    taken = known.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "place").agg(F.min(head).alias("text"))
+    taken = (known.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "place")
+             .agg(F.min(windows(F.col("text"))).alias("text")))
     return sorted((r["lang"], r["text"]) for r in taken.collect())
 
 
@@ -76,7 +96,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", rows: int =
         # long texts give what short ones leave
         spare, parts = size, []
         for i, v in enumerate(sorted(values, key=len)):
-            part = v[:max(each, spare // (len(values) - i))][:spare]
+            part = spread(v, min(max(each, spare // (len(values) - i)), spare))
             parts.append(part)
             spare -= len(part)
         if parts:

@@ -61,9 +61,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = tuple
 
 def grams(text: Column, order: int = ORDER) -> Column:
     """Every character with the ``order`` before it; one for the end."""
-    padded = F.concat(F.lit(BEFORE * order), text, F.lit(AFTER))
-    return F.when(F.length(text) > 0, F.transform(
-        F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(order + 1))))
+    # split once, and held by a name: a substring would walk from the text's begin each time
+    padded = F.array(F.split(F.concat(F.lit(BEFORE * order), text, F.lit(AFTER)), ""))
+    places = F.sequence(F.lit(0), F.length(text))
+    each = F.transform(padded, lambda chars: F.transform(
+        places, lambda i: F.concat(*(F.get(chars, i + k) for k in range(order + 1)))))
+    return F.when(F.length(text) > 0, F.get(each, 0))
 
 
 def _parts(gram: Column, order: int) -> list[tuple[str, Column]]:
@@ -98,17 +101,18 @@ def gram_scores(training: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
 
 
 def text_scores(training: DataFrame, texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """text, score for every different ``texts.text``."""
-    texts = texts.select("text").distinct()
+    """code, score for every different ``texts.code``, the digest of its ``text``."""
+    texts = texts.groupBy("code").agg(F.first("text").alias("text"))
     both = training.agg(F.count_if("accepted"), F.count_if(~F.col("accepted"))).first()
     if not all(both):
-        return texts.withColumn("score", F.lit(0.0))
-    each = texts.select("text", F.explode(grams(F.col("text"), order)).alias("gram"))
+        return texts.select("code", F.lit(0.0).alias("score"))
+    # grams go with the digest: a row of each with the whole of a long text would be its square
+    each = texts.select("code", F.explode(grams(F.col("text"), order)).alias("gram"))
     scored = gram_scores(training, each.select("gram").distinct(), order)
     # each gram of a text once, with its number: a frequent gram is one row per text
-    sums = (each.groupBy("gram", "text").agg(F.count(F.lit(1)).alias("n")).join(scored, "gram")
-            .groupBy("text").agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score")))
-    return texts.join(sums, "text", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"))
+    sums = (each.groupBy("gram", "code").agg(F.count(F.lit(1)).alias("n")).join(scored, "gram")
+            .groupBy("code").agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score")))
+    return texts.select("code").join(sums, "code", "left").select("code", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -133,14 +137,15 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Seque
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = cut(rows.select("*", rule.alias("rule"), said.alias("said"), F.concat("host", "path").alias("text"),
-                           F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1).isin(*UNSEEN).alias("unseen")), "url-rows")
-    decided = rows.filter("said is not null").select("text", (F.col("said") == ALLOW).alias("accepted"), "unseen")
+                           F.md5(F.concat("host", "path").cast("binary")).alias("code"))
+               .withColumn("unseen", F.substring("code", 1, 1).isin(*UNSEEN)), "url-rows")
+    decided = rows.filter("said is not null").select("text", "code", (F.col("said") == ALLOW).alias("accepted"), "unseen")
     training, held = decided.filter("not unseen"), decided.filter("unseen")
-    asked = rows.filter("said is null").select("text").unionByName(held.select("text"))
+    asked = rows.filter("said is null").select("text", "code").unionByName(held.select("text", "code"))
     scores = cut(text_scores(training, asked, order), "url-scores")
-    limit = threshold(held.join(scores, "text").select("score", "accepted"))
+    limit = threshold(held.join(scores, "code").select("score", "accepted"))
     open_ = F.col("said").isNull()
-    return rows.join(scores, "text", "left").select(
+    return rows.join(scores, "code", "left").select(
         "page_id", "host", "path", "rule",
         F.when(~open_, F.col("said")).when(F.col("score") >= F.lit(limit), ALLOW).otherwise(BLOCK).alias("verdict"),
         F.when(open_, F.round("score", 5)).alias("score"))
