@@ -180,6 +180,16 @@ def token_keys(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray,
     return tokens, previous, n_words + 1
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order of appearance, where each stands first, and each key's number."""
+    import pandas as pd
+
+    codes, different = pd.factorize(keys)
+    first = np.empty(len(different), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return different, first, codes
+
+
 def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs ``flat[b : b + n]`` end to end."""
     total = int(sizes.sum())

@@ -6,7 +6,7 @@ by asking for level 1, 2, ... until an answer is no. ``score`` reads smoothed pr
 probes.
 
 Size. Every word and every pair that occurs is held, at any size of the corpus (``FLOOR`` is unset),
-10 bits for each of its levels, so the filter grows with the number of different n-grams. It consists of one part per
+12 bits for each of its levels, so the filter grows with the number of different n-grams. It consists of one part per
 bucket of n-grams, made in tasks; parts are broadcast in shards of about ``SHARD_BYTES``. The driver
 holds one shard at a time, and so does a task, which asks each shard in turn for the tokens of about
 ``GROUP_TOKENS``. Pairs are dealt to buckets by their first word, save those of the ``HOT`` most
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BEGIN, END, Powers, filled, map_batches, mix, slices, token_keys
+from quarry.llm.common import BEGIN, END, Powers, distinct, filled, map_batches, mix, slices, token_keys
 from quarry.session import cut
 
 #: If set, n-grams with a relative frequency under 1 / FLOOR are left out of the filter, and words
@@ -50,7 +50,7 @@ SHARD_BYTES = 8 << 20
 #: Tokens that a task looks up together in each shard.
 GROUP_TOKENS = 1 << 21
 RATIO = 1.3
-BITS_PER_ENTRY = 10
+BITS_PER_ENTRY = 12
 PROBES = 5
 DISCOUNT = 0.75
 MIX = 0.5
@@ -89,41 +89,43 @@ def count_of(level: np.ndarray, floor: float) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """A Bloom filter whose entries are (n-gram, level)."""
+    """A Bloom filter whose entries are (n-gram, level). The bits of an entry lie in one 64-bit word,
+    so a question reads memory once."""
 
     bits: np.ndarray
 
     @classmethod
     def of(cls, keys: np.ndarray, level: np.ndarray) -> Filter:
-        n_bits = max(64, int(level.sum()) * BITS_PER_ENTRY)
-        bits = np.zeros(-(-n_bits // 8), np.uint8)
+        words = max(1, -(-int(level.sum()) * BITS_PER_ENTRY // 64))
+        bits = np.zeros(words, np.uint64)
         for step in range(1, int(level.max(initial=0)) + 1):
-            first, stride = cls._hashes(keys[level >= step], step)
-            for i in range(PROBES):
-                at = (first + np.uint64(i) * stride) % np.uint64(len(bits) * 8)
-                np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            spread, wanted = cls._hashes(keys[level >= step], step)
+            np.bitwise_or.at(bits, (spread * np.uint64(words)) >> np.uint64(32), wanted)
         return cls(bits)
 
     @staticmethod
     def _hashes(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        first = mix(keys + mix(np.array([step], np.uint64)))
-        return first, mix(first) | np.uint64(1)
+        """32 bits that choose the word, and the bits in it."""
+        code = mix(keys + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        wanted = np.uint64(1) << (code & np.uint64(63))
+        for k in range(1, PROBES):
+            wanted |= np.uint64(1) << ((code >> np.uint64(6 * k)) & np.uint64(63))
+        return code >> np.uint64(32), wanted
 
     def level(self, keys: np.ndarray, begins: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
-        """The last level before the first that is not there; with ``begins`` and ``sizes`` (bytes),
+        """The last level before the first that is not there; with ``begins`` and ``sizes`` (words),
         each key is looked for in a part of its own."""
-        found = np.zeros(len(keys), np.int64)
+        found = np.zeros(len(keys), np.int16)
         if begins is None:
             begins, sizes = np.zeros(len(keys), np.uint64), np.full(len(keys), len(self.bits))
-        low, n_bits = begins.astype(np.uint64) << np.uint64(3), sizes.astype(np.uint64) << np.uint64(3)
+        begins, sizes = begins.astype(np.uint64), sizes.astype(np.uint64)
         # a bucket without n-grams has no part
-        alive, step = np.flatnonzero(n_bits), 1
+        alive, step = np.flatnonzero(sizes), 1
+        keys, begins, sizes = keys[alive], begins[alive], sizes[alive]
         while len(alive):
-            first, stride = self._hashes(keys[alive], step)
-            for i in range(PROBES):
-                at = low[alive] + (first + np.uint64(i) * stride) % n_bits[alive]
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, first, stride = alive[hit], first[hit], stride[hit]
+            spread, wanted = self._hashes(keys, step)
+            hit = self.bits[begins + ((spread * sizes) >> np.uint64(32))] & wanted == wanted
+            alive, keys, begins, sizes = alive[hit], keys[hit], begins[hit], sizes[hit]
             found[alive] = step
             step += 1
         return found
@@ -142,19 +144,21 @@ class Model:
     buckets: int
     hot: np.ndarray
     hot_taken: np.ndarray
-    shards: list  # broadcasts of (first bucket, where each bucket's part begins, bytes), by bucket
+    shards: list  # broadcasts of (first bucket, where each bucket's part begins, words), by bucket
+    firsts: list  # first bucket of each shard
 
     def level(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Levels of entries; one shard is loaded at a time."""
-        found = np.zeros(len(keys), np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, at = bucket[order], 0
-        for shard in self.shards:
+        found = np.zeros(len(keys), np.int16)
+        of = np.searchsorted(np.array(self.firsts[1:], np.int64), bucket, "right")
+        # 16 bits sort by counting
+        order = np.argsort(of.astype(np.uint16) if len(self.shards) <= 1 << 16 else of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(len(self.shards) + 1))
+        for number, shard in enumerate(self.shards):
             first, starts, bits = shard.value
-            end = int(np.searchsorted(bucket, first + len(starts) - 1))
-            part = bucket[at:end] - first
-            found[order[at:end]] = Filter(bits).level(keys[order[at:end]], starts[part], starts[part + 1] - starts[part])
-            at = end
+            mine = order[edges[number]:edges[number + 1]]
+            part = bucket[mine] - first
+            found[mine] = Filter(bits).level(keys[mine], starts[part], starts[part + 1] - starts[part])
             if len(self.shards) > 1:
                 del bits
                 vars(shard).pop("_value", None)  # it is read from its file again
@@ -181,8 +185,8 @@ def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """word (key), n: every token of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, _ in _chunks(batches, 0):
-            words, n = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            words, _, of = distinct(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(of))], ["word", "n"])
 
     return map_batches(texts.select(text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -221,8 +225,8 @@ def count_parts(texts: DataFrame, counts: DataFrame, hot: np.ndarray, buckets: i
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, before in _chunks(batches, 0):
-            different, at, n = np.unique(entry_keys(PAIR, tokens, before), return_index=True, return_counts=True)
-            yield _dealt(pair_buckets(different, before[at], shared.value, buckets), before[at], tokens[at], n)
+            different, at, of = distinct(entry_keys(PAIR, tokens, before))
+            yield _dealt(pair_buckets(different, before[at], shared.value, buckets), before[at], tokens[at], np.bincount(of))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,9 +257,9 @@ def _part(bucket: int, rows: list[list[bytes]], hot: np.ndarray, floor: float) -
 
     word, n_word = joined(2, np.uint64, False), joined(3, np.uint32, False)
     before = np.repeat(joined(0, np.uint64, True), joined(1, np.uint32, True))
-    pair, at, to = np.unique(entry_keys(PAIR, joined(2, np.uint64, True), before), return_index=True, return_inverse=True)
+    pair, at, to = distinct(entry_keys(PAIR, joined(2, np.uint64, True), before))
     n_pair = np.bincount(to, weights=joined(3, np.uint32, True), minlength=len(pair))
-    context, home = np.unique(before[at], return_inverse=True)
+    context, _, home = distinct(before[at])
     taken = np.bincount(home, weights=np.where(n_pair >= floor, n_pair - DISCOUNT, 0), minlength=len(context))
     is_hot = held(hot, context)[0]
     keys = np.concatenate([entry_keys(WORD, word), pair, entry_keys(TAKEN, context[~is_hot])])
@@ -267,20 +271,22 @@ def _part(bucket: int, rows: list[list[bytes]], hot: np.ndarray, floor: float) -
         ["bucket", "bits", "hot"])
 
 
-def share_parts(parts: DataFrame, buckets: int) -> list:
-    """The filter as broadcasts of about ``SHARD_BYTES``; the driver holds one at a time."""
-    sizes = np.zeros(buckets, np.int64)
-    for r in parts.select("bucket", F.octet_length("bits").alias("size")).collect():
+def share_parts(parts: DataFrame, buckets: int) -> tuple[list, list[int]]:
+    """The filter as broadcasts of about ``SHARD_BYTES``, and the first bucket of each; the driver
+    holds one at a time."""
+    sizes = np.zeros(buckets, np.int64)  # 64-bit words
+    for r in parts.select("bucket", (F.octet_length("bits") / 8).cast("long").alias("size")).collect():
         sizes[r["bucket"]] = r["size"]
-    upto, shards, first = np.concatenate([[0], np.cumsum(sizes)]), [], 0
+    upto, shards, firsts, first = np.concatenate([[0], np.cumsum(sizes)]), [], [], 0
     while first < buckets:
-        end = max(first + 1, int(np.searchsorted(upto, upto[first] + SHARD_BYTES, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + SHARD_BYTES // 8, "right")) - 1)
         rows = parts.filter(F.col("bucket").between(first, end - 1)).select("bucket", "bits").collect()
-        bits = np.frombuffer(b"".join([bytes(r["bits"]) for r in sorted(rows, key=lambda r: r["bucket"])]), np.uint8)
+        bits = np.frombuffer(b"".join([bytes(r["bits"]) for r in sorted(rows, key=lambda r: r["bucket"])]), np.uint64)
         shards.append(parts.sparkSession.sparkContext.broadcast((first, upto[first:end + 1] - upto[first], bits)))
         vars(shards[-1]).pop("_value", None)  # the driver doesn't ask it
+        firsts.append(first)
         first = end
-    return shards
+    return shards, firsts
 
 
 def held(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,34 +320,41 @@ def learn(training: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     hot_taken = np.zeros(len(hot))
     for r in parts.select(F.explode("hot").alias("x")).groupBy("x.word").agg(F.sum("x.taken").alias("taken")).collect():
         hot_taken[held(hot, np.array([r["word"]], np.int64).view(np.uint64))[1]] = r["taken"]
-    return Model(n, v, floor, rare, words, known, buckets, hot, hot_taken, share_parts(parts, buckets)), counts
+    return Model(n, v, floor, rare, words, known, buckets, hot, hot_taken, *share_parts(parts, buckets)), counts
 
 
-def log_probability(model: Model, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 P(token | token before), from probes of the filter."""
-    if not model.n:
-        return np.zeros(len(tokens))
+def log_probability(model: Model, words: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 P(token | token before) of the tokens ``words[at]``, from probes of the filter; ``first``
+    marks the tokens that open a text. Each different word and pair is asked for once."""
+    if not model.n or not len(at):
+        return np.zeros(len(at))
     total = model.n + 0.5 * (model.v + 1)
-    words, at = np.unique(tokens, return_inverse=True)
-    context, of = np.unique(before, return_inverse=True)
-    pairs, spot, to = np.unique(entry_keys(PAIR, tokens, before), return_index=True, return_inverse=True)
+    context = np.append(words, BEGIN)
+    of = np.empty_like(at)
+    of[1:] = at[:-1]
+    of[first] = len(words)
+    _, spot, to = distinct(of * len(words) + at)
+    before = context[of[spot]]
+    pairs = entry_keys(PAIR, words[at[spot]], before)
     # the mark before a text stands once in each text, as the end mark does
     singles = np.concatenate([words, np.where(context == BEGIN, END, context)])
     found = model.level(
         np.concatenate([entry_keys(WORD, singles), entry_keys(TAKEN, context), pairs]),
         np.concatenate([bucket_of(singles, model.buckets), bucket_of(context, model.buckets),
-                        pair_buckets(pairs, before[spot], model.hot, model.buckets)]))
+                        pair_buckets(pairs, before, model.hot, model.buckets)]))
     level, in_texts, in_pairs, found = np.split(found, np.cumsum([len(words), len(context), len(context)]))
-    single = np.where(level > 0, (count_of(level, model.floor) + 0.5) / total, model.rare)[at]
-    n_before = count_of(in_texts, model.floor)[of]
+    single = np.where(level > 0, (count_of(level, model.floor) + 0.5) / total, model.rare)
+    n_before = count_of(in_texts, model.floor)
     is_hot, place = held(model.hot, context)
     in_pairs = np.where(is_hot, levels(model.hot_taken, model.floor)[place], in_pairs)
     taken = count_of(in_pairs, model.floor)
-    share = np.where(n_before > 0, np.minimum(taken[of] / np.maximum(n_before, 1e-300), 0.98), 0.0)
-    n_pair = np.minimum(count_of(found, model.floor)[to], n_before)
+    share = np.where(n_before > 0, np.minimum(taken / np.maximum(n_before, 1e-300), 0.98), 0.0)
+    # of each different pair
+    single, n_before, share = single[at[spot]], n_before[of[spot]], share[of[spot]]
+    n_pair = np.minimum(count_of(found, model.floor), n_before)
     direct = np.where(n_before > 0, np.maximum(n_pair - DISCOUNT, 0) / np.maximum(n_before, 1e-300), 0.0)
     # with no pair held at all, share is 0 and this is P(word) again
-    return np.log10(np.minimum(MIX * (direct + (1 - share) * single) + (1 - MIX) * single, 1.0))
+    return np.log10(np.minimum(MIX * (direct + (1 - share) * single) + (1 - MIX) * single, 1.0))[to]
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[Column], text: str = "text") -> DataFrame:
@@ -366,27 +379,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[Column],
         base_of = np.log10((model.counts + 0.5) / total) if model.n else np.zeros(0)
 
         def scored(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-            every = log_probability(model, *(np.concatenate([g[k] for g in group]) for k in (1, 2)))
+            words, _, at = distinct(np.concatenate([g[1] for g in group]))
+            every = log_probability(model, words, at, np.concatenate([g[2] == BEGIN for g in group]))
+            is_known, place = held(model.words, words)
+            base_of_word = np.where(is_known, base_of[place], 0.0) if len(base_of) else np.zeros(len(words))
             upto = 0
             for head, tokens, _, sizes in group:
-                logs, upto = every[upto:upto + len(tokens)], upto + len(tokens)
+                here, upto = slice(upto, upto + len(tokens)), upto + len(tokens)
+                logs, known = every[here], is_known[at[here]]
                 n_rows = len(sizes)
                 home = np.repeat(np.arange(n_rows), sizes)
-                known, place = held(model.words, tokens)
                 of_text = lambda w: np.bincount(home, weights=w, minlength=n_rows)
-                base = of_text(np.where(known, base_of[place], 0.0) if len(base_of) else np.zeros(len(tokens)))
+                base = of_text(base_of_word[at[here]])
                 # the others, counted per text
-                rest = ~known
-                pair = np.stack([home[rest].astype(np.uint64), tokens[rest]], 1)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                new = np.ones(len(pair), bool)
-                new[1:] = (pair[1:] != pair[:-1]).any(1)
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(pair)))
-                edges = np.searchsorted(pair[first, 0], np.arange(n_rows + 1).astype(np.uint64))
+                pair, n = np.unique(home[~known] * len(words) + at[here][~known], return_counts=True)
+                edges = np.searchsorted(pair, np.arange(n_rows + 1) * len(words))
                 rare = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(pair[first, 1].view(np.int64)), pa.array(n, pa.int64())], ["word", "n"]))
+                    [pa.array(words[pair % len(words)].view(np.int64)), pa.array(n, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays(
                     [*head, pa.array(sizes, pa.int64()),
                      pa.array(of_text(known).astype(np.int64)), pa.array(base), pa.array(of_text(logs)), rare],

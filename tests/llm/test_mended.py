@@ -91,3 +91,41 @@ def test_sizes_are_those_of_plain_compression():
                 dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             sizes.append(sum(len(one.compress(data[i:i + language_id.PIECE])) for i in range(0, len(data), language_id.PIECE)))
         assert judge.sizes(data) == sizes and judge(text)[0] == lang
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    """All probabilities from exact counts, put on the filter's levels; false positives lift a few."""
+    import collections
+    import math
+
+    from quarry.llm import lm_scoring
+
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(9000)]
+    texts = [" ".join(words[i:i + 30]) for i in range(0, 9000, 30)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None, "w1 unseen words"])), "doc_id long, text string").repartition(3)
+    training = rows.filter("doc_id < 250")
+    model, counts = lm_scoring.learn(training)
+    got = {r.c0: r.score for r in lm_scoring.score(rows, model, counts, [rows.doc_id]).collect()}
+    tokens = [[*(t or "").split(), "\0end"] for t in [*texts, None, "w1 unseen words"]]
+    one, two = collections.Counter(), collections.Counter()
+    for t in tokens[:250]:
+        one.update(t)
+        two.update(zip(["\0begin", *t], t))
+    held = lambda n: float(lm_scoring.count_of(lm_scoring.levels(np.array([n], float), 1.0), 1.0)[0])
+    taken = collections.Counter()
+    for (v, _), n in two.items():
+        taken[v] += n - lm_scoring.DISCOUNT
+    n, v = sum(one.values()), len(one)
+    close = 0
+    for i, t in enumerate(tokens):
+        want = 0.0
+        for a, b in zip(["\0begin", *t], t):
+            single = (held(one[b]) + 0.5) / (n + 0.5 * (v + 1)) if one[b] else 0.5 / (n + 0.5 * (v + 1))
+            times = held(one["\0end"] if a == "\0begin" else one[a])
+            share = min(held(taken[a]) / times, 0.98) if times else 0.0
+            direct = max(min(held(two[a, b]), times) - lm_scoring.DISCOUNT, 0) / times if times else 0.0
+            want += math.log10(min(lm_scoring.MIX * (direct + (1 - share) * single) + (1 - lm_scoring.MIX) * single, 1.0))
+        assert got[i] == pytest.approx(want, rel=0.05)
+        close += abs(got[i] - want) <= 0.005 * abs(want)
+    assert close > 0.8 * len(tokens)
