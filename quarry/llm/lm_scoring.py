@@ -48,14 +48,14 @@ HOT = 1 << 12
 #: Bytes of the filter that are broadcast, and loaded by a task, together.
 SHARD_BYTES = 8 << 20
 #: Tokens that a task looks up together in each shard.
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 20
 RATIO = 1.3
 BITS_PER_ENTRY = 12
 PROBES = 5
 DISCOUNT = 0.75
 MIX = 0.5
 #: Tokens of a task that are counted before rows go to Spark.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 
 #: Kinds of entries: a word, a pair, and the occurrences of a word that its held pairs take up.
 WORD, PAIR, TAKEN = mix(np.arange(3, dtype=np.uint64) + np.uint64(0x57))
