@@ -10,10 +10,10 @@ from quarry.plans.chunks import (_IDENTITY, _TWO_VERSIONS, LETTERS, THRESHOLD, l
 from quarry.plans.operations import (_COUNTERS, _RATES, _TRANSITIONS, SQL_ALERTS,
                                      SQL_OUTCOMES, SQL_QUOTA)
 from quarry.plans.registry import query
-from quarry.session import work_path
+from quarry.session import cut, work_path
 from quarry.streaming import state as T
 from quarry.streaming import windows as W
-from quarry.streaming.ingest import latest_chunks, stream_ingest
+from quarry.streaming.ingest import latest_chunks, latest_manifest, stream_ingest
 from quarry.streaming.run import read_parquet_stream, run_available, run_closed, state_settings
 
 
@@ -179,3 +179,54 @@ def stream_ingest_documents(spark, sf_dir):
     return latest_chunks(spark, target).select(
         "chunk_id", "document_id", "version", "chunk_index", "content_hash",
         F.array_join(numbers, ",").alias("vector"))
+
+
+# after two runs: version 1 of a fifth of the documents is emptied, of a fifth deleted, of a fifth sent
+# twice, of a fifth replaced by version 2 and sent again all the same, and of a fifth sent with an image
+_SENT = """SELECT doc_id::VARCHAR AS document_id, 1 + (doc_id % 5 = 3)::INT AS version, doc_id % 5 AS what,
+      CASE doc_id % 5 WHEN 2 THEN 'New. ' || text WHEN 3 THEN 'Second. ' || text WHEN 4 THEN text END AS content, text
+    FROM documents"""
+_SENT_CHUNKS = """SELECT document_id, version, chunk_index, sha256(content) AS content_hash, 'TEXT' AS modality FROM sent_chunks
+    UNION ALL SELECT document_id, version, coalesce(n, 0)::INT, sha256(text), 'IMAGE'
+      FROM sent LEFT JOIN (SELECT document_id, version, count(*) AS n FROM sent_chunks GROUP BY ALL)
+      USING (document_id, version) WHERE what = 4 AND text IS NOT NULL"""
+
+
+@query("stream_ingest_manifest", B.with_views("", """SELECT document_id, version,
+      CASE WHEN what = 1 THEN 'DELETED' WHEN modality IS NULL THEN 'FAILED' ELSE 'READY' END AS state,
+      CASE WHEN what <> 1 AND modality IS NULL THEN 'DOCUMENT_EMPTY_FILE' END AS error_code,
+      chunk_index, content_hash, modality
+    FROM sent LEFT JOIN all_chunks USING (document_id, version)
+    UNION ALL SELECT document_id, 1, 'CANCELED', 'DOCUMENT_VERSION_STALE', NULL, NULL, NULL FROM sent WHERE what = 3""",
+    sent=_SENT, **strategy_views("sent", "document_id::BIGINT % 3 = 1"), all_chunks=_SENT_CHUNKS))
+def stream_ingest_manifest(spark, sf_dir):
+    """Every document, and then each of them again in one of five ways, in a second run of the stream."""
+    folder, target = work_path(spark, "sent"), work_path(spark, "corpus")
+    n = F.col("doc_id")
+    docs = B.table(spark, sf_dir, "documents")
+    image = F.struct(F.lit(2).alias("page"), F.encode("text", "UTF-8").alias("bytes"))
+
+    def row(version, content, at, kind="UPSERT", images=None):
+        return F.struct(
+            n.cast("string").alias("document_id"), F.lit(version).cast("int").alias("version"),
+            content.cast("string").alias("content"), F.lit(at).alias("at"), F.lit(kind).alias("kind"),
+            B.pick(("FIXED", "SEMANTIC", "MARKDOWN"), n).alias("strategy"), F.lit("a.png").alias("filename"),
+            F.lit(None).cast("string").alias("content_type"),
+            (images if images is not None else F.array().cast("array<struct<page:int,bytes:binary>>")).alias("images"))
+
+    text = F.col("text")
+    whole_document = F.when(n % 2 == 0, 1)
+    again = (F.when(n % 5 == 0, F.array(row(1, F.lit(" \n"), 2)))
+             .when(n % 5 == 1, F.array(row(whole_document, F.lit(None), 2, "DELETE")))
+             .when(n % 5 == 2, F.array(row(1, F.concat(F.lit("New. "), text), 3), row(1, F.concat(text, F.lit(" old")), 2)))
+             .when(n % 5 == 3, F.array(row(2, F.concat(F.lit("Second. "), text), 2), row(1, text, 3)))
+             .otherwise(F.array(row(1, text, 2, images=F.array(image)))))
+    current = cut(docs.select(n.cast("string").alias("document_id"), F.when(n % 5 == 3, 2).otherwise(1).alias("version")), "current")
+    for sent, registry in ((F.array(row(1, text, 1)), None), (again, lambda: current)):
+        docs.select(F.explode(sent).alias("row")).select("row.*").write.mode("append").parquet(folder)
+        stream = read_parquet_stream(spark, folder, "*.parquet", files_per_trigger=1 << 20)
+        stream_ingest(stream, target, letter_counts, "letters", threshold=THRESHOLD, order="at",
+                      registry=registry).awaitTermination()
+    chunks = latest_chunks(spark, target).select("document_id", "version", "chunk_index", "content_hash", "modality")
+    return latest_manifest(spark, target).select("document_id", "version", "state", "error_code").join(
+        chunks, ["document_id", "version"], "left")

@@ -11,7 +11,7 @@ from quarry.session import work_path
 from quarry.sources import files as S
 from quarry.streaming import state as T
 from quarry.streaming import windows as W
-from quarry.streaming.ingest import latest_chunks, stream_ingest
+from quarry.streaming.ingest import latest_chunks, latest_manifest, latest_parents, stream_ingest
 from quarry.streaming.run import read_parquet_stream, run_available, state_settings
 
 START = datetime(2024, 1, 1)
@@ -135,3 +135,71 @@ def test_ingest_again_clears_a_version_and_goes_on(spark):
         stream_ingest(docs, target, hash_embedder(8), "m").awaitTermination()
     got = latest_chunks(spark, target).collect()
     assert sorted((r["document_id"], r["content"]) for r in got) == [("d", "changed"), ("e", "kept")]
+
+
+INGEST = ("document_id string, version int, content string, strategy string, kind string, at int, filename string, "
+          "content_type string, images array<struct<page:int,bytes:binary>>")
+
+
+def _sent(document, version, content, at=1, kind=None, images=None, strategy="FIXED"):
+    return (document, version, content, strategy, kind, at, "f.png", None, images)
+
+
+def test_manifest_decides_what_is_read(spark):
+    first = [_sent(d, 1, f"text of {d}") for d in ("emptied", "deleted", "gone", "twice", "stale", "kept")] + [
+        _sent("gone", 2, "second"), _sent("empty", 1, None), _sent("md", 1, "# h\nbody", strategy="MARKDOWN")]
+    second = [_sent("emptied", 1, " "), _sent("deleted", 1, None, kind="delete"), _sent("gone", None, None, 5, "DELETE"),
+              _sent("gone", 3, "after", 6), _sent("gone", 4, "before", 4),
+              _sent("twice", 1, "later", 9), _sent("twice", 1, "zzz earlier", 8), _sent("twice", 1, "later", 9),
+              _sent("stale", 1, "stale again"), _sent("stale", 2, "current"),
+              _sent("img", 1, None, images=[(2, b"x"), (0, b"y"), (1, None)]), _sent("md", 1, "flat", strategy="MARKDOWN")]
+    docs = stream_of(spark, first, second, ddl=INGEST)
+    target = work_path(spark, "corpus")
+    current = spark.createDataFrame([(d, v) for d, v in [
+        *((r[0], r[1]) for r in first), ("gone", 3), ("gone", 4), ("stale", 2), ("img", 1)] if (d, v) != ("stale", 1)],
+        "document_id string, version int")
+    stream_ingest(docs, target, hash_embedder(8), "m", order="at", registry=lambda: current).awaitTermination()
+    state = {(r.document_id, r.version): (r.state, r.error_code, r.chunks) for r in latest_manifest(spark, target).collect()}
+    assert state == {
+        ("emptied", 1): ("FAILED", "DOCUMENT_EMPTY_FILE", 0), ("deleted", 1): ("DELETED", None, 0),
+        ("gone", 1): ("DELETED", None, 0), ("gone", 2): ("DELETED", None, 0), ("gone", 3): ("READY", None, 1),
+        ("gone", 4): ("DELETED", None, 0), ("twice", 1): ("READY", None, 1),
+        ("stale", 1): ("CANCELED", "DOCUMENT_VERSION_STALE", 0), ("stale", 2): ("READY", None, 1),
+        ("kept", 1): ("READY", None, 1), ("empty", 1): ("FAILED", "DOCUMENT_EMPTY_FILE", 0),
+        ("img", 1): ("READY", None, 2), ("md", 1): ("READY", None, 1)}
+    rows = latest_chunks(spark, target).collect()
+    assert sorted((r.document_id, r.chunk_index, r.content, r.modality) for r in rows) == [
+        ("gone", 0, "after", "TEXT"), ("img", 0, "[图片] f.png 第2页", "IMAGE"), ("img", 1, "[图片] f.png", "IMAGE"),
+        ("kept", 0, "text of kept", "TEXT"), ("md", 0, "flat", "TEXT"), ("stale", 0, "current", "TEXT"),
+        ("twice", 0, "later", "TEXT")]
+    assert all(len(r.embedding) == 8 for r in rows)
+    assert [r.content for r in latest_parents(spark, target).filter("document_id = 'md'").collect()] == ["flat"]
+
+
+def test_versions_that_turn_stale_while_a_batch_runs_are_canceled(spark):
+    docs = stream_of(spark, [_sent("a", 1, "one"), _sent("b", 1, "two")], ddl=INGEST)
+    target = work_path(spark, "corpus")
+    answers = [[("a", 1), ("b", 1)], [("a", 2), ("b", 1)]]
+    stream_ingest(docs, target, hash_embedder(8), "m", registry=lambda: spark.createDataFrame(
+        answers.pop(0), "document_id string, version int")).awaitTermination()
+    assert [r.document_id for r in latest_chunks(spark, target).collect()] == ["b"]
+    assert latest_manifest(spark, target).filter("document_id = 'a'").first().state == "CANCELED"
+
+
+def test_prefixes_and_pictures_are_embedded_by_their_own_functions(spark):
+    seen = spark.sparkContext.accumulator(0)
+    docs = stream_of(spark, [_sent("a", 1, "body", images=[(1, b"picture")])], ddl=INGEST)
+    target = work_path(spark, "corpus")
+
+    def texts(batch):
+        return [[float(t.startswith("about ") and t.endswith("\nbody"))] for t in batch]
+
+    def pictures(batch):
+        seen.add(len(batch))
+        return [[2.0 if t.startswith("data:image/png;base64,") else 0.0] for t in batch]
+
+    stream_ingest(docs, target, texts, "m", prefix_fn=lambda p: "about it", image_fn=pictures).awaitTermination()
+    rows = {r.modality: r for r in latest_chunks(spark, target).collect()}
+    assert (rows["TEXT"].content, rows["TEXT"].embedding) == ("body", [1.0])
+    assert rows["IMAGE"].embedding == [2.0] and rows["IMAGE"].content_hash == rows["IMAGE"].image_ref
+    assert seen.value >= 1
