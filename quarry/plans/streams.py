@@ -42,6 +42,25 @@ def _closed(spark, sf_dir, build, name):
         return run_closed(build(_typed(rows)), name, lambda: far.write.mode("append").parquet(folder))
 
 
+def _shuffled(spark, sf_dir, build, name):
+    """All that ``build`` makes of the events when they come in four files dealt by hash, one to a
+    batch, so that each batch spans all of the time. The watermark has to span it too; rows far ahead
+    then close what waits."""
+    folder = work_path(spark, "shuffled")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    far = rows.limit(1).withColumns({"ts": F.lit("2200-01-01 00:00:00").cast(rows.schema["ts"].dataType),
+                                     "event_id": F.lit(1 << 30).cast(rows.schema["event_id"].dataType),
+                                     "user_id": F.lit(-1).cast(rows.schema["user_id"].dataType)})
+    stream = _typed(read_parquet_stream(spark, folder, "*.parquet", files_per_trigger=1))
+    with state_settings(spark):
+        return run_closed(build(stream), name, lambda: far.write.mode("append").parquet(folder))
+
+
+#: Longer than the events last.
+SPAN = "60 days"
+
+
 def usage_of(events):
     prompt, k = F.floor("value").cast("int"), F.col("k")
     return B.usage_of(events, prompt, k, prompt + k)
@@ -121,27 +140,66 @@ def stream_confirmations(spark, sf_dir):
 
 @query("stream_quota", f"SELECT call_id, tenant_id, user_id, admitted FROM ({SQL_QUOTA})")
 def stream_quota(spark, sf_dir):
-    return _finish(T.stream_quota(calls_of(event_stream(spark, sf_dir)), 2500, 8000), "quota")
+    """Calls in any order of arrival get the verdicts of their order in time."""
+    return _shuffled(spark, sf_dir, lambda events: T.stream_quota(
+        calls_of(events), 2500, 8000, watermark=SPAN, by=T.EVENT), "quota")
 
 
 @query("stream_workflow", B.with_views("workflow_states", """SELECT workflow_id, event_id, from_state,
     state AS to_state, event, session_no::BIGINT AS session_no, legal FROM moves""",
     moves=_TRANSITIONS))
 def stream_workflow(spark, sf_dir):
-    return _finish(T.stream_workflow(B.workflow_states_of(event_stream(spark, sf_dir))),
-                   "workflow")
+    """Events in any order of arrival."""
+    return _shuffled(spark, sf_dir, lambda events: T.stream_workflow(
+        B.workflow_states_of(events), watermark=SPAN, by=T.EVENT), "workflow")
+
+
+# one attempt after the other: what the task was, whether its lock ran out first, and what it becomes
+_TASKS = B.with_views("ev", """SELECT task_id, ms AS at_ms, status, retries, code AS error_code, delay AS delay_seconds
+      FROM walk WHERE n > 0 AND told
+    UNION ALL SELECT task_id, lost, 'RETRYING', lost_retries, 'INGEST_LOCK_TIMEOUT', 0 FROM walk WHERE lost IS NOT NULL
+    UNION ALL SELECT task_id, locked + 300000, 'RETRYING', retries, 'INGEST_LOCK_TIMEOUT', 0 FROM walk w
+      WHERE locked IS NOT NULL AND n = (SELECT max(n) FROM numbered b WHERE b.task_id = w.task_id)""",
+    numbered=f"""SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, attempt_id) AS n FROM (
+      SELECT 'k' || user_id || '-' || k % 20 AS task_id, event_id AS attempt_id, ts, epoch_us(ts) // 1000 AS ms,
+        CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'START' WHEN event_type = 'purchase' THEN 'SUCCESS'
+          ELSE 'FAILURE' END AS kind,
+        CASE WHEN event_type = 'error' THEN {B._sql_pick(B.ATTEMPT_CODES, 'event_id')} END AS error_code FROM ev)""",
+    walk="""SELECT DISTINCT task_id, 0::BIGINT AS n, 0::BIGINT AS ms, 'PENDING' AS status, 0::INT AS retries,
+        NULL::BIGINT AS locked, false AS told, NULL::VARCHAR AS code, NULL::INT AS delay, NULL::BIGINT AS lost,
+        0::INT AS lost_retries FROM numbered
+      UNION ALL SELECT task_id, n, ms,
+        CASE kind WHEN 'START' THEN CASE WHEN open THEN 'RUNNING' ELSE before END WHEN 'SUCCESS' THEN 'SUCCESS'
+          ELSE CASE WHEN retryable AND tried < 3 THEN 'RETRYING' ELSE 'FAILED' END END,
+        tried, CASE WHEN kind = 'START' THEN CASE WHEN open THEN ms ELSE held END END, kind <> 'START' OR open,
+        CASE WHEN kind = 'FAILURE' THEN error_code END,
+        CASE WHEN kind = 'FAILURE' AND retryable AND tried < 3 THEN least(300, 5 * 2 ** (tried - 1))::INT END, lost, had
+      FROM (SELECT *, before IN ('PENDING', 'RETRYING') AS open,
+          had + (kind = 'FAILURE' AND retryable)::INT AS tried FROM (
+        SELECT c.task_id, c.n, c.ms, c.kind, c.error_code, w.retries AS had,
+          coalesce(c.error_code NOT IN ('DOCUMENT_EMPTY_FILE', 'INVALID_STRUCTURED_OUTPUT'), false) AS retryable,
+          CASE WHEN w.locked + 300000 <= c.ms THEN 'RETRYING' ELSE w.status END AS before,
+          CASE WHEN w.locked + 300000 <= c.ms THEN NULL ELSE w.locked END AS held,
+          CASE WHEN w.locked + 300000 <= c.ms THEN w.locked + 300000 END AS lost
+        FROM walk w JOIN numbered c ON c.task_id = w.task_id AND c.n = w.n + 1))"""
+    ).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("stream_ingest_tasks", _TASKS)
+def stream_ingest_tasks(spark, sf_dir):
+    """Attempts in any order of arrival."""
+    return _shuffled(spark, sf_dir, lambda events: T.stream_ingest_tasks(
+        attempts_of(events), watermark=SPAN, by=T.EVENT), "ingest-tasks")
 
 
-@query("stream_ingest_tasks")
-def stream_ingest_tasks(spark, sf_dir):
+def attempts_of(events):
     kind = F.col("event_type")
-    attempts = event_stream(spark, sf_dir).select(
+    return events.select(
         F.concat(B.tag("k", F.col("user_id")), F.lit("-"), (F.col("k") % 20).cast("string"))
         .alias("task_id"), F.col("event_id").alias("attempt_id"), "ts",
         F.when(kind.isin("click", "view", "signup"), "START").when(kind == "purchase", "SUCCESS")
         .otherwise("FAILURE").alias("kind"),
         F.when(kind == "error", B.pick(B.ATTEMPT_CODES, F.col("event_id"))).alias("error_code"))
-    return _finish(T.stream_ingest_tasks(attempts), "ingest-tasks")
 
 
 def _summary(old, lines):
@@ -153,14 +211,17 @@ def _summary(old, lines):
       n > 4 AND (n - 5) % 3 = 0 AS compressed
     FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) AS n FROM chat)"""))
 def stream_history(spark, sf_dir):
-    rows = read_parquet_stream(spark, sf_dir, "conversations.parquet")
+    """Turns in any order of arrival: four files dealt by hash, one to a batch."""
+    folder = work_path(spark, "shuffled")
+    B.table(spark, sf_dir, "conversations").repartition(4, F.xxhash64("conv_id", "turn")).write.parquet(folder)
+    rows = read_parquet_stream(spark, folder, "*.parquet", files_per_trigger=1)
     n = F.col("conv_id")
     turns = rows.select(
         B.tag("u", n % 5).alias("user_id"), n.cast("string").alias("conversation_id"),
         F.col("turn").alias("seq"),
         F.when(F.col("role") == "user", F.col("text")).alias("user_message"),
         F.when(F.col("role") == "assistant", F.col("text")).alias("assistant_message"))
-    done = _finish(T.stream_history(turns, _summary, keep=2, threshold=4), "history")
+    done = _finish(T.stream_history(turns, _summary, keep=2, threshold=4, first=0), "history")
     return done.select("conversation_id", "seq", "retained", "compressed")
 
 

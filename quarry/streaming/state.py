@@ -1,8 +1,19 @@
-"""Sequential policies as keyed state. Rows of one key are ordered inside each micro-batch, whose
-size the source's trigger options bound; across batches the order is that of arrival."""
+"""Sequential policies as keyed state.
+
+Rows of a key wait in state, packed by slices of event time, and are folded slice by slice, so a task
+holds the rows of one key and slice at a time, however many a key has. ``by`` says when:
+
+* ``"arrival"``: at the end of each micro-batch. Rows are in order of events inside it; across batches
+  the order is that of arrival. Nothing waits longer.
+* ``"event"``: when the watermark passes a slice's end, on event-time timers. The result is that of the
+  batch operator whatever the order of arrival, as long as no row is later than the watermark allows;
+  Spark drops such rows.
+"""
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,161 +25,242 @@ from quarry import constants as C
 
 _EDGES = frozenset(C.WORKFLOW_EDGES)
 _DAY_MS = 24 * 3600 * 1000
+ARRIVAL, EVENT = "arrival", "event"
+#: Length of a slice.
+SLICE_MS = 10 * 60 * 1000
+#: Rows of a packed block of waiting rows.
+BLOCK_ROWS = 4096
+
+
+class _InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``fold`` in order of ``ts_us`` and then ``tie``."""
 
+    tie = ""
 
-def _ordered(batches: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(list(columns))
+    def __init__(self, by: str, slice_ms: int = SLICE_MS):
+        if by not in (ARRIVAL, EVENT):
+            raise ValueError(f"unknown order {by}")
+        self.by, self.slice_ms = by, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getMapState("blocks", "slice bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "slice bigint, block int", "rows binary")
+        self.open(handle)
 
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Declares the policy's own state."""
+        raise NotImplementedError
 
-class _Quota(StatefulProcessor):
+    def fold(self, key, frames: Iterator[pd.DataFrame], now: int | None) -> Iterator[pd.DataFrame]:
+        """Results of rows that come in order, a frame per slice. ``now``: no earlier row (in ms) will
+        come; None where that is not known."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = next(rows, None)
+        if first is None:
+            return
+        second = next(rows, None)
+        if self.by == ARRIVAL and second is None:
+            yield from self.fold(key, iter([self._sorted(first)]), None)
+            return
+        for frame in (first, second):
+            if frame is not None:
+                self._wait(frame)
+        for frame in rows:
+            self._wait(frame)
+        if self.by == ARRIVAL:
+            yield from self.fold(key, self._slices(None), None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.by == EVENT:
+            now = now // self.slice_ms * self.slice_ms  # up to here all rows are there
+        yield from self.fold(key, self._slices(now) if self.by == EVENT else iter(()), now)
+
+    def wake(self, at: int) -> None:
+        """Calls ``fold`` once rows up to ``at`` (ms) are there."""
+        self.handle.registerTimer(-(-at // self.slice_ms) * self.slice_ms if self.by == EVENT else at)
+
+    def _sorted(self, frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.sort_values(["ts_us", self.tie], kind="stable")
+
+    def _wait(self, frame: pd.DataFrame) -> None:
+        for of, part in frame.groupby(frame["ts_us"] // (self.slice_ms * 1000), sort=False):
+            of = int(of)
+            n = self.blocks.getValue((of,))[0] if self.blocks.containsKey((of,)) else 0
+            if not n and self.by == EVENT:
+                self.handle.registerTimer((of + 1) * self.slice_ms)
+            for low in range(0, len(part), BLOCK_ROWS):
+                rows = part.iloc[low:low + BLOCK_ROWS].drop(columns="ts", errors="ignore")
+                self.waiting.updateValue((of, n), (pickle.dumps({c: rows[c].tolist() for c in rows}),))
+                n += 1
+            self.blocks.updateValue((of,), (n,))
+
+    def _slices(self, upto: int | None) -> Iterator[pd.DataFrame]:
+        """The rows of each slice that ends by ``upto``; they leave the state."""
+        due = sorted(k[0] for k in self.blocks.keys())
+        for of in due:
+            if upto is not None and (of + 1) * self.slice_ms > upto:
+                return
+            frames = []
+            for block in range(self.blocks.getValue((of,))[0]):
+                frames.append(pd.DataFrame(pickle.loads(self.waiting.getValue((of, block))[0])))
+                self.waiting.removeKey((of, block))
+            self.blocks.removeKey((of,))
+            yield self._sorted(pd.concat(frames, ignore_index=True))
+
+    def close(self) -> None:
+        pass
+
+
+class _Quota(_InOrder):
     """Spent tokens of a tenant's day and of its users."""
 
-    def __init__(self, user_quota: int, tenant_quota: int):
+    tie = "call_id"
+    columns = ["call_id", "tenant_id", "user_id", "admitted"]
+
+    def __init__(self, user_quota: int, tenant_quota: int, by: str):
+        super().__init__(by)
         self.user_quota, self.tenant_quota = user_quota, tenant_quota
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.tenant = handle.getValueState("tenant", "spent bigint")
         self.users = handle.getListState("users", "user string, spent bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.tenant.exists():
-            spent = self.tenant.get()[0]
-        else:
-            spent = 0
-            self.handle.registerTimer(int(pd.Timestamp(key[1], tz="UTC").value // 1_000_000)
-                                      + _DAY_MS)
+        yield from super().handleInputRows(key, rows, timerValues)
+        self.wake(self._end(key))
+
+    def _end(self, key) -> int:
+        return int(pd.Timestamp(key[1], tz="UTC").value // 1_000_000) + _DAY_MS
+
+    def fold(self, key, frames: Iterator[pd.DataFrame], now: int | None) -> Iterator[pd.DataFrame]:
+        spent = self.tenant.get()[0] if self.tenant.exists() else 0
         # one bulk read and write; only users with admitted calls are kept, so the tenant's quota
         # bounds them
-        by_user = {user: amount for user, amount in self.users.get()}
-        out = []
-        for row in _ordered(rows, "ts", "call_id").itertuples(index=False):
-            mine = by_user.get(row.user_id, 0)
-            fits = (mine + row.need <= self.user_quota
-                    and spent + row.need <= self.tenant_quota)
-            if fits:
-                spent += row.charge
-                by_user[row.user_id] = mine + row.charge
-            out.append((row.call_id, key[0], row.user_id, bool(fits)))
+        by_user = dict(self.users.get())
+        for frame in frames:
+            out = []
+            for call, user, need, charge in zip(frame["call_id"], frame["user_id"], frame["need"], frame["charge"], strict=True):
+                mine = by_user.get(user, 0)
+                fits = mine + need <= self.user_quota and spent + need <= self.tenant_quota
+                if fits:
+                    spent += charge
+                    by_user[user] = mine + charge
+                out.append((call, key[0], user, bool(fits)))
+            yield pd.DataFrame(out, columns=self.columns)
+        if now is not None and now >= self._end(key):  # the day is over
+            self.tenant.clear()
+            self.users.clear()
+            return
         self.tenant.update((int(spent),))
         if by_user:
             self.users.put([(user, int(amount)) for user, amount in by_user.items()])
-        yield pd.DataFrame(out, columns=["call_id", "tenant_id", "user_id", "admitted"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.tenant.clear()
-        self.users.clear()
-        yield pd.DataFrame({"call_id": [], "tenant_id": [], "user_id": [], "admitted": []},
-                           dtype="object")
-
-    def close(self) -> None:
-        pass
 
 
 def stream_quota(calls: DataFrame, user_quota: int = C.USER_DAILY_TOKENS,
                  tenant_quota: int = C.TENANT_DAILY_TOKENS,
-                 watermark: str = "1 hour") -> DataFrame:
+                 watermark: str = "1 hour", by: str = ARRIVAL) -> DataFrame:
     """``token_quota`` on a stream, keyed by tenant and (UTC) day, whose state goes when the
     watermark passes its end."""
     keyed = calls.withWatermark("ts", watermark).select(
         "call_id", F.coalesce("tenant_id", F.lit("unknown")).alias("tenant_id"),
-        F.coalesce("user_id", F.lit("unknown")).alias("user_id"), "ts", "need", "charge",
-        F.to_date("ts").cast("string").alias("day"))
+        F.coalesce("user_id", F.lit("unknown")).alias("user_id"), "ts", F.unix_micros("ts").alias("ts_us"),
+        "need", "charge", F.to_date("ts").cast("string").alias("day"))
     return keyed.groupBy("tenant_id", "day").transformWithStateInPandas(
-        _Quota(user_quota, tenant_quota),
+        _Quota(user_quota, tenant_quota, by),
         "call_id string, tenant_id string, user_id string, admitted boolean", "Append",
         "EventTime")
 
 
-class _Workflow(StatefulProcessor):
+class _Workflow(_InOrder):
     """Current state and session of a workflow."""
 
-    def __init__(self, edges: frozenset):
+    tie = "event_id"
+    columns = ["workflow_id", "event_id", "from_state", "to_state", "event", "session_no", "legal"]
+
+    def __init__(self, edges: frozenset, by: str):
+        super().__init__(by)
         self.edges = edges
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "state string, session bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, key, frames: Iterator[pd.DataFrame], now: int | None) -> Iterator[pd.DataFrame]:
         state, session = self.state.get() if self.state.exists() else ("INIT", 1)
-        out = []
-        for row in _ordered(rows, "ts", "event_id").itertuples(index=False):
-            if row.state != state:
-                out.append((key[0], row.event_id, state, row.state, row.event, session,
-                            (state, row.state) in self.edges))
-            state = row.state
-            if state in C.TERMINAL_STATES:
-                state, session = "INIT", session + 1
+        for frame in frames:
+            out = []
+            for event_id, to, event in zip(frame["event_id"], frame["state"], frame["event"], strict=True):
+                if to != state:
+                    out.append((key[0], event_id, state, to, event, session, (state, to) in self.edges))
+                state = to
+                if state in C.TERMINAL_STATES:
+                    state, session = "INIT", session + 1
+            yield pd.DataFrame(out, columns=self.columns)
         self.state.update((state, int(session)))
-        yield pd.DataFrame(out, columns=["workflow_id", "event_id", "from_state", "to_state",
-                                         "event", "session_no", "legal"])
-
-    def close(self) -> None:
-        pass
 
 
-def stream_workflow(events: DataFrame, edges=_EDGES) -> DataFrame:
-    """``workflow_transitions`` on a stream: changes with legality and session."""
-    return events.select("workflow_id", "event_id", "ts", "state", "event").groupBy(
-        "workflow_id").transformWithStateInPandas(
-        _Workflow(frozenset(edges)),
+def stream_workflow(events: DataFrame, edges=_EDGES, watermark: str = "1 hour", by: str = ARRIVAL) -> DataFrame:
+    """``workflow_transitions`` on a stream: changes with legality and session. By arrival no row is
+    late, and the watermark is not used."""
+    rows = events.select("workflow_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "state", "event")
+    if by == EVENT:
+        rows = rows.withWatermark("ts", watermark)
+    return rows.groupBy("workflow_id").transformWithStateInPandas(
+        _Workflow(frozenset(edges), by),
         "workflow_id string, event_id bigint, from_state string, to_state string, event string, "
-        "session_no bigint, legal boolean", "Append", "None")
+        "session_no bigint, legal boolean", "Append", "EventTime" if by == EVENT else "None")
 
 
-class _Task(StatefulProcessor):
+class _Task(_InOrder):
     """Status, retries and lock of an ingest task."""
 
-    def __init__(self, max_retry: int, lock_timeout_seconds: int):
+    tie = "attempt_id"
+
+    def __init__(self, max_retry: int, lock_timeout_seconds: int, by: str):
+        super().__init__(by)
         self.max_retry, self.lock_ms = max_retry, lock_timeout_seconds * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.task = handle.getValueState("task", "status string, retries int, locked bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, retries, locked = self._load()
-        out = []
-        for row in _ordered(rows, "ts", "attempt_id").itertuples(index=False):
-            at = int(row.ts.value // 1_000_000)
-            code, delay = None, None
-            if row.kind == "START":
-                if status not in ("PENDING", "RETRYING"):
-                    continue
-                self._unlock(locked)
-                status, locked = "RUNNING", at
-                self.handle.registerTimer(at + self.lock_ms)
-            elif row.kind == "SUCCESS":
-                status, locked = "SUCCESS", self._unlock(locked)
-            elif row.kind == "CANCEL":
-                status, locked, code = "CANCELED", self._unlock(locked), "DOCUMENT_VERSION_STALE"
-            else:
-                locked, code = self._unlock(locked), row.error_code
-                retryable = code in C.RETRYABLE_CODES
-                retries += 1 if retryable else 0
-                again = retryable and retries < self.max_retry
-                status = "RETRYING" if again else "FAILED"
-                if again:
-                    delay = min(C.RETRY_MAX_SECONDS, C.RETRY_BASE_SECONDS * 2 ** (retries - 1))
-            out.append((key[0], at, status, retries, code, delay))
+    def fold(self, key, frames: Iterator[pd.DataFrame], now: int | None) -> Iterator[pd.DataFrame]:
+        status, retries, locked = self.task.get() if self.task.exists() else ("PENDING", 0, None)
+        before = locked
+        for frame in frames:
+            out = []
+            for us, kind, error in zip(frame["ts_us"], frame["kind"], frame["error_code"], strict=True):
+                at = int(us) // 1000
+                if locked is not None and locked + self.lock_ms <= at:
+                    out.append((key[0], locked + self.lock_ms, "RETRYING", retries, "INGEST_LOCK_TIMEOUT", 0))
+                    status, locked = "RETRYING", None
+                code, delay = None, None
+                if kind == "START":
+                    if status not in ("PENDING", "RETRYING"):
+                        continue
+                    status, locked = "RUNNING", at
+                elif kind == "SUCCESS":
+                    status, locked = "SUCCESS", None
+                elif kind == "CANCEL":
+                    status, locked, code = "CANCELED", None, "DOCUMENT_VERSION_STALE"
+                else:
+                    locked, code = None, error if isinstance(error, str) else None
+                    retryable = code in C.RETRYABLE_CODES
+                    retries += 1 if retryable else 0
+                    again = retryable and retries < self.max_retry
+                    status = "RETRYING" if again else "FAILED"
+                    if again:
+                        delay = min(C.RETRY_MAX_SECONDS, C.RETRY_BASE_SECONDS * 2 ** (retries - 1))
+                out.append((key[0], at, status, retries, code, delay))
+            yield self._frame(out)
+        if now is not None and locked is not None and locked + self.lock_ms <= now:
+            yield self._frame([(key[0], locked + self.lock_ms, "RETRYING", retries, "INGEST_LOCK_TIMEOUT", 0)])
+            status, locked = "RETRYING", None
+        if locked is not None and locked != before:
+            self.wake(locked + self.lock_ms)
         self.task.update((status, int(retries), locked))
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, retries, locked = self._load()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if status != "RUNNING" or locked is None or locked + self.lock_ms > at:
-            return
-        self.task.update(("RETRYING", int(retries), None))
-        yield self._frame([(key[0], int(at), "RETRYING", retries, "INGEST_LOCK_TIMEOUT", 0)])
-
-    def _load(self):
-        return self.task.get() if self.task.exists() else ("PENDING", 0, None)
-
-    def _unlock(self, locked):
-        if locked is not None:
-            self.handle.deleteTimer(locked + self.lock_ms)
-        return None
 
     @staticmethod
     def _frame(rows) -> pd.DataFrame:
@@ -176,56 +268,77 @@ class _Task(StatefulProcessor):
                                             "delay_seconds"])
         return frame.astype({"delay_seconds": "Int32", "retries": "int32", "at_ms": "int64"})
 
-    def close(self) -> None:
-        pass
-
 
 def stream_ingest_tasks(attempts: DataFrame, max_retry: int = C.MAX_RETRY,
                         lock_timeout_seconds: int = C.LOCK_TIMEOUT_SECONDS,
-                        watermark: str = "1 minute") -> DataFrame:
+                        watermark: str = "1 minute", by: str = ARRIVAL) -> DataFrame:
     """Status changes of ingest tasks from their attempt events.
 
     ``attempts``: task_id, attempt_id, ts, kind (START, SUCCESS, FAILURE, CANCEL), error_code. A
-    running task that stays silent for the lock timeout goes back to RETRYING.
+    running task that stays silent for the lock timeout goes back to RETRYING; an event at that very
+    moment comes after it.
     """
-    rows = attempts.select("task_id", "attempt_id", "ts", "kind", "error_code")
+    rows = attempts.select("task_id", "attempt_id", "ts", F.unix_micros("ts").alias("ts_us"), "kind", "error_code")
     return rows.withWatermark("ts", watermark).groupBy("task_id").transformWithStateInPandas(
-        _Task(max_retry, lock_timeout_seconds),
+        _Task(max_retry, lock_timeout_seconds, by),
         "task_id string, at_ms bigint, status string, retries int, error_code string, "
         "delay_seconds int", "Append", "EventTime")
 
 
 class _History(StatefulProcessor):
-    """Kept turns and rolling summary of a conversation."""
+    """Kept turns, rolling summary and turns that came too early of a conversation."""
 
-    def __init__(self, keep: int, threshold: int, summarize: Callable):
+    def __init__(self, keep: int, threshold: int, summarize: Callable, first: int, patience: int):
         self.keep = max(1, keep)
         self.threshold = max(self.keep, threshold)
         self.summarize = summarize
+        self.first, self.patience = first, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getListState("turns", "line string")
-        self.summary = handle.getValueState("summary", "text string")
+        self.summary = handle.getValueState("summary", "text string, next bigint")
+        self.early = handle.getMapState("early", "seq bigint", "lines string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         lines = [row[0] for row in self.turns.get()]
-        summary = self.summary.get()[0] if self.summary.exists() else None
-        out = []
-        for row in _ordered(rows, "seq").itertuples(index=False):
-            lines.append(row.line)
-            done = False
-            if len(lines) > self.threshold:
-                old = lines[:len(lines) - self.keep]
-                made = self._summarize(summary, old)
-                if made and made.strip():
-                    summary, lines, done = made.strip(), lines[len(old):], True
-            out.append((*key, row.seq, len(lines), done, summary))
+        summary, expected = self.summary.get() if self.summary.exists() else (None, self.first)
+        early = {k[0]: json.loads(v[0]) for k, v in self.early.iterator()}
+        held = set(early)
+        for frame in rows:
+            frame, out, ready = frame.sort_values("seq", kind="stable"), [], []
+            for seq, line in zip(frame["seq"].tolist(), frame["line"].tolist(), strict=True):
+                early.setdefault(int(seq), []).append(line)
+                if len(early) > 2 * self.patience:
+                    expected = self._ready(early, expected, ready)
+            expected = self._ready(early, expected, ready)
+            for seq, line in ready:
+                lines.append(line)
+                done = False
+                if len(lines) > self.threshold:
+                    old = lines[:len(lines) - self.keep]
+                    made = self._summarize(summary, old)
+                    if made and made.strip():
+                        summary, lines, done = made.strip(), lines[len(old):], True
+                out.append((*key, seq, len(lines), done, summary))
+            yield pd.DataFrame(out, columns=["user_id", "conversation_id", "seq", "retained",
+                                             "compressed", "summary"])
+        for seq in held - set(early):
+            self.early.removeKey((seq,))
+        for seq, text in early.items():
+            self.early.updateValue((seq,), (json.dumps(text),))
         if lines:
             self.turns.put([(line,) for line in lines])
-        if summary is not None:
-            self.summary.update((summary,))
-        yield pd.DataFrame(out, columns=["user_id", "conversation_id", "seq", "retained",
-                                         "compressed", "summary"])
+        self.summary.update((summary, int(expected)))
+
+    def _ready(self, early: dict[int, list], expected: int, ready: list) -> int:
+        """Moves turns whose time has come to ``ready``; gives the turn that is expected then."""
+        for seq in sorted(early):
+            # a turn that is still missing when so many later ones are there is not waited for
+            if seq > expected and len(early) <= self.patience:
+                break
+            ready += [(seq, line) for line in early.pop(seq)]
+            expected = max(expected, seq + 1)
+        return expected
 
     def _summarize(self, summary, lines):
         try:
@@ -238,9 +351,14 @@ class _History(StatefulProcessor):
 
 
 def stream_history(turns: DataFrame, summary_fn: Callable, keep: int = C.HISTORY_TURNS,
-                   threshold: int = C.SUMMARY_THRESHOLD) -> DataFrame:
+                   threshold: int = C.SUMMARY_THRESHOLD, first: int = 1, patience: int = 64) -> DataFrame:
     """Conversation memory: beyond ``threshold`` turns the oldest go into the summary and ``keep``
-    stay; ``summary_fn(old_summary, lines)`` returning None or failing leaves all turns in place."""
+    stay; ``summary_fn(old_summary, lines)`` returning None or failing leaves all turns in place.
+
+    Turns are numbered by ``seq`` from ``first``. One that comes before an earlier one waits for it,
+    across batches, until more than ``patience`` turns wait; one that comes again, or after that, is
+    taken in when it comes.
+    """
     from quarry.functions.text import has_text, strip
     from quarry.operators.history import render_turn
 
@@ -248,6 +366,6 @@ def stream_history(turns: DataFrame, summary_fn: Callable, keep: int = C.HISTORY
         "user_id", strip("conversation_id").alias("conversation_id"), "seq",
         render_turn().alias("line"))
     return named.groupBy("user_id", "conversation_id").transformWithStateInPandas(
-        _History(keep, threshold, summary_fn),
+        _History(keep, threshold, summary_fn, first, patience),
         "user_id string, conversation_id string, seq bigint, retained int, compressed boolean, "
         "summary string", "Append", "None")

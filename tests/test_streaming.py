@@ -203,3 +203,95 @@ def test_prefixes_and_pictures_are_embedded_by_their_own_functions(spark):
     assert (rows["TEXT"].content, rows["TEXT"].embedding) == ("body", [1.0])
     assert rows["IMAGE"].embedding == [2.0] and rows["IMAGE"].content_hash == rows["IMAGE"].image_ref
     assert seen.value >= 1
+
+
+def closed(spark, build, batches, closing, ddl):
+    """What ``build`` makes of the batches in that order, after rows far ahead closed what waits."""
+    from quarry.streaming.run import run_closed
+
+    folder = work_path(spark, "input")
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_parquet_stream(spark, folder, "*.parquet", files_per_trigger=1)
+    with state_settings(spark):
+        return run_closed(build(stream), "out", lambda: spark.createDataFrame(closing, ddl).coalesce(1).write.mode(
+            "append").parquet(folder)).collect()
+
+
+def test_quota_in_order_of_events_whatever_the_order_of_arrival(spark):
+    import random
+
+    rows = quota_rows(5, 400)
+    random.Random(1).shuffle(rows)
+    far = [("far", "zz", "zz-u", START + timedelta(days=40), 1, 1)]
+    got = closed(spark, lambda calls: T.stream_quota(calls, 900, 2500, watermark="5 days", by=T.EVENT),
+                 [rows[:150], rows[150:160], rows[160:]], far, CALLS)
+    assert {r["call_id"]: r["admitted"] for r in got} == quota_loop(rows, 900, 2500)
+
+
+def test_locks_run_out_between_events_that_come_late(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [("a", 1, at(0), "START", None), ("a", 2, at(400), "START", None), ("a", 3, at(500), "SUCCESS", None),
+            ("b", 4, at(10), "START", None), ("b", 5, at(310), "FAILURE", "TIMEOUT"), ("c", 6, at(20), "START", None)]
+    ddl = "task_id string, attempt_id long, ts timestamp, kind string, error_code string"
+    got = closed(spark, lambda e: T.stream_ingest_tasks(e, watermark="1 hour", by=T.EVENT),
+                 [rows[2:3] + rows[4:5], rows[1:2] + rows[3:4], rows[:1] + rows[5:]], [("z", 9, at(90000), "START", None)], ddl)
+    steps = {}
+    for r in sorted(got, key=lambda r: (r["at_ms"], r["error_code"] != "INGEST_LOCK_TIMEOUT")):
+        second = (r["at_ms"] - int(START.timestamp()) * 1000) // 1000 % 86400
+        steps.setdefault(r["task_id"], []).append((second, r["status"], r["error_code"]))
+    lost = "INGEST_LOCK_TIMEOUT"
+    offset = steps["a"][0][0]
+    assert {k: [(s - offset, *rest) for s, *rest in v] for k, v in steps.items()} == {
+        "a": [(0, "RUNNING", None), (300, "RETRYING", lost), (400, "RUNNING", None), (500, "SUCCESS", None)],
+        "b": [(10, "RUNNING", None), (310, "RETRYING", lost), (310, "RETRYING", "TIMEOUT")],
+        "c": [(20, "RUNNING", None), (320, "RETRYING", lost)]}
+
+
+def test_turns_wait_for_earlier_ones(spark):
+    ddl = "user_id string, conversation_id string, seq long, user_message string, assistant_message string"
+    turn = lambda i, c="c": ("u", c, i, f"q{i}", None)
+    with state_settings(spark):
+        turns = stream_of(spark, [turn(5), turn(3), turn(1)], [turn(2), turn(2)], [turn(4), turn(9, "gap"), turn(8, "gap")],
+                          [turn(7, "gap"), turn(10, "gap")], ddl=ddl)
+        got = run_available(T.stream_history(turns, lambda old, lines: f"{old or ''}|{','.join(x[-2:] for x in lines)}",
+                                             keep=2, threshold=4, patience=3), "out").collect()
+    of = {c: sorted((r.seq, r.retained) for r in got if r.conversation_id == c) for c in ("c", "gap")}
+    assert of["c"] == [(1, 1), (2, 2), (2, 3), (3, 4), (4, 2), (5, 3)]
+    assert of["gap"] == [(7, 1), (8, 2), (9, 3), (10, 4)]
+
+
+def test_rows_of_a_key_wait_in_blocks(spark, monkeypatch):
+    import pandas as pd
+
+    class State(dict):
+        containsKey = dict.__contains__
+        getValue = dict.get
+        updateValue = dict.__setitem__
+        removeKey = dict.pop
+
+    class Handle:
+        timers = set()
+
+        def getMapState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    monkeypatch.setattr(T, "BLOCK_ROWS", 10)
+    policy = T._Workflow(frozenset(), T.EVENT)
+    handle = Handle()
+    policy.init(handle)
+    times = [7 * i % 100 for i in range(100)]
+    minutes = pd.DataFrame({"ts_us": [t * 60_000_000 for t in times], "event_id": range(100), "state": "x", "event": "e"})
+    assert list(policy.handleInputRows(("k",), iter([minutes[:37], minutes[37:]]), None)) == []
+    assert handle.timers == {(i + 1) * T.SLICE_MS for i in range(10)}
+    assert max(len(__import__("pickle").loads(v[0])["ts_us"]) for v in policy.waiting.values()) <= 10
+    frames = list(policy._slices(5 * T.SLICE_MS))
+    assert [len(f) for f in frames] == [10] * 5
+    assert [t // 60_000_000 for f in frames for t in f["ts_us"]] == list(range(50))
+    assert sorted(k[0] for k in policy.blocks) == [5, 6, 7, 8, 9]
