@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.operators.access import (current_versions, filter_live, keep_current,
-                                     permission_signature, principal_tokens, visible_classes,
-                                     with_acl_class)
+                                     permission_signature, principal_tokens)
 from quarry.operators.dense import dense_topk
 from quarry.operators.lexical import InvertedIndex, bm25_topk
 from quarry.operators.models import Scorer, score_pairs
@@ -76,9 +75,9 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
     ``queries``: query_id, text, embedding and the principal's columns (tenant_id, user_id,
     department_ids, role_ids). ``chunks``: chunks with access columns, content and embedding; rows
     that carry states must be live. With ``documents`` (document_id, status, current_version) they must
-    also be of the current version. ``index``, a kept index, saves reading the content; all rows
-    it scores are checked against the chunks as they are now, before the best of them are taken; its
-    statistics are those of the chunks it was made of. k is the smaller of the asked and the configured one. VECTOR applies the threshold;
+    also be of the current version. ``index``, a kept index of any earlier state of the chunks, saves
+    reading the content of those that it holds; the result is that of the chunks as they are now (see
+    ``InvertedIndex.current``). k is the smaller of the asked and the configured one. VECTOR applies the threshold;
     the hybrid modes ignore it, recall ``max(recall_k, k)`` per list, and fuse. Returns query_id,
     chunk_id, score, rank, included, debug_info.
     """
@@ -96,11 +95,8 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
     reranking = mode == HYBRID_RERANK and scorer is not None
     dense = dense_topk(vectors, chunks, recall, threshold, include_below=True)
     asked = queries.select("query_id", "text", permission_signature().alias("signature"))
-    if index is None:
-        lexical = bm25_topk(asked, chunks, recall, principals=queries, scope=scope)
-    else:
-        lexical = bm25_topk(asked, index, recall, principals=queries, scope=scope,
-                            allowed=lambda scored: _still_allowed(scored, asked, chunks, queries))
+    corpus = chunks if index is None else index.current(chunks)
+    lexical = bm25_topk(asked, corpus, recall, principals=queries, scope=scope)
     fused = rrf_fuse([dense, lexical], limit=recall if reranking else k)
     if not reranking:
         return fused
@@ -110,12 +106,3 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = VECTOR, k: int = C
              .join(queries.select("query_id", F.col("text").alias("query")), "query_id"))
     return rerank(pairs, scorer, k).select(
         "query_id", "chunk_id", "score", "rank", "included", "debug_info")
-
-
-def _still_allowed(scored: DataFrame, asked: DataFrame, chunks: DataFrame,
-                   principals: DataFrame) -> DataFrame:
-    """Scored rows whose chunk is among ``chunks`` and whose caller may see it now."""
-    now = with_acl_class(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class")
-    found = scored.join(now, "chunk_id").join(asked.select("query_id", "signature"), "query_id")
-    allowed = visible_classes(now, principals)
-    return found.join(allowed, ["signature", "acl_class"], "left_semi").select("query_id", "chunk_id", "score")

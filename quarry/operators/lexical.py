@@ -5,15 +5,21 @@ An inverted index is three tables: ``postings`` (term, chunk_id, acl_class, tf,
 class, so N, average length and document frequency of the corpus one caller can see are sums over
 that caller's classes; no (caller, chunk) pairs are needed to get them.
 
-A kept index (``write_index``, ``read_index``) is read by the buckets of a batch's terms. Without one
-the chunks are scored where they are: a chunk's counts are complete in its row, so the weights of a
-block of queries go to the tasks, and k rows per query and task are all that is shuffled.
+A kept index (``write_index``, ``append_index``, ``read_index``) is read by the buckets of a batch's
+terms. It grows by segments: postings of the chunks that are new, and the state of the chunks that are
+new, gone or opened to others. Reading takes each chunk's newest state, and ``current`` that of the
+chunks as they are now, with the postings of those that no segment has. Frequencies and lengths are
+counted from what is left, so a search over a kept index gives what one over the chunks gives.
+
+Without an index the chunks are scored where they are: a chunk's counts are complete in its row, so
+the weights of a block of queries go to the tasks, and k rows per query and task are all that is
+shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,17 +39,21 @@ from quarry.session import cut
 VISIBLE, GLOBAL = "visible", "global"
 
 
-INDEX_BUCKETS = 256
+#: Term buckets of a kept index at most, and postings that one file of it holds.
+INDEX_BUCKETS, FILE_POSTINGS = 256, 1 << 20
 
 
 @dataclass(frozen=True)
 class InvertedIndex:
-    """``buckets`` is the number of term buckets of a kept index, 0 for one that is not stored."""
+    """``buckets`` is the number of term buckets of a kept index, 0 for one that is not stored. A kept
+    index has ``state`` (chunk_id, home: the segment of its postings, acl_class, dl) in place of
+    frequencies and lengths."""
 
     postings: DataFrame
-    frequency: DataFrame
-    lengths: DataFrame
+    frequency: DataFrame | None = None
+    lengths: DataFrame | None = None
     buckets: int = 0
+    state: DataFrame | None = None
 
     def of_terms(self, terms: DataFrame) -> InvertedIndex:
         """The part of a kept index that holds ``terms`` (a column, term). The driver sees bucket
@@ -52,8 +62,36 @@ class InvertedIndex:
             return self
         numbers = terms.select(_bucket(self.buckets).alias("bucket")).distinct().collect()
         mine = F.col("bucket").isin([r["bucket"] for r in numbers])
-        return InvertedIndex(self.postings.filter(mine).drop("bucket"),
-                             self.frequency.filter(mine).drop("bucket"), self.lengths)
+        return replace(self, postings=self.postings.filter(mine).drop("bucket"))
+
+    def merged(self, terms: DataFrame) -> InvertedIndex:
+        """Postings of ``terms`` under the chunks' state, and the statistics that follow from them."""
+        if self.state is None:
+            return self
+        asked = self.postings.drop("acl_class").join(terms.select("term").distinct(), "term", "left_semi")
+        postings = asked.join(self.state.select("chunk_id", "home", "acl_class"), ["chunk_id", "home"])
+        lengths = self.state.groupBy("acl_class").agg(
+            F.count(F.lit(1)).alias("chunks"), F.sum("dl").cast("long").alias("tokens"))
+        postings = postings.select("term", "chunk_id", "acl_class", "tf", "dl")
+        return InvertedIndex(postings, _frequency(postings, "term", "acl_class"), lengths)
+
+    def current(self, chunks: DataFrame) -> InvertedIndex:
+        """The index of ``chunks`` as they are: those that are gone leave it, access classes are
+        today's, and chunks that no segment has are counted now. A chunk id stands for its text, as
+        ``with_chunk_identity`` makes it."""
+        if self.state is None:
+            return self
+        now = _classed(chunks).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+        known = now.select("chunk_id", "acl_class").join(self.state.select("chunk_id", "home", "dl"), "chunk_id")
+        counted = _counted(now.join(self.state.select("chunk_id"), "chunk_id", "left_anti"))
+        counted = cut(counted, "unindexed").withColumn("home", F.lit(_UNSTORED))
+        fresh = counted.filter("term <> ''").withColumn("bucket", _bucket(self.buckets))
+        state = known.unionByName(counted.filter("term = ''").select("chunk_id", "acl_class", "home", "dl"))
+        return replace(self, postings=self.postings.unionByName(fresh), state=state)
+
+
+#: In place of a segment number.
+_UNSTORED = -1
 
 
 def _bucket(buckets: int):
@@ -67,15 +105,20 @@ def _classed(chunks: DataFrame) -> DataFrame:
             else chunks.withColumn("acl_class", F.lit("*")))
 
 
+def _counted(chunks: DataFrame) -> DataFrame:
+    """Postings of the chunks, and a row with an empty term for each chunk."""
+    tokens = _classed(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
+                                     tokenize("content").alias("__tokens"))
+    return tokens.mapInArrow(_count_terms, _POSTINGS)
+
+
 def build_inverted_index(chunks: DataFrame, stored: bool = False) -> InvertedIndex:
     """Index of chunk_id, content and, when present, the access columns.
 
     ``stored`` writes the counts to the work folder, so that the text is read only once for all
     tables.
     """
-    tokens = _classed(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
-                                     tokenize("content").alias("__tokens"))
-    counted = tokens.mapInArrow(_count_terms, _POSTINGS)
+    counted = _counted(chunks)
     if stored:
         counted = cut(counted, "postings")
     lengths = counted.filter("term = ''").groupBy("acl_class").agg(
@@ -84,34 +127,65 @@ def build_inverted_index(chunks: DataFrame, stored: bool = False) -> InvertedInd
     return InvertedIndex(postings, _frequency(postings, "term", "acl_class"), lengths)
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
-    """Keep the index of ``chunks`` below ``path``, which must be new: postings and frequencies in one
-    folder per term bucket, sorted by term.
-
-    A very common term is in a large part of all chunks, so the postings of a bucket are written by
-    several tasks, dealt out by chunk.
-    """
-    index = build_inverted_index(chunks, stored=True)
-    postings = (index.postings.withColumn("bucket", _bucket(buckets))
-                .repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
-                .sortWithinPartitions("bucket", "term"))
-    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
-    (index.frequency.withColumn("bucket", _bucket(buckets)).repartition("bucket")
-     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/frequency"))
-    index.lengths.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/lengths")
+def write_index(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Keep the index of ``chunks`` below ``path``, which must be new: postings in one folder per
+    segment and term bucket, sorted by term. The number of buckets follows that of the postings."""
+    counted = cut(_counted(chunks), "postings")
+    if buckets is None:
+        buckets = min(INDEX_BUCKETS, max(8, counted.count() // FILE_POSTINGS))
+    chunks.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/meta")
+    _write_segment(counted, None, path, 0, buckets)
+
+
+def append_index(chunks: DataFrame, path: str) -> None:
+    """Bring a kept index up to ``chunks`` by one more segment: postings of new chunks, tombstones of
+    those that are gone, and the access classes of those whose class changed. If it fails it can be
+    called again; readers see a segment when its state is there, which is written last."""
+    spark = chunks.sparkSession
+    index, segments = read_index(spark, path), _states(spark, path)
+    number = segments.agg(F.coalesce(F.max("segment"), F.lit(-1))).first()[0] + 1
+    now = _classed(chunks).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    counted = cut(_counted(now.join(index.state.select("chunk_id"), "chunk_id", "left_anti")), "postings")
+    classes = now.select("chunk_id", F.col("acl_class").alias("__class"), F.lit(True).alias("__here"))
+    changed = (index.state.join(classes, "chunk_id", "left")
+               .filter(F.col("__here").isNull() | ~F.col("acl_class").eqNullSafe(F.col("__class")))
+               .select("chunk_id", F.col("__here").isNotNull().alias("alive"), "home",
+                       F.col("__class").alias("acl_class"), "dl"))
+    _write_segment(counted, cut(changed, "changed"), path, number, index.buckets)
+
+
+def _write_segment(counted: DataFrame, changed: DataFrame | None, path: str, number: int, buckets: int) -> None:
+    """A very common term is in a large part of all chunks, so the postings of a bucket are dealt out
+    by chunk, to as many files as its measured size asks for."""
+    postings = counted.filter("term <> ''").withColumn("bucket", _bucket(buckets)).withColumn("home", F.lit(number))
+    files = [1] * buckets
+    for r in postings.groupBy("bucket").count().collect():  # at most one row a bucket
+        files[r["bucket"]] = 1 + r["count"] // FILE_POSTINGS
+    deal = F.pmod(F.xxhash64("chunk_id"), F.get(F.array(*map(F.lit, files)), F.col("bucket")))
+    (postings.repartition(sum(files), "bucket", deal).sortWithinPartitions("bucket", "term")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}"))
+    state = counted.filter("term = ''").select(
+        "chunk_id", F.lit(True).alias("alive"), F.lit(number).alias("home"), "acl_class", "dl")
+    state = state if changed is None else state.unionByName(changed)
+    state.write.mode("overwrite").parquet(f"{path}/state/segment={number}")
+
+
+def _states(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_STATE}, segment int").parquet(f"{path}/state")
 
 
 def read_index(spark: SparkSession, path: str) -> InvertedIndex:
-    """A kept index. One of no chunks has no folders of buckets, so the columns are named here."""
-    postings = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{path}/postings")
-    frequency = spark.read.schema("term string, acl_class string, df long, bucket int").parquet(
-        f"{path}/frequency")
-    lengths = spark.read.parquet(f"{path}/lengths")
-    first = lengths.select("buckets").first()
-    return InvertedIndex(postings, frequency, lengths.drop("buckets"),
-                         first["buckets"] if first else INDEX_BUCKETS)
+    """A kept index, each chunk in its newest state. A segment of no postings has no folders of
+    buckets, so the columns are named here."""
+    postings = spark.read.schema(f"{_POSTINGS}, home int, segment int, bucket int").parquet(f"{path}/postings")
+    newest = _states(spark, path).groupBy("chunk_id").agg(
+        F.max_by(F.struct("alive", "home", "acl_class", "dl"), "segment").alias("last"))
+    state = newest.filter("last.alive").select("chunk_id", "last.home", "last.acl_class", "last.dl")
+    buckets = spark.read.parquet(f"{path}/meta").first()["buckets"]
+    return InvertedIndex(postings.drop("segment"), buckets=buckets, state=state)
 
 
+_STATE = "chunk_id string, alive boolean, home int, acl_class string, dl int"
 _POSTINGS = "term string, chunk_id string, acl_class string, tf int, dl int"
 
 
@@ -145,13 +219,9 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
-              principals: DataFrame | None = None, scope: str = VISIBLE,
-              allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+              principals: DataFrame | None = None, scope: str = VISIBLE) -> DataFrame:
     """Best ``max(k, 1)`` chunks per query: query_id, chunk_id, score, rank.
 
-    ``allowed`` takes all scored rows (query_id, chunk_id, score) of an index and gives those that may
-    take a place.
-
     ``queries``: query_id, text and, with ``principals``, the caller's permission signature
     (``signature``). With scope "visible" the statistics come from what the caller may see, with
     "global" from all chunks; the results never leave what the caller may see. The weights of one
@@ -164,7 +234,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
     if not isinstance(chunks, InvertedIndex):
         return _score_in_place(queries, _classed(chunks), max(k, 1), principals, scope)
     terms = query_terms(queries)
-    index = chunks.of_terms(terms)
+    index = chunks.of_terms(terms).merged(terms)
     postings, lengths = index.postings, index.lengths
 
     if principals is None:
@@ -187,8 +257,6 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | InvertedIndex, k: int,
     part = F.col("idf") * (F.col("tf") * (C.BM25_K1 + 1)) / scaled
     scores = (matches.groupBy("query_id", "chunk_id")
               .agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0"))
-    if allowed is not None:
-        scores = allowed(scores)
     return topk(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], max(k, 1),
                 spread_on="chunk_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry import constants as C
 from quarry.operators import context as X
 from quarry.operators import dense as D
 from quarry.operators import fusion as R
@@ -240,9 +241,12 @@ def search_hybrid(spark, sf_dir):
 @query("search_kept_index", SQL["search_hybrid"])
 def search_kept_index(spark, sf_dir):
     """The hybrid search over raw chunks, deleted ones and old versions among them, and a kept index
-    of the live ones."""
+    of two earlier states: two thirds of the documents, all of them open to their tenant, then another
+    two thirds as they are."""
     chunks, path = B.kb_chunks(spark, sf_dir), work_path(spark, "index")
-    L.write_index(B.live_chunks(spark, sf_dir), path)
+    third = F.pmod(F.xxhash64("document_id"), F.lit(3))
+    L.write_index(chunks.filter(third != 0).withColumn("visibility", F.lit(C.TENANT)), path)
+    L.append_index(chunks.filter(third != 1), path)
     found = R.search(B.text_queries(spark, sf_dir), chunks, R.HYBRID, index=L.read_index(spark, path),
                      documents=B.kb_docs(spark, sf_dir))
     return found.withColumn("score", F.round("score", 9))

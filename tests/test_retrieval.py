@@ -266,6 +266,37 @@ def test_stale_chunks_of_a_kept_index_take_no_places(spark):
         assert [(r["chunk_id"], round(r["score"], 6)) for r in found] == [("a", 0.032787), ("b", 0.032258)]
 
 
+def test_a_kept_index_follows_its_chunks(spark):
+    rng = random.Random(12)
+    rows, who = world(6, chunks=120, people=5)
+    words = ["the"] * 15 + [f"w{i}" for i in range(25)]
+    ddl = f"chunk_id string, content string, {ACL}"
+    texts = {r[0]: " ".join(rng.choices(words, k=rng.randrange(0, 15))) for r in rows}
+    now = [(r[0], texts[r[0]], *r[1:]) for r in rows]
+    closed = lambda r: (*r[:2], "t9", "u9", None, "PRIVATE", None, None)
+    gone = [(f"gone{i}", "the w1 w2 " * 9, *now[0][2:]) for i in range(20)]
+    path = work_path(spark, "index")
+    # chunks that were closed then, one third; others were not there; some are gone since
+    L.write_index(spark.createDataFrame([closed(r) for r in now[:40]] + now[40:60] + gone, ddl), path, buckets=5)
+    queries = spark.createDataFrame([(f"q{i}", "the w1 w2 missing", *w) for i, w in enumerate(who)],
+                                    f"query_id string, text string, {PRINCIPAL}").select(
+        "query_id", "text", A.permission_signature().alias("signature"))
+    people, chunks = spark.createDataFrame(who, PRINCIPAL), spark.createDataFrame(now, ddl)
+    best = lambda corpus, **options: sorted(L.bm25_topk(
+        queries if options else queries.drop("signature"), corpus, 8, **options).select(
+        "query_id", "rank", "chunk_id", F.round("score", 8)).collect())
+    options = ({"principals": people}, {"principals": people, "scope": "global"}, {})
+    want = [best(chunks, **o) for o in options]
+    assert [best(L.read_index(spark, path).current(chunks), **o) for o in options] == want and all(want)
+    for _ in range(2):  # the second one finds nothing to do
+        L.append_index(chunks, path)
+    index = L.read_index(spark, path)
+    assert [best(index, **o) for o in options] == want
+    assert index.state.count() == len(now) and index.current(chunks).state.filter("home < 0").count() == 0
+    L.append_index(chunks.limit(0), path)
+    assert best(L.read_index(spark, path)) == []
+
+
 def test_bm25_exact_code(spark):
     chunks = spark.createDataFrame([("c1", "设备 A12345 退款"), ("c2", "设备 A12346 退款")],
                                    "chunk_id string, content string")
