@@ -24,11 +24,24 @@ def check_window(size: int, overlap: int) -> None:
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of the sliding windows of a text; the last one ends with the text."""
+    """Array of the sliding windows of a text; the last one ends with the text.
+
+    The text is cut once, into runs of ``size - overlap`` characters; a window is made of the runs that
+    it covers. A substring of the text would walk from its begin for each window.
+    """
     step = size - overlap
     last = F.greatest(F.lit(0).cast("long"), F.ceil((F.length(text) - size) / step))
     starts = F.sequence(F.lit(0).cast("long"), last)
-    cut = F.transform(starts, lambda i: F.substring(text, (i * step + 1).cast("int"), F.lit(size)))
+    covered = -(-size // step)
+
+    def window(runs, i):
+        # get, as slice would copy the whole array
+        parts = (F.coalesce(F.get(runs, (i + k).cast("int")), F.lit("")) for k in range(covered))
+        return F.substring(F.concat(*parts), 1, size)
+
+    # the runs get a name, so that they are made once
+    runs = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    cut = F.get(F.transform(runs, lambda r: F.transform(starts, lambda i: window(r, i))), 0)
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
@@ -169,9 +182,9 @@ def chunk_documents(docs: DataFrame, strategy: str = "strategy", size: int = C.C
     """(children, parents) of documents with the strategy each row names; unknown means FIXED.
 
     ``docs`` has document_id, version, content and any metadata, which is copied to children and
-    parents. ``embed`` maps a sentence DataFrame (document_id, version, sentence_index, sentence) to
-    the same with an ``embedding`` column; without it a SEMANTIC document is an error when it is read.
-    A row is identified by document_id and version.
+    parents. ``embed`` adds an ``embedding`` column to a sentence DataFrame (document_id, version, a
+    hash of the row's content, sentence_index, sentence); without it a SEMANTIC document is an error
+    when it is read. Rows that share document_id and version are chunked each on its own.
     """
     meta = [c for c in docs.columns if c not in ("content", strategy)]
     name = F.upper(F.coalesce(F.col(strategy), F.lit(FIXED)))
@@ -189,9 +202,14 @@ def chunk_documents(docs: DataFrame, strategy: str = "strategy", size: int = C.C
         unread = F.raise_error(F.lit("SEMANTIC documents need an embedder"))
         parted = semantic.withColumn("content", unread.cast("string")).withColumn("chunk_index", F.lit(0))
     else:
-        keys = ["document_id", "version"]
-        cut = chunk_semantic(embed(split_sentences(semantic).select(
-            *keys, "sentence_index", "sentence")), threshold, keys)
+        keys = ["document_id", "version", "__content"]
+        semantic = semantic.withColumn("__content", sha256_hex("content"))
+        sents = embed(split_sentences(semantic).select(*keys, "sentence_index", "sentence"))
+        # equal rows give each sentence again; the window is partitioned as those of chunk_semantic
+        order = Window.partitionBy(*keys).orderBy("sentence_index")
+        again = F.lag("sentence_index").over(order) == F.col("sentence_index")
+        once = sents.withColumn("__again", F.coalesce(again, F.lit(False))).filter(~F.col("__again")).drop("__again")
+        cut = chunk_semantic(once, threshold, keys)
         parted = semantic.drop("content").join(cut, keys)
     children = children.unionByName(parted.select(*out, no_parent))
 

@@ -194,6 +194,26 @@ def chunk_documents(spark, sf_dir):
                            "content_hash")
 
 
+# every document as two rows of one key, with unlike texts, and every fourth one a third time
+_TWICE = """SELECT doc_id || '#' || k AS document_id, 1 AS version, CASE k WHEN 1 THEN 'Other. ' || text ELSE text END AS content
+    FROM documents, (VALUES (0), (1), (2)) AS t(k) WHERE k < 2 OR doc_id % 4 = 0"""
+
+
+@query("chunk_repeated_keys", B.with_views("", f"""SELECT {_IDENTITY} AS chunk_id, document_id, chunk_index FROM (
+      SELECT split_part(document_id, '#', 1) AS document_id, version, chunk_index, content FROM twice_chunks)""",
+    twice=_TWICE, **strategy_views("twice", "split_part(document_id, '#', 1)::BIGINT % 2 = 1")))
+def chunk_repeated_keys(spark, sf_dir):
+    """Rows that share document_id and version."""
+    n, text = F.col("doc_id"), F.col("text")
+    texts = F.when(n % 4 == 0, F.array(text, F.concat(F.lit("Other. "), text), text)).otherwise(
+        F.array(text, F.concat(F.lit("Other. "), text)))
+    docs = B.table(spark, sf_dir, "documents").select(
+        n.cast("string").alias("document_id"), F.lit(1).alias("version"), F.explode(texts).alias("content"),
+        F.when(n % 2 == 1, "SEMANTIC").otherwise("FIXED").alias("strategy"))
+    children, _ = K.chunk_documents(docs, threshold=THRESHOLD, embed=lambda s: _embedded(spark, s))
+    return children.select("chunk_id", "document_id", "chunk_index")
+
+
 @query("embedding_text", B.with_views("pages_markdown", f"""SELECT {_IDENTITY} AS chunk_id,
       sha256(content) AS content_hash,
       {sql_strip("right(left(body, 8000) || chr(10) || content, 900)")} || chr(10) || content AS embedding_text

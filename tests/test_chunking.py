@@ -125,3 +125,34 @@ def test_semantic_documents_need_an_embedder(spark):
                                  "document_id string, version int, content string, strategy string")
     with pytest.raises(Exception, match="embedder"):
         K.chunk_documents(rows)[0].collect()
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    rows = spark.createDataFrame(
+        [("d", 1, "one?two?", "SEMANTIC"), ("d", 1, "first!second!", "SEMANTIC"), ("d", 1, "one?two?", "SEMANTIC")],
+        "document_id string, version int, content string, strategy string")
+    children, _ = K.chunk_documents(rows, embed=lambda s: s.withColumn("embedding", F.array(F.lit(1.0))))
+    assert sorted(r["content"] for r in children.collect()) == ["first!second!", "one?two?", "one?two?"]
+
+
+@pytest.mark.parametrize("size,overlap", [(600, 100), (600, 590), (7, 3), (5, 4), (3, 0)])
+def test_windows_are_slices(spark, size, overlap):
+    rng = random.Random(size)
+    texts = ["".join(rng.choice("ab\n中😀 ") for _ in range(n)) for n in (1, 2, 5, 6, 7, 8, 599, 600, 601, 1900)]
+    texts = [f"x{t}x" for t in texts]
+    got = {}
+    for r in K.chunk_fixed(docs(spark, *texts), size, overlap).collect():
+        got.setdefault(r["document_id"], {})[r["chunk_index"]] = r["content"]
+    for i, t in enumerate(texts):
+        step = size - overlap
+        last = max(0, -(-(len(t) - size) // step))
+        assert [got[f"d{i}"][j] for j in range(len(got[f"d{i}"]))] == [t[j * step:j * step + size] for j in range(last + 1)]
+
+
+def test_long_documents_take_linear_time(spark):
+    import time
+
+    long = docs(spark, "0123456789 abcdé 中文 xyz\n" * 400_000)
+    start = time.monotonic()
+    assert K.chunk_fixed(long).agg(F.count("*"), F.max("chunk_index")).first()[0] > 15_000
+    assert time.monotonic() - start < 100
