@@ -107,7 +107,8 @@ class GrayIndex:
     """Codes in Gray order under nodes of shared bits."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes[np.argsort(gray_rank(codes))]
+        self.order = np.argsort(gray_rank(codes))
+        self.codes = codes[self.order]
         every, some = self.codes, self.codes
         self.masks, self.patterns = [np.full(len(codes), ALL)], [self.codes]
         while len(every) > FAN:

@@ -18,6 +18,7 @@ import corpus_pipeline
 from quarry.llm import (byte_bpe, chat_format, common, decontaminate, language_id, lm_scoring, quality_classifier,
                         quality_rules, queries, simhash_dedup, token_output, url_filter)
 from quarry.session import work_path
+from test_similar import brute
 
 SF = os.environ.get("QUARRY_SF_DIR", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -534,9 +535,7 @@ def test_pipeline_against_its_parts(spark, ranks):
     rows = {r.doc_id: r for r in common.read(spark, SF, "documents").collect()}
     kept = {r.doc_id for r in queries.op4_quality_rules(spark, SF).collect() if r.kept}
     kept &= {r.doc_id for r in queries.op7_quality_classifier(spark, SF).collect() if r.score >= 0.5}
-    left = sorted(kept)
-    codes = np.array([_fingerprint(rows[i].text) for i in left], np.uint64)
-    kept = {left[i] for i, g in enumerate(_groups(codes)) if i == g}
+    kept = brute([(i, rows[i].text) for i in kept])[1]  # groups by all pairs of five-word shingle sets
     items = [_shingles(r.text) for r in common.read(spark, SF, "benchmark").collect()]
     kept = {i for i in kept if not any(len(s & _shingles(rows[i].text)) >= 0.8 * len(s) - 1e-9 for s in items)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
