@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from quarry.functions.text import has_text, sentences, sha256_hex, strip
 from quarry.functions.vectors import cosine_or_zero
 
 FIXED, MARKDOWN, SEMANTIC = "FIXED", "MARKDOWN", "SEMANTIC"
+HEADING_LEVELS = 6
 
 
 def check_window(size: int, overlap: int) -> None:
@@ -45,71 +46,111 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
+def _rows_of(df: DataFrame, rest: Sequence[str], items: Column, position: str,
+             value: str) -> DataFrame:
+    """One row per item of an array. The explode is an outer one with a filter after it: before an
+    inner one Spark puts a filter on the array's size, which makes the array twice more."""
+    return (df.select(*rest, F.posexplode_outer(items).alias(position, value))
+            .filter(F.col(position).isNotNull()))
+
+
 def chunk_fixed(df: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
                 text: str = "content") -> DataFrame:
     """One row per window of the trimmed text; blank text gives no row."""
     check_window(size, overlap)
     rest = [c for c in df.columns if c != text]
     trimmed = strip(F.coalesce(F.col(text), F.lit("")))
-    return (df.select(*rest, trimmed.alias("__text"))
-            .select(*rest, F.posexplode(windows(F.col("__text"), size, overlap))
-                    .alias("chunk_index", "content")))
+    return _rows_of(df.select(*rest, trimmed.alias("__text")), rest,
+                    windows(F.col("__text"), size, overlap), "chunk_index", "content")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` on a value that is made once and then has a name."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _latest(marks: Column, level: int) -> Column:
+    """For each heading the place of the last one of ``level`` up to it, -1 before the first.
+
+    A heading holds until the next one of its level, so the array is a row of runs.
+    """
+    size = F.size(marks)
+    places = F.filter(F.transform(marks, lambda m, i: F.when(m["level"] == level, i)),
+                      lambda i: i.isNotNull())
+
+    def runs(found):
+        before = F.array_repeat(F.lit(-1), F.coalesce(F.get(found, 0), size))
+        return F.concat(before, F.flatten(F.transform(found, lambda place, n: F.array_repeat(
+            place, F.coalesce(F.get(found, n + 1), size) - place))))
+
+    return _let(places, runs)
+
+
+def _headings(marks: Column, latest: Column, i: Column) -> Column:
+    """Titles of the headings open after heading ``i``: a level is open if its last heading comes
+    after the last ones of all levels above it."""
+    titles, above = [], F.lit(-1)
+    for level in range(1, HEADING_LEVELS + 1):
+        place = F.get(latest[f"level{level}"], i)
+        titles.append(F.when(place > above, F.get(marks, place)["title"]))
+        above = F.greatest(above, place)
+    return F.filter(F.array(*titles), lambda t: t.isNotNull())
 
 
 def _sections(lines: Column) -> Column:
     """Array of (headings, body) for the sections of an array of lines, blank bodies left out.
 
-    Heading lines are picked out first; folding over them keeps the open headings and closes a
-    section at each, which is then a slice of the lines.
+    Heading lines are picked out first and find their ancestors by the last heading of each level,
+    in time linear in lines and headings. A section is read line by line, as slice would copy the
+    whole array for each.
     """
     heading = "^(#{1,6})\\s+(.*)\\z"
-    path_type = "array<struct<level:int,title:string>>"
 
     def as_mark(line, index):
         level = F.when(line.startswith("#"), F.length(F.regexp_extract(line, heading, 1)))
         return F.struct(F.coalesce(level, F.lit(0)).alias("level"), line.alias("line"),
                         (index + 1).alias("at"))
 
-    def section(acc, last):
-        return F.array(F.struct(acc["path"].alias("path"), acc["from"].alias("from"),
-                                last.alias("to")))
+    def with_title(mark):
+        return F.struct(mark["level"].alias("level"), mark["at"].alias("at"),
+                        strip(F.regexp_extract(mark["line"], heading, 2)).alias("title"))
+
+    def section(headings, first, last):
+        return F.struct(headings.alias("headings"), first.alias("from"), last.alias("to"))
 
-    def fold(acc, mark):
-        parents = F.filter(acc["path"], lambda h: h["level"] < mark["level"])
-        title = strip(F.regexp_extract(mark["line"], heading, 2))
-        here = F.struct(mark["level"].alias("level"), title.alias("title"))
-        return F.struct(
-            F.concat(parents, F.array(here)).alias("path"), (mark["at"] + 1).alias("from"),
-            F.concat(acc["done"], section(acc, mark["at"] - 1)).alias("done"))
+    def all_sections(marks):
+        def end(i):
+            return F.coalesce(F.get(marks, i)["at"] - 1, F.size(lines))
 
-    start = F.struct(
-        F.array().cast(path_type).alias("path"), F.lit(1).alias("from"),
-        F.array().cast(f"array<struct<path:{path_type},from:int,to:int>>").alias("done"))
+        latest = F.struct(*(_latest(marks, n).alias(f"level{n}")
+                            for n in range(1, HEADING_LEVELS + 1)))
+        under = _let(latest, lambda found: F.transform(marks, lambda m, i: section(
+            _headings(marks, found, i), m["at"] + 1, end(i + 1))))
+        top = section(F.array().cast("array<string>"), F.lit(1), end(F.lit(0)))
+        return F.concat(F.array(top), under)
 
     def with_body(found):
-        body = F.array_join(F.slice(lines, found["from"], found["to"] - found["from"] + 1), "\n")
-        return F.struct(F.transform(found["path"], lambda h: h["title"]).alias("headings"),
-                        strip(body).alias("body"))
-
-    marks = F.filter(F.transform(lines, as_mark), lambda m: m["level"] > 0)
-    found = F.aggregate(marks, start, fold,
-                        lambda acc: F.concat(acc["done"], section(acc, F.size(lines))))
-    filled = F.filter(found, lambda s: s["to"] >= s["from"])
+        body = F.transform(F.sequence(found["from"], found["to"]), lambda n: F.get(lines, n - 1))
+        return F.struct(found["headings"].alias("headings"),
+                        strip(F.array_join(body, "\n")).alias("body"))
+
+    marks = F.transform(F.filter(F.transform(lines, as_mark), lambda m: m["level"] > 0), with_title)
+    filled = F.filter(_let(marks, all_sections), lambda s: s["to"] >= s["from"])
     return F.filter(F.transform(filled, with_body), lambda s: s["body"] != "")
 
 
 def _with_sections(df: DataFrame, text: str) -> DataFrame:
     rest = [c for c in df.columns if c != text]
-    return (df.filter(has_text(text)).select(*rest, F.split(text, "\n", -1).alias("__lines"))
-            .select(*rest, _sections(F.col("__lines")).alias("__sections")))
+    # the lines are named by _let: a column of them would be put back as split into pushed filters
+    return df.filter(has_text(text)).select(
+        *rest, _let(F.split(text, "\n", -1), _sections).alias("__sections"))
 
 
 def markdown_sections(df: DataFrame, text: str = "content") -> DataFrame:
     """One row per section with a body: heading path (array) and trimmed body, split inside the
     document's own row."""
     rest = [c for c in df.columns if c != text]
-    return (_with_sections(df, text)
-            .select(*rest, F.posexplode("__sections").alias("section_index", "__section"))
+    return (_rows_of(_with_sections(df, text), rest, F.col("__sections"), "section_index", "__section")
             .select(*rest, "section_index", F.col("__section.headings").alias("headings"),
                     F.col("__section.body").alias("body")))
 
@@ -137,8 +178,7 @@ def chunk_markdown(df: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHU
             index.alias("section_index"), F.concat(crumb, w).alias("content")))
 
     cut = F.flatten(F.transform("__sections", children))
-    return (_with_sections(df, text)
-            .select(*rest, F.posexplode(cut).alias("chunk_index", "__child"))
+    return (_rows_of(_with_sections(df, text), rest, cut, "chunk_index", "__child")
             .select(*rest, "chunk_index", F.col("__child.section_index").alias("section_index"),
                     F.col("__child.content").alias("content")))
 

@@ -1,6 +1,7 @@
 """Chunking on exact cases and by property."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -58,6 +59,40 @@ def test_markdown_sections(spark):
     assert rows[1]["parent_id"] == "d0-v1-p1"
 
 
+def sections_by_stack(text):
+    """Plain Python: open headings as a stack."""
+    path, start, found, lines = [], 0, [], text.split("\n")
+    marks = [(i, re.match(r"^(#{1,6})\s+(.*)\Z", line)) for i, line in enumerate(lines)]
+    for i, mark in [m for m in marks if m[1]] + [(len(lines), None)]:
+        body = "\n".join(lines[start:i]).strip()
+        if body:
+            found.append(([title for _, title in path], body))
+        if mark:
+            level = len(mark.group(1))
+            path = [p for p in path if p[0] < level] + [(level, mark.group(2).strip())]
+            start = i + 1
+    return found
+
+
+def test_markdown_sections_match_a_stack(spark):
+    rng = random.Random(3)
+    parts = ["", "body 1", "body 2", "#no", "## ", "####### seven"]
+    parts += ["#" * n + f" t{n}" for n in range(1, 7)]
+    texts = ["\n".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(50)]
+    texts.append("\n".join("#" * rng.randrange(1, 7) + f" t{i}\nbody {i}" for i in range(30_000)))
+    found = {}
+    rows = K.markdown_sections(docs(spark, *texts)).orderBy("document_id", "section_index").collect()
+    for r in rows:
+        found.setdefault(r["document_id"], []).append((list(r["headings"]), r["body"]))
+    ids = [r["document_id"] for r in docs(spark, *texts).collect()]
+    assert [found.get(i, []) for i in ids] == [sections_by_stack(t) for t in texts]
+
+
+def test_sections_are_made_once(spark, capsys):
+    K.markdown_sections(docs(spark, MARKDOWN)).explain()
+    assert capsys.readouterr().out.count("split(") == 1
+
+
 def test_markdown_children(spark):
     children = K.chunk_markdown(docs(spark, MARKDOWN), 600, 100)
     assert "标题：安装 > 环境要求\n需要 JDK 17。" in contents(children)
