@@ -103,7 +103,7 @@ def _search(queries: DataFrame, chunks: DataFrame, k: int, query_block: int) ->
         raise ValueError("k must be positive")
     columns = [c for c in ("query_id", "embedding", "tokens", "probes") if c in queries.columns]
     batch = queries.select(*columns)
-    return by_blocks(batch, query_block, lambda rows: _best_of(rows, columns, chunks, k), "dense")
+    return by_blocks(batch, query_block, lambda rows: score_rows(rows, columns, chunks, k), "dense")
 
 
 def _usable(vector) -> bool:
@@ -117,7 +117,8 @@ def query_rejects(queries: DataFrame) -> DataFrame:
     return queries.filter(~F.coalesce(fine, F.lit(False))).select("query_id")
 
 
-def _best_of(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:
+def score_rows(rows: list, columns: list[str], chunks: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` chunks for a block of collected query rows."""
     by_dim: dict[int, list] = {}
     for row in rows:
         if _usable(row["embedding"]):
@@ -169,15 +170,16 @@ def _score_rows(batch, dim, matrix, tokens, probes, best) -> None:
     lengths = np.linalg.norm(vectors, axis=1)
     usable = whole & (lengths > 0)
     vectors = vectors / np.where(usable, lengths, 1.0)[:, None]
-    scores = np.round(vectors @ matrix, 12) if probes is None else _probed(
+    scores = np.round(vectors @ matrix, 12) if probes is None else probed_scores(
         vectors, matrix, batch.column("cell").to_numpy(zero_copy_only=False), probes)
     scores[~usable] = -np.inf
     if tokens is not None:
-        scores[~_visible(batch.column("grants"), tokens)] = -np.inf
+        scores[~visible_rows(batch.column("grants"), tokens)] = -np.inf
     best.offer(scores, chunk_ids)
 
 
-def _probed(vectors, matrix, cells, probes):
+def probed_scores(vectors, matrix, cells, probes):
+    """rows x queries: cosines where the query probes the row's cell, else minus infinity."""
     scores = np.full((len(vectors), matrix.shape[1]), -np.inf)
     for cell in np.unique(cells):
         rows = np.flatnonzero(cells == cell)
@@ -187,7 +189,7 @@ def _probed(vectors, matrix, cells, probes):
     return scores
 
 
-def _visible(grant_lists, tokens) -> np.ndarray:
+def visible_rows(grant_lists, tokens) -> np.ndarray:
     """rows x queries: does the chunk share a token with the query's principal?"""
     flat = grant_lists.flatten().dictionary_encode()
     names = flat.dictionary.to_pylist()

@@ -8,6 +8,7 @@ from quarry import constants as C
 from quarry.operators import context as X
 from quarry.operators import dense as D
 from quarry.operators import fusion as R
+from quarry.operators import ivf as V
 from quarry.operators import lexical as L
 from quarry.operators.access import permission_signature, principal_tokens
 from quarry.functions.vectors import cosine
@@ -125,6 +126,41 @@ def ann_topk(spark, sf_dir):
     return D.ann_topk(dense_inputs(spark, sf_dir), assigned, centres, 10, nprobe=6)
 
 
+_INDEXED = ("chunk_id", "embedding", "tenant_id", "owner_id", "department_id", "visibility",
+            "allowed_user_ids", "allowed_role_ids")
+
+
+def stored_ivf(spark, sf_dir, n_cells=16):
+    path = work_path(spark, "ivf")
+    V.write_ivf(B.live_chunks(spark, sf_dir).select(*_INDEXED), path, n_cells)
+    return V.read_ivf(spark, path)
+
+
+@query("ivf_stored_all_cells", B.with_views("dense_queries live_chunks", """SELECT query_id, chunk_id,
+      round(score, 6) AS score, rank::INT AS rank FROM best WHERE rank <= 10""", best=_DENSE_ACL))
+def ivf_stored_all_cells(spark, sf_dir):
+    """Codes preselect and lose nothing: with every cell probed the stored index is exact."""
+    best = V.ivf_topk(dense_inputs(spark, sf_dir), *stored_ivf(spark, sf_dir), 10, nprobe=16)
+    return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("ivf_stored_recall", B.with_views("dense_queries live_chunks", """SELECT
+      count(DISTINCT query_id) AS queries, count(*) AS exact_hits, true AS recall_of_0_9
+    FROM best WHERE rank <= 10""", best=_DENSE_ACL))
+def ivf_stored_recall(spark, sf_dir):
+    """The stored index against the exact search of all chunks; the number of cells to probe is set on
+    half of the queries, by hash."""
+    asked = dense_inputs(spark, sf_dir)
+    exact = D.dense_topk(asked, B.live_chunks(spark, sf_dir), 10).select("query_id", "chunk_id")
+    stored, centres = stored_ivf(spark, sf_dir)
+    sample = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0)
+    near = V.ivf_topk(asked, stored, centres, 10, V.probes_for(sample, stored, centres, 10))
+    hit = near.select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "chunk_id"], "left").agg(
+        F.countDistinct("query_id").alias("queries"), F.count("*").alias("exact_hits"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("recall_of_0_9"))
+
+
 # ---- lexical ------------------------------------------------------------------------------------
 
 @query("inverted_index", """SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, max(tf)::INT AS max_tf FROM (

@@ -12,6 +12,7 @@ from quarry.operators import access as A
 from quarry.operators import context as X
 from quarry.operators import dense as D
 from quarry.operators import fusion as R
+from quarry.operators import ivf as V
 from quarry.operators import lexical as L
 from quarry.session import work_path
 
@@ -143,6 +144,57 @@ def test_ann_recall(spark):
     assert len({(r["query_id"], r["chunk_id"]) for r in some} & exact) >= 0.8 * len(exact)
 
 
+def test_stored_ivf(spark):
+    chunks, queries, plain, asked = dense_world(spark)
+    vectors = queries.select("query_id", "embedding", A.principal_tokens().alias("tokens"))
+    path = work_path(spark, "ivf")
+    V.write_ivf(chunks, path, 8, rows_per_file=20)
+    stored, centres = V.read_ivf(spark, path)
+    hits = V.ivf_topk(vectors, stored, centres, 5, nprobe=8).collect()
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in hits} == brute_force(plain, asked, 5)
+    for nprobe in (1, 3):
+        assigned = stored.drop("code", "scale", "bound", "same")
+        want = D.ann_topk(vectors, assigned, centres, 5, nprobe=nprobe).collect()
+        got = V.ivf_topk(vectors, stored, centres, 5, nprobe=nprobe, query_block=4).collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in want}
+    exact = {(q, c) for q, c, _ in brute_force(plain, asked, 5)}
+
+    def recall(nprobe):
+        found = V.ivf_topk(vectors, stored, centres, 5, nprobe).collect()
+        return len({(r["query_id"], r["chunk_id"]) for r in found} & exact) / len(exact)
+
+    enough = V.probes_for(vectors, stored, centres, 5, 0.9)
+    assert recall(enough) >= 0.9 and (enough == 1 or recall(enough - 1) < 0.9)
+    assert V.probes_for(vectors.filter("false"), stored, centres, 5) == 8
+    plan = V.in_cells(stored, {1, 2})._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell#" in plan and "IN (1,2)" in plan
+
+
+def test_stored_ivf_ties_copies_and_bad_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:03}", [1.0, 2.0, 3.0]) for i in range(300)]  # copies
+    rows += [(f"d{i:03}", [1.0, 2.0, 3.0 + i * 1e-7]) for i in range(100)]  # codes can't tell them apart
+    rows += [(f"e{i:03}", [float(x) for x in rng.normal(size=3)]) for i in range(100)]
+    rows += [("f1", None), ("f2", [0.0, 0.0, 0.0]), ("f3", [1.0, None, 2.0]), ("f4", [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame(
+        [("copy", [1.0, 2.0, 3.0]), ("near", [1.0, 2.0, 3.1]), ("far", [-3.0, 1.0, 0.5]), ("none", None),
+         ("short", [1.0]), ("zero", [0.0, 0.0, 0.0])], "query_id string, embedding array<double>")
+    path = work_path(spark, "ivf")
+    V.write_ivf(chunks, path, 3)
+    stored, centres = V.read_ivf(spark, path)
+    for k in (1, 7, 450):
+        exact = D.dense_topk(asked.filter("query_id IN ('copy', 'near', 'far')"), chunks.filter(
+            "size(embedding) = 3"), k).drop("included", "debug_info").collect()
+        got = V.ivf_topk(asked, stored, centres, k, nprobe=3).collect()
+        assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got} == {
+            (r["query_id"], r["chunk_id"], r["rank"]) for r in exact}
+    nobody = V.ivf_topk(asked.filter("false"), stored, centres, 3, nprobe=2)
+    assert nobody.count() == 0
+    with pytest.raises(ValueError):
+        V.write_ivf(chunks.filter("false"), work_path(spark, "ivf"), 3)
+
+
 def bm25(texts, query):
     docs = {c: t.lower().split() for c, t in texts.items()}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
