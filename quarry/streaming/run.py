@@ -15,10 +15,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def read_parquet_stream(spark: SparkSession, folder: str, name: str,
                         files_per_trigger: int = 64) -> DataFrame:
-    """Files of a folder that match ``name``, as a stream. The trigger size bounds a micro-batch."""
+    """Files of a folder that match ``name``, or those inside a folder of that name (a table is one or
+    the other), as a stream. The trigger size bounds a micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", name)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    # only a pattern may stand for files and folders alike, so a plain name is written as one
+    pattern = name if "*" in name else f"{name[:-1]}[{name[-1]}]"
+    return (spark.readStream.schema(schema)
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{pattern}"))
 
 
 def start_parquet(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:

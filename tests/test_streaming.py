@@ -295,3 +295,11 @@ def test_rows_of_a_key_wait_in_blocks(spark, monkeypatch):
     assert [len(f) for f in frames] == [10] * 5
     assert [t // 60_000_000 for f in frames for t in f["ts_us"]] == list(range(50))
     assert sorted(k[0] for k in policy.blocks) == [5, 6, 7, 8, 9]
+
+
+def test_a_table_that_is_a_folder_of_files_is_read(spark):
+    folder = work_path(spark, "tables")
+    spark.range(10).repartition(3).write.parquet(f"{folder}/one.parquet")
+    spark.range(100, 105).write.parquet(f"{folder}/other.parquet")
+    got = run_available(read_parquet_stream(spark, folder, "one.parquet"), "out").collect()
+    assert sorted(r["id"] for r in got) == list(range(10))
