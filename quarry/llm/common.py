@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import BATCH_BYTES, bounded  # noqa: F401
+
 #: Words are maximal runs without these characters (space, tab, \n, \v, \f, \r).
 WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same for SQL functions.
@@ -20,20 +21,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 19
 
 
-#: Bytes of an Arrow batch: the default of 10,000 rows can be very large with long texts.
-BATCH_BYTES = 1 << 21
-
-
 def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over batches of about ``BATCH_BYTES`` (or one row) at most.
-
-    The session's bound is read when the rows are, so it is lowered for good, and said here.
-    """
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"\d+", conf.get(name))[0]) > BATCH_BYTES:
-        conf.set(name, BATCH_BYTES)
-    return rows.mapInArrow(run, schema)
+    """``mapInArrow`` over batches of about ``session.BATCH_BYTES`` (or one row) at most."""
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry.operators.access import apply_threshold, check_threshold, grants
 from quarry.operators.blocks import CELLS_PER_STEP, QUERY_BLOCK, Best, by_blocks
 from quarry.operators.skew import topk
-from quarry.session import cut
+from quarry.session import bounded, cut
 
 _SCORES = "query_id string, chunk_id string, score double"
 
@@ -158,7 +158,7 @@ def _score_block(rows: list, columns: list[str], chunks: DataFrame, k: int) -> D
                 _score_rows(batch.slice(start, step), dim, matrix, tokens, probes, best)
         yield best.to_batch(ids)
 
-    return scan.select(*picked).mapInArrow(score, _SCORES)
+    return bounded(scan.select(*picked)).mapInArrow(score, _SCORES)
 
 
 def _score_rows(batch, dim, matrix, tokens, probes, best) -> None:

@@ -23,7 +23,7 @@ from quarry.operators import dense
 from quarry.operators.access import grants
 from quarry.operators.blocks import CELLS_PER_STEP, QUERY_BLOCK, by_blocks
 from quarry.operators.skew import topk
-from quarry.session import cut
+from quarry.session import bounded, cut
 
 ROWS_PER_FILE = 250_000
 SLACK = 1e-9  # above the rounding of scores
@@ -53,7 +53,7 @@ def write_ivf(chunks: DataFrame, path: str, n_cells: int, seed: int = 7, iterati
                 [*batch.columns, *(pa.array(c, k) for c, k in zip(codes, kinds))],
                 names=[*batch.schema.names, "code", "scale", "bound", "same"])
 
-    dealt.mapInArrow(encode, schema).write.partitionBy("cell").parquet(f"{path}/chunks")
+    bounded(dealt).mapInArrow(encode, schema).write.partitionBy("cell").parquet(f"{path}/chunks")
     centres.write.parquet(f"{path}/centres")
 
 
@@ -140,7 +140,7 @@ def _candidates(rows: list, columns: list[str], near: DataFrame, k: int) -> Data
     A chunk is out if k others are surely better. Chunks with one vector are tied, so k of them, by
     chunk id, stand for all: a group of copies does not pass whole.
     """
-    found = near.select(*_code_columns(columns)).mapInArrow(_bounds(rows, columns, k), _FOUND)
+    found = bounded(near).select(*_code_columns(columns)).mapInArrow(_bounds(rows, columns, k), _FOUND)
     found = topk(found, ["query_id", "same"], [F.asc("chunk_id")], k, spread_on="chunk_id").drop("rank")
     found = cut(found, "ivf-bounds")
     sure = topk(found, ["query_id"], [F.desc("low"), F.asc("chunk_id")], k, spread_on="chunk_id")

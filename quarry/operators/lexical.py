@@ -34,7 +34,7 @@ from quarry.operators.access import (class_tokens, opened_classes, permission_si
                                      visible_classes, with_acl_class)
 from quarry.operators.blocks import CELLS_PER_STEP, QUERY_BLOCK, Best, by_blocks
 from quarry.operators.skew import SALTS, topk
-from quarry.session import cut
+from quarry.session import bounded, cut
 
 VISIBLE, GLOBAL = "visible", "global"
 
@@ -109,7 +109,7 @@ def _counted(chunks: DataFrame) -> DataFrame:
     """Postings of the chunks, and a row with an empty term for each chunk."""
     tokens = _classed(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "acl_class",
                                      tokenize("content").alias("__tokens"))
-    return tokens.mapInArrow(_count_terms, _POSTINGS)
+    return bounded(tokens).mapInArrow(_count_terms, _POSTINGS)
 
 
 def build_inverted_index(chunks: DataFrame, stored: bool = False) -> InvertedIndex:
@@ -296,7 +296,7 @@ def _score_in_place(queries: DataFrame, chunks: DataFrame, k: int, principals: D
 
     def run(rows: list) -> DataFrame:
         vocabulary = sorted({term for r in rows for term in r["terms"] or ()})
-        known = cut(tokens.mapInArrow(_count_known(vocabulary), _FORWARD), "counts")
+        known = cut(bounded(tokens).mapInArrow(_count_known(vocabulary), _FORWARD), "counts")
         every = F.explode(F.concat("codes", F.array(F.lit(_CHUNK)))).alias("code")
         counts = known.select("acl_class", "dl", every).groupBy("acl_class", "code").agg(
             F.count(F.lit(1)).alias("df"), F.sum("dl").cast("long").alias("tokens"))
@@ -304,7 +304,7 @@ def _score_in_place(queries: DataFrame, chunks: DataFrame, k: int, principals: D
         codes = [np.array(sorted(place[t] for t in r["terms"] or ()), dtype=np.int32) for r in rows]
         weights = _block_weights(rows, codes, counts, principals is not None, scope)
         seen = [frozenset(r["tokens"]) for r in rows] if principals is not None else None
-        found = known.filter(F.size("codes") > 0).mapInArrow(
+        found = bounded(known).filter(F.size("codes") > 0).mapInArrow(
             _score_counts([r["query_id"] for r in rows], weights, seen, k), _HITS)
         return topk(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k,
                     spread_on="chunk_id")
@@ -447,7 +447,7 @@ def keyword_title_topk(queries: DataFrame, docs: DataFrame, k: int = C.TOP_K,
 
     def run(rows: list) -> DataFrame:
         search = _keyword_search([(str(r["query_id"]), r["terms"]) for r in rows], k)
-        found = texts.mapInPandas(search, _KEYWORD_HITS)
+        found = bounded(texts).mapInPandas(search, _KEYWORD_HITS)
         return topk(found, ["query_id"], order, k, spread_on="document_id").drop("at")
 
     best = by_blocks(asked, query_block, run, "keyword")

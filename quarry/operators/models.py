@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import has_text, sha256_hex, strip
-from quarry.session import cut
+from quarry.session import bounded, cut
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Generator = Callable[[str], str | None]
@@ -34,7 +34,7 @@ def embed_incremental(texts: DataFrame, cache: DataFrame, model: str, fn: Embedd
 
     name = model if model and model.strip() else "default"
     known = cache.filter(F.col("model") == name).select("text_hash", "embedding")
-    hashed = texts.withColumn("text_hash", sha256_hex(text))
+    hashed = bounded(texts).withColumn("text_hash", sha256_hex(text))
     distinct = hashed.groupBy("text_hash").agg(F.first(text).alias("__text"))
     missing = distinct.join(known, "text_hash", "left_anti")
     made = missing.select("text_hash", embed(F.coalesce("__text", F.lit(""))).alias("embedding"))
@@ -54,7 +54,7 @@ def generate_or_fallback(df: DataFrame, fn: Generator, prompt_col: str, out_col:
 
     answer = F.when(has_text(prompt_col), strip(generate(F.col(prompt_col))))
     fallback = F.col(fallback_col) if fallback_col else F.lit(None).cast("string")
-    with_answer = df.withColumn("__answer", answer)
+    with_answer = bounded(df).withColumn("__answer", answer)
     chosen = F.when(has_text("__answer"), F.col("__answer")).otherwise(fallback)
     return with_answer.withColumn(out_col, chosen).drop("__answer")
 
@@ -91,7 +91,7 @@ def score_pairs(pairs: DataFrame, fn: Scorer, query: str = "query", text: str =
             found = pd.concat(one_by_one, ignore_index=True) if one_by_one else found
         return found
 
-    return pairs.withColumn(out_col, score(F.col(query), F.col(text)))
+    return bounded(pairs).withColumn(out_col, score(F.col(query), F.col(text)))
 
 
 def _scores(fn: Scorer, queries: list, texts: list) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _chosen: dict[str, str] = {}
 
+#: Bytes of an Arrow batch: the default of 10,000 rows can be very large with long texts.
+BATCH_BYTES = 1 << 21
+
 
 def get_session(app_name: str = "quarry", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session: UTC, AQE with skew-join splitting, Arrow exchange with Python workers.
@@ -63,3 +67,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` for a Python function, which gets batches of about ``BATCH_BYTES`` (or one row) at most.
+
+    The session's bound is read when the rows are, so it is lowered for good, and said here.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(name))[0]) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return rows

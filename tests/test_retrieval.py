@@ -477,3 +477,33 @@ def test_odd_queries_do_not_stop_the_batch(spark):
     got = {(r["query_id"], r["chunk_id"]) for r in D.dense_topk(queries, chunks, 1).collect()}
     assert got == {("q", "a"), ("r", "c")}
     assert {r["query_id"] for r in D.query_rejects(queries).collect()} == {"zero", "none"}
+
+
+def test_python_steps_get_texts_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quarry.operators import lexical as L
+    from quarry.operators.models import embed_incremental
+    from quarry.session import BATCH_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(
+                {"term": [str(batch.nbytes)], "chunk_id": ["c"], "acl_class": ["*"], "tf": pa.array([1], pa.int32()),
+                 "dl": pa.array([1], pa.int32())})
+
+    def limited(texts):
+        assert sum(map(len, texts)) <= 2 * BATCH_BYTES
+        return [[1.0]] * len(texts)
+
+    texts = spark.range(2000).coalesce(1).selectExpr(
+        "cast(id AS string) AS chunk_id", "concat(repeat('some words ', 500), id) AS content")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(L, "_count_terms", sizes)
+    spark.conf.set(name, 1 << 30)
+    postings = L.build_inverted_index(texts).postings.collect()
+    assert max(int(r["term"]) for r in postings) <= 2 * BATCH_BYTES
+    spark.conf.set(name, 1 << 30)
+    cache = spark.createDataFrame([], "model string, text_hash string, embedding array<double>")
+    vectors, _ = embed_incremental(texts, cache, "m", limited, "content")
+    assert vectors.count() == 2000
