@@ -77,6 +77,7 @@ def stream_ingest(docs: DataFrame, target: str, embed_fn: Embedder, model: str,
         asked_text = "content"
         if prefix_fn is not None:
             children, asked_text = embedding_text(children, parents, whole, prefix_fn), "embedding_text"
+        children = cut(children, "children")  # read for their vectors, their number and themselves
         known = reduce(DataFrame.unionByName, made)
         embedded, added = embed_incremental(children, known, model, embed_fn, asked_text)
         made.append(added)
@@ -123,7 +124,7 @@ def _one_row_per_version(batch: DataFrame) -> DataFrame:
     newest = (batch.join(repeated, same, "left_semi").groupBy(*_KEYS)
               .agg(F.max_by(F.struct(*rest), F.struct("__place", "content")).alias("__row"))
               .select(*_KEYS, "__row.*"))
-    return batch.join(repeated, same, "left_anti").unionByName(newest)
+    return batch.join(repeated, same, "left_anti").unionByName(cut(newest, "newest-versions"))
 
 
 def _images(asked: DataFrame, children: DataFrame, cache: DataFrame, model: str, embed_fn: Embedder,

@@ -205,6 +205,20 @@ def test_prefixes_and_pictures_are_embedded_by_their_own_functions(spark):
     assert seen.value >= 1
 
 
+def test_a_batch_makes_its_chunks_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def prefix(prompt):
+        calls.add(1)
+        return "about it"
+
+    docs = stream_of(spark, [_sent("d", 1, "one", images=[(1, b"x")]), _sent("e", 1, "two")], ddl=INGEST)
+    target = work_path(spark, "corpus")
+    stream_ingest(docs, target, hash_embedder(8), "m", prefix_fn=prefix).awaitTermination()
+    assert len(latest_chunks(spark, target).collect()) == 3
+    assert calls.value == 2  # of two TEXT chunks
+
+
 def closed(spark, build, batches, closing, ddl):
     """What ``build`` makes of the batches in that order, after rows far ahead closed what waits."""
     from quarry.streaming.run import run_closed
