@@ -5,8 +5,9 @@ The library works on characters, so each byte stands for one printable character
 ``encode`` and ``decode`` are the DataFrame operators.
 
 Text is cut into pieces for a whole batch at once, by class of character, where the split pattern
-would cut it; the library merges each different piece once per task, and its ids are then laid out
-for every place of that piece. Memory: one slice of text and a piece table that is emptied when full.
+would cut it; the library merges each different piece once per task (again after its table of pieces was
+full and emptied), and its ids are then laid out for every place of that piece. Memory: one slice of text
+and that table. The tokenizer is broadcast as an object, which a Python worker loads once.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. A null list of ids
 decodes to null; a list with a null or an unknown id does too. Bytes that are no UTF-8 by themselves
@@ -20,16 +21,17 @@ import base64
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.common import filled, gather, map_batches, slices
+from quarry.llm.common import filled, gather, map_batches, slices, text_bytes
 
 #: Bytes that stand for themselves (printable Latin-1); all others take the code
 #: points from 256 on, in order of the byte.
@@ -38,7 +40,11 @@ PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces kept in a task before its table is emptied.
-KEPT_PIECES = 1 << 21
+KEPT_PIECES = 1 << 18
+#: Text bytes that are cut and numbered at once (or one row).
+TEXT_BYTES = 1 << 20
+#: Pieces that the library gets as the words of one text.
+JOINED_PIECES = 64
 
 LETTER, NUMBER, SPACE, OTHER, STOP = range(5)
 
@@ -110,8 +116,8 @@ def rank_tokenizer(ranks: dict[bytes, int]) -> str:
 
 
 def _pieces_only(spec: dict) -> dict | None:
-    """The tokenizer without its own splitting, if it splits text by ``SPLIT`` and changes nothing
-    else; None if it does more, so that whole texts must go through it."""
+    """The tokenizer for pieces as words of the characters that stand for their bytes, if it splits text
+    by ``SPLIT`` and changes nothing else; None if it does more, so that whole texts must go through it."""
     if spec.get("normalizer") or spec.get("post_processor") or spec.get("truncation") or spec.get("padding"):
         return None
     if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
@@ -125,47 +131,62 @@ def _pieces_only(spec: dict) -> dict | None:
                   and not steps[1].get("add_prefix_space"))
     if not (by_bytes or by_pattern):
         return None
-    return spec | {"added_tokens": [], "pre_tokenizer": {
-        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+    model = spec["model"]
+    if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or not set(byte_table()) <= set(model["vocab"]):
+        return None  # ids would not hold the bytes of a piece one after the other
+    return spec | {"added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+
+
+def loaded(tokenizer_json: str, added: bool = False) -> tuple:
+    """What an ``Encoder`` needs of a tokenizer: the library's object, the bytes of each id (None if whole
+    texts go through the library) and the added tokens to look for. To be broadcast: a Python worker
+    keeps it for all its tasks."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer_json)
+    single, marks = _pieces_only(spec), (spec.get("added_tokens") or []) if added else []
+    if (any(m.get(x) for m in marks for x in ("single_word", "lstrip", "rstrip"))
+            or len({m.get("normalized") for m in marks}) > 1):
+        single = None  # these depend on what stands around them: whole texts go through the library
+    if not single:
+        return Tokenizer.from_str(tokenizer_json), None, {}
+    vocab = single["model"]["vocab"]
+    widths = np.zeros(max(vocab.values()) + 1, np.int64)
+    widths[list(vocab.values())] = [len(token) for token in vocab]
+    return Tokenizer.from_str(json.dumps(single)), widths, {m["content"]: m["id"] for m in marks if m["content"]}
 
 
 class Encoder:
-    """A tokenizer (its JSON) over lists of whole texts. Strings of special tokens are ordinary text;
+    """A tokenizer (its JSON, or ``loaded`` from it) over lists of whole texts. Strings of special tokens are ordinary text;
     with ``added``, strings of added tokens are those tokens, as in a plain call of the library."""
 
-    def __init__(self, tokenizer_json: str, classes: bytes, added: bool = False) -> None:
+    def __init__(self, tokenizer: str | tuple, classes: bytes, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        spec = json.loads(tokenizer_json)
-        single, marks = _pieces_only(spec), (spec.get("added_tokens") or []) if added else []
-        if (any(m.get(x) for m in marks for x in ("single_word", "lstrip", "rstrip"))
-                or len({m.get("normalized") for m in marks}) > 1):
-            single = None  # these depend on what stands around them: whole texts go through the library
-        self.by_pieces = single is not None
-        self.tokenizer = Tokenizer.from_str(json.dumps(single) if single else tokenizer_json)
-        self.tokenizer.encode_special_tokens = not added
-        self.marks = {m["content"]: m["id"] for m in marks if m["content"]} if single else {}
+        self.tokenizer, self.widths, self.marks = loaded(tokenizer, added) if isinstance(tokenizer, str) else tokenizer
+        self.by_pieces = self.widths is not None
+        self.tokenizer.encode_special_tokens = not added  # not kept when the tokenizer is sent
         longest_first = sorted(self.marks, key=len, reverse=True)
         self.at_marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.classes = np.frombuffer(classes, np.uint8)
+        self.shown = np.array([ord(c) for c in byte_table()], np.uint32)
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}  # pieces (UTF-32) and where their ids are
-        self.flat = np.zeros(0, np.int32)
-        self.begins = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Ids of pieces that this task has not met."""
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(
-            [p.decode("utf-32-le") for p in pieces], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        self.slots.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
-        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.slots: dict[str, int] = defaultdict(count().__next__)  # pieces, numbered as they come
+        self.flat = np.zeros(0, np.int32)  # their ids
+        self.edges = np.zeros(1, np.int64)  # and the bounds between them
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Ids of pieces that this task has not met. No piece in its characters for bytes has white space,
+        so many are words of one text; the bytes of the ids tell where a piece ends."""
+        data, bounds = text_bytes(pieces)
+        words = np.insert(self.shown[data], bounds[1:-1], 0x20).tobytes().decode("utf-32-le")
+        cuts = [*(bounds[:-1] + np.arange(len(pieces)))[::JOINED_PIECES].tolist(), len(words)]
+        found = self.tokenizer.encode_batch_fast(
+            [words[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), bounds[1:]) + 1
+        self.edges = np.concatenate([self.edges, len(self.flat) + ends])
         self.flat = np.concatenate([self.flat, ids])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,20 +215,29 @@ class Encoder:
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         stops = np.cumsum([len(t) + 1 for t in texts]) - 1
         edges, is_stop = piece_edges(points, stops, self.classes)
-        # the spans between edges as an Arrow array over the same bytes, numbered by their content
-        spans = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(is_stop), [None, pa.py_buffer(edges * 4), pa.py_buffer(points)]).dictionary_encode()
-        pieces = spans.dictionary.to_pylist()
+        # the spans between edges as an Arrow array over the text in UTF-8, numbered by their content
+        spans = pa.LargeStringArray.from_buffers(
+            len(is_stop), pa.py_buffer(byte_places(points, edges)), pa.py_buffer(joined.encode())).dictionary_encode()
+        pieces = spans.dictionary
         if len(self.slots) + len(pieces) > KEPT_PIECES:
             self._forget()
-        new = [p for p in pieces if p not in self.slots]
-        if new:
-            self._learn(new)
-        of = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        known = len(self.slots)
+        of = np.fromiter(map(self.slots.__getitem__, pieces.to_numpy(zero_copy_only=False)), np.int64, len(pieces))
+        if len(self.slots) > known:
+            self._learn(pieces.filter(pa.array(of >= known)))
         slot = of[spans.indices.to_numpy()]
-        sizes = np.where(is_stop, 0, self.sizes[slot])
+        begins = self.edges[slot]
+        sizes = np.where(is_stop, 0, self.edges[slot + 1] - begins)
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.flatnonzero(is_stop)]
-        return gather(self.flat, self.begins[slot], sizes), np.diff(upto, prepend=0)
+        return gather(self.flat, begins, sizes), np.diff(upto, prepend=0)
+
+
+def byte_places(points: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places in a text (ascending, the end last) in bytes of UTF-8 instead of characters."""
+    wide = np.flatnonzero(points >= 0x80)
+    more = 1 + (points[wide] >= 0x800) + (points[wide] >= 0x10000)
+    passed = np.bincount(np.searchsorted(places, wide, "right"), more, len(places))
+    return places + np.cumsum(passed).astype(np.int64)
 
 
 def piece_edges(points: np.ndarray, stops: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,17 +309,17 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", ids: str =
     if clash:
         raise ValueError(f"columns are there already: {sorted(clash)}")
     classes = character_classes()
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, classes, token_bytes(tokenizer_json)))
+    widths = np.array([len(b or b"") for b in token_bytes(tokenizer_json)], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((loaded(tokenizer_json), classes, widths))
     place = docs.columns.index(text)
     lists = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table, of_id = shared.value
+        tokenizer, table, widths = shared.value
         encoder = Encoder(tokenizer, table)
-        widths = np.array([len(b or b"") for b in of_id], np.int64)
         for batch in batches:
             whole = filled(batch.column(place))
-            for low, high in slices(whole):
+            for low, high in slices(whole, TEXT_BYTES):
                 part = whole.slice(low, high - low)
                 flat, sizes = encoder(part.to_pylist())
                 bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())

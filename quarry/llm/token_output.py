@@ -127,7 +127,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, key:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(-(-size // shard_bytes) or 1, *order).sortWithinPartitions(*order)
-    shared = spark.sparkContext.broadcast((tokenizer_json, byte_bpe.character_classes()))
+    shared = spark.sparkContext.broadcast((byte_bpe.loaded(tokenizer_json, added=True), byte_bpe.character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe.Encoder(*shared.value, added=True)
@@ -148,7 +148,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, key:
 
         for batch in batches:
             texts = filled(batch.column(1))
-            for low, high in slices(texts):
+            for low, high in slices(texts, byte_bpe.TEXT_BYTES):
                 flat, sizes = encoder(texts.slice(low, high - low).to_pylist())
                 edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 for i, name in enumerate(batch.column(0).slice(low, high - low).to_pylist()):

@@ -48,6 +48,32 @@ def test_regular_words_get_their_own_ids(ranks):
         assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [want(t) for t in texts]
 
 
+def test_a_worker_keeps_its_tokenizer_and_empties_its_pieces(monkeypatch):
+    import pickle
+
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary(queries.TOKENIZER), encoding="utf-8") as file:
+        spec = file.read()
+    sent = pickle.loads(pickle.dumps(byte_bpe.loaded(spec, added=True)))
+    rng = random.Random(5)
+    letters = "abcdefgh éßñ日本\u00a0\u2003😀\0\n'1 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "", "\u0085 \x1c", "x" * 3000]
+    whole = Tokenizer.from_str(spec)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 50)
+    for _ in range(2):  # two tasks of one worker
+        encoder = byte_bpe.Encoder(sent, byte_bpe.character_classes(), added=True)
+        assert encoder.tokenizer is sent[0] and encoder.by_pieces
+        got, kept = [], []
+        for low in range(0, len(texts), 7):
+            flat, sizes = encoder(texts[low:low + 7])
+            got += [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+            kept.append(len(encoder.slots))
+        assert got == want and min(np.diff(kept)) < 0
+
+
 def test_long_urls_take_linear_time(spark):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh/%-") for _ in range(1_000_000))
