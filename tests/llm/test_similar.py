@@ -215,3 +215,56 @@ def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     got = {r.doc_id for r in simhash_similar.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)).collect()}
     assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want)) + 2 and len(pairs) < 2000
     assert made["similar-again"] > 250 and max(made.values()) <= simhash_similar.TABLES * len(rows) // 2
+
+
+def kept_whole(spark, texts):
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS).repartition(3)
+    return {r.doc_id for r in simhash_similar.keep_one(df, whole=True).collect()}, brute(rows)
+
+
+def test_whole_finds_links_that_fingerprints_miss(spark):
+    """The same texts as above: 4 of their 176 alike pairs are no neighbours by fingerprints."""
+    got, (_, want) = kept_whole(spark, edited(6, 40, 12, 0.08))
+    assert got == want and len(want) == 402
+
+
+@pytest.mark.parametrize("most", [simhash_similar.MOST, 40, 6])
+def test_whole_is_brute_force_with_common_passages(spark, monkeypatch, most):
+    """Copies of every similarity around 0.8, a passage that all share, and blocks that are cut."""
+    monkeypatch.setattr(simhash_similar, "MOST", most)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{t} {passage}" if i % 3 else t for i, t in enumerate(edited(10, 30, 8, 0.06))]
+    got, (pairs, want) = kept_whole(spark, [*texts, *texts[:40], texts[0] + " more", None, "", "one", "ONE"])
+    assert got == want and len(pairs) > 150
+
+
+def test_prefixes_of_alike_sets_meet_at_one_place_at_least():
+    draw = np.random.default_rng(12)
+    sets = []
+    for size in (1, 2, 4, 5, 9, 10, 40, 123, 500):
+        base = draw.integers(0, 1 << 62, size, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.11):
+            for _ in range(4):
+                other = draw.integers(0, 1 << 62, size, dtype=np.uint64)
+                changed = np.where(draw.random(size) < share, other, base)
+                sets += [np.unique(changed), np.unique(np.concatenate([base, other[:int(share * size * 2)]]))]
+    sizes = np.array([len(x) for x in sets])
+    keys, home = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    frequent = np.concatenate([sets[0], sets[100][::2], sets[-1][:90]])
+    flat, n = simhash_similar.prefixes(keys, home, sizes, np.unique(frequent & simhash_similar.ORDER_KEY)[::-1], 0.8)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    of, met = np.repeat(np.arange(len(sets)), n), set()
+    for a, b in simhash_similar.pairs_between(flat, of):
+        can = simhash_similar.can_overlap(sizes[of], place, a, b, 0.8)
+        met |= {tuple(sorted(p)) for p in zip(of[a[can]].tolist(), of[b[can]].tolist())}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if likeness(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+    assert alike <= met and len(alike) > 300
+
+
+@tables
+def test_whole_is_brute_force_on_documents(spark):
+    rows = [(r.doc_id, r.text) for r in common.read(spark, SF, "documents").collect()]
+    _, want = brute(rows)
+    got = {r.doc_id for r in simhash_similar.keep_one(common.read(spark, SF, "documents"), whole=True).collect()}
+    assert got == want
