@@ -8,14 +8,18 @@ class alone.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.functions.text import has_text
-from quarry.operators.skew import salted_join
+from quarry.session import cut
 
 _SEPARATOR = "\u001e"
+#: Principals, and chunks, of a block of pairs.
+PRINCIPAL_BLOCK, CHUNK_BLOCK = 1024, 256
 
 
 def _token(kind: str, tenant: Column, value: Column) -> Column:
@@ -89,17 +93,44 @@ def opened_classes(classes: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def visible_to(chunks: DataFrame, principals: DataFrame, principal_id: str = "user_id",
-               chunk_id: str = "chunk_id") -> DataFrame:
-    """(principal, chunk) pairs the access rules allow.
+               chunk_id: str = "chunk_id", columns: Sequence[str] | None = None) -> DataFrame:
+    """(principal, chunk) pairs the access rules allow, with the ``columns`` of the chunk (all by default).
 
-    One class may hold a third of all chunks, so that join is salted on the chunk id.
+    The principals and the chunks of a class are cut into bounded blocks, so the pairs
+    are rectangles of two blocks, dealt out evenly however large a class is; they become rows at the very
+    end. Neighbouring rows then repeat the same principals for one chunk after the other, which keeps
+    what is written of them small.
     """
+    columns = list(chunks.columns if columns is None else columns)
     classed = with_acl_class(chunks)
-    pairs = visible_classes(classed, principals)
+    rows = cut(classed.select("acl_class", F.xxhash64(chunk_id).alias("__hash"), F.struct(*columns).alias("__row")),
+               "visible-chunks")
     people = principals.select(F.col(principal_id).alias("principal_id"),
                                permission_signature().alias("signature")).distinct()
-    reach = pairs.join(people, "signature").select("principal_id", "acl_class")
-    return salted_join(classed, reach, ["acl_class"], chunk_id).drop("acl_class")
+    reach = cut(visible_classes(rows, principals).join(people, "signature").select(
+        "acl_class", F.xxhash64("principal_id").alias("__hash"), "principal_id"), "visible-reach")
+    nobody = F.array_repeat(F.lit(None).cast(reach.schema["principal_id"].dataType),
+                            F.count_if(F.col("principal_id").isNull()).cast("int"))
+    some = _blocks(reach, F.concat(F.sort_array(F.collect_list("principal_id")), nobody), PRINCIPAL_BLOCK, "__principals")
+    of = _blocks(rows, F.collect_list("__row"), CHUNK_BLOCK, "__rows")
+    met = of.join(some.withColumnRenamed("__block", "__other"), "acl_class")
+    # few bytes make many rows, so their number of tasks is not left to AQE
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(tasks, "acl_class", "__block", "__other").select(F.explode("__rows").alias("__row"), "__principals")
+    # this coalesce moves no row; it keeps generated code from holding all pairs of a rectangle at once
+    return dealt.coalesce(tasks).select("__row.*", F.explode("__principals").alias("principal_id"))
+
+
+def _blocks(rows: DataFrame, gather: Column, size: int, name: str) -> DataFrame:
+    """acl_class, __block and the array ``gather`` of its rows: each class in blocks of ``size`` rows at most.
+    Hashes deal out eight of them at once; all but the last are full, as repeats of whole bytes pack best."""
+    dealt = F.ceil(F.count(F.lit(1)) / (8 * size)).alias("__parts")
+    sized = rows.join(rows.groupBy("acl_class").agg(dealt), "acl_class")
+    parts = sized.withColumn("__part", F.pmod("__hash", "__parts")).groupBy("acl_class", "__part").agg(gather.alias("__all"))
+    first = F.sequence(F.lit(1), F.size("__all"), F.lit(size))
+    cut_up = F.transform(first, lambda i: F.slice("__all", i, size))
+    return parts.select("acl_class", "__part", F.posexplode(cut_up).alias("__n", name)).withColumn(
+        "__block", F.struct("__part", "__n")).drop("__part", "__n")
 
 
 def can_access(tenant_id: str, user_id: str | None, department_ids=(), role_ids=()) -> Column:

@@ -40,7 +40,7 @@ def current_versions(spark, sf_dir):
     c.visibility FROM live_chunks c JOIN users u ON {sql_access('c', 'u')}"""))
 def visible_to(spark, sf_dir):
     chunks = B.live_chunks(spark, sf_dir).drop("content", "embedding")
-    return A.visible_to(chunks, B.users(spark, sf_dir)).select(
+    return A.visible_to(chunks, B.users(spark, sf_dir), columns=["chunk_id", "visibility"]).select(
         "principal_id", "chunk_id", "visibility")
 
 

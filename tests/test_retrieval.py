@@ -1,6 +1,7 @@
 """Access rules, scoring, fusion and context against plain Python."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -59,6 +60,32 @@ def test_visible_to_equals_the_rule(spark):
     assert {r["chunk_id"] for r in kept} == {c for u, c in want if u == one[1]}
 
 
+def test_visible_pairs_in_small_blocks_keep_copies_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(A, "PRINCIPAL_BLOCK", 3)
+    monkeypatch.setattr(A, "CHUNK_BLOCK", 2)
+    rows, who = world(4, 120, 30)
+    rows += [rows[0], rows[-1], rows[-1], (None, *rows[-1][1:])]
+    who += [("t0", None, ["d1"], []), ("t0", None, ["d0"], []), ("t1", "u2", ["d0", "d1", "d2"], [])]
+    found = A.visible_to(spark.createDataFrame(rows, f"chunk_id string, {ACL}"), spark.createDataFrame(who, PRINCIPAL))
+    assert found.columns == ["chunk_id", *(f.split()[0] for f in ACL.split(", ")), "principal_id"]
+    got = Counter((r["principal_id"], r["chunk_id"], r["visibility"]) for r in found.collect())
+    assert got == Counter((w[1], r[0], r[4]) for w in who for r in rows if may_see(r[1:], w))
+
+
+def test_visible_pairs_of_many_chunks_are_small_when_written(spark):
+    """Two bytes a pair before: the ids of 40,000 chunks came over and over, too far apart for compression."""
+    import glob
+
+    chunks = spark.range(40_000).selectExpr("concat('c', id) AS chunk_id", "'t0' AS tenant_id", "'u1' AS owner_id", "'d1' AS department_id",
+                                         "'TENANT' AS visibility", "array('u1') AS allowed_user_ids", "array('r1') AS allowed_role_ids")
+    people = spark.range(300).selectExpr("'t0' AS tenant_id", "concat('u', id) AS user_id", "array('d1') AS department_ids",
+                                            "array('r1') AS role_ids")
+    path = work_path(spark, "visible")
+    A.visible_to(chunks, people).select("principal_id", "chunk_id", "visibility").write.parquet(path)
+    assert spark.read.parquet(path).count() == 300 * 40_000
+    assert sum(map(os.path.getsize, glob.glob(path.removeprefix("file://") + "/*.parquet"))) < 0.6 * 300 * 40_000
+
+
 def test_tokens_do_not_mix_tenants(spark):
     chunks = spark.createDataFrame(
         [("c", "a:b", "c", None, "PRIVATE", None, None)], f"chunk_id string, {ACL}")
