@@ -186,7 +186,7 @@ def chunk_markdown(df: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHU
 def split_sentences(df: DataFrame, text: str = "content") -> DataFrame:
     """One row per sentence, numbered from 0 within its document."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(sentences(text)).alias("sentence_index", "sentence"))
+    return _rows_of(df, rest, sentences(text), "sentence_index", "sentence")
 
 
 def chunk_semantic(sents: DataFrame, threshold: float = C.SEMANTIC_THRESHOLD,

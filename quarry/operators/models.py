@@ -35,9 +35,10 @@ def embed_incremental(texts: DataFrame, cache: DataFrame, model: str, fn: Embedd
     name = model if model and model.strip() else "default"
     known = cache.filter(F.col("model") == name).select("text_hash", "embedding")
     hashed = bounded(texts).withColumn("text_hash", sha256_hex(text))
-    distinct = hashed.groupBy("text_hash").agg(F.first(text).alias("__text"))
-    missing = distinct.join(known, "text_hash", "left_anti")
-    made = missing.select("text_hash", embed(F.coalesce("__text", F.lit(""))).alias("embedding"))
+    # a text as key is aggregated by hashing; as a value beside its hash all rows would be sorted
+    distinct = texts.select(F.coalesce(text, F.lit("")).alias("__text")).distinct()
+    missing = distinct.withColumn("text_hash", sha256_hex("__text")).join(known, "text_hash", "left_anti")
+    made = missing.select("text_hash", embed("__text").alias("embedding"))
     added = cut(made, "vectors")
     table = known.unionByName(added)
     rows = added.select(F.lit(name).alias("model"), "text_hash", "embedding")

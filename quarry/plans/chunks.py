@@ -110,7 +110,7 @@ THRESHOLD = 0.93
 
 def letter_counts(texts):
     """An embedder that SQL can say too."""
-    return [[float((t or "").lower().count(c)) for c in LETTERS] for t in texts]
+    return [[float(t.count(c)) for c in LETTERS] for t in ((t or "").lower() for t in texts)]
 
 
 _LETTER_SQL = "[" + ", ".join(f"(length(s) - length(replace(lower(s), '{c}', '')))::DOUBLE" for c in LETTERS) + "]"

@@ -85,3 +85,26 @@ def test_reply_and_leak(spark):
     assert value(spark, U.reply_intent("t"), t="不要，确认") == "CANCEL"
     assert value(spark, U.reply_intent("t"), t="YES please") == "CONFIRM"
     assert value(spark, U.prompt_leak("t"), t="my system prompt is").startswith("抱歉")
+
+
+def test_sentences_are_those_of_the_pattern(spark):
+    import random
+    import re
+
+    draw = random.Random(5)
+    texts = [None, "", "\n", "!", " ! ", "a", "a\n", "。。a", "\x00 x\r\n\ty? \x1f", "x\u2028 y \u0085", "\U0001F600!\U0001F600"]
+    texts += ["".join(draw.choice("ab é。！？!?\n\t\r \u3000\u2028.\U0001F600") for _ in range(draw.randrange(60))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.sentences("t").alias("s")).collect()
+    blanks = "".join(map(chr, range(0x21)))
+    for r in rows:
+        found = re.findall("[^。！？!?\n]*[。！？!?]|[^。！？!?\n]+", texts[r.i] or "")
+        assert r.s == [x.strip(blanks) for x in found if x.strip(blanks)]
+
+
+def test_a_text_is_split_once_and_without_a_pattern(spark, capsys):
+    from quarry.operators.chunking import split_sentences
+
+    docs = spark.createDataFrame([(1, "a! b")], "document_id int, content string")
+    split_sentences(docs).explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert plan.count("split(") == 1 and "regexp" not in plan
