@@ -191,3 +191,14 @@ def test_long_documents_take_linear_time(spark):
     start = time.monotonic()
     assert K.chunk_fixed(long).agg(F.count("*"), F.max("chunk_index")).first()[0] > 15_000
     assert time.monotonic() - start < 100
+
+
+def test_rows_of_a_repeated_key_are_split_without_a_pattern(spark, capsys):
+    """The pattern of sentences took most of the time; the array of sentences was made thrice a row."""
+    docs = spark.createDataFrame([("a", 1, "One. Two! Three", "SEMANTIC"), ("a", 1, "Other! Text", "SEMANTIC")],
+                                 "document_id string, version int, content string, strategy string")
+    children, _ = K.chunk_documents(docs, embed=lambda s: s.withColumn("embedding", F.array(F.lit(1.0))))
+    children.filter("chunk_index >= 0").explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert "[^。" not in plan and plan.count("split(replace(") == 1
+    assert sorted(r.content for r in children.collect()) == ["One. Two!Three", "Other!Text"]
